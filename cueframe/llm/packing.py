@@ -73,32 +73,36 @@ class WordTokenizer:
         self.words.update(zip(pieces, [raw[a:b] for a, b in zip(first, past, strict=True)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | list[str] | None] = []
-        missing: dict[str, None] = {}
+        out: list[bytes | None] = []
+        open_rows: list[tuple[int, list[str], list[bytes | None]]] = []
         words = self.words
         if len(words) > CACHE_WORDS:
             words.clear()
         for text in texts:
             text = text or ""
-            if self.mark is None or _UNSAFE.search(text) or "<|" in text:
+            safe = self.mark is not None and not _UNSAFE.search(text) and "<|" not in text
+            if safe and not text.isascii():
+                text = unicodedata.normalize("NFC", text)
+                safe = not _UNSAFE.search(text)
+            if not safe:
                 out.append(self._ids(text).tobytes())
                 continue
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text)
-                if _UNSAFE.search(text):
-                    out.append(self._ids(text).tobytes())
-                    continue
             parts = text.lower().split()
-            missing.update(dict.fromkeys(p for p in parts if p not in words))
-            out.append(parts)
-        if missing:
+            got = list(map(words.get, parts))
+            if None in got:
+                open_rows.append((len(out), parts, got))
+                out.append(None)
+            else:
+                out.append(b"".join(got))
+        if open_rows:
+            missing = dict.fromkeys(p for _, parts, got in open_rows for p, x in zip(parts, got, strict=True) if x is None)
             split = {p: _PIECE.findall(p) for p in missing}
             if new := [x for x in dict.fromkeys(x for parts in split.values() for x in parts) if x not in words]:
                 self._learn(new)
-            for p, parts in split.items():
-                if p not in words:
-                    words[p] = b"".join([words[x] for x in parts])
-        return [b"".join([words[p] for p in x]) if isinstance(x, list) else x for x in out]
+            words.update((p, b"".join([words[x] for x in parts])) for p, parts in split.items())
+            for row, parts, got in open_rows:
+                out[row] = b"".join([words[p] if x is None else x for p, x in zip(parts, got, strict=True)])
+        return out
 
 
 _LOADED: dict[str, WordTokenizer] = {}

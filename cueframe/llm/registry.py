@@ -1,12 +1,16 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from cueframe.llm import chat, packing
+from cueframe.llm import chat, decontamination, line_dedup, matroska, packing
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op5_media": matroska.op5_media,
     "op8_chat_format": chat.op8_chat_format,
+    "op9_decontamination": decontamination.op9_decontamination,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL = {
+    "op2_line_dedup": line_dedup.OP2_SQL,
     "op8_chat_format": chat.OP8_SQL,
 }

@@ -12,7 +12,6 @@ empty table; columns other than ``doc_id`` and ``text`` are ignored by the opera
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import materialize, utf8
+from cueframe.llm.common import fresh_name, fresh_path, materialize, remove, utf8
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BATCHES, FANOUT = 4, 3
@@ -67,22 +66,32 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return rows.mapInArrow(_line_batches(min_chars), "doc_id long, key binary")
 
 
+RUN_COLUMNS = "key binary, n_docs long, last_doc long, fresh boolean"
+
+
 class LineRuns:
-    """Levelled sorted runs in the warehouse; level k holds at most ``fanout - 1`` runs between calls."""
+    """Levelled sorted runs in the shared folder; level k holds at most ``fanout - 1`` runs between calls."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None) -> None:
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.prefix = f"line_runs_{uuid.uuid4().hex}"
+        self.prefix = f"line_runs_{fresh_name()}"
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
         self.made = 0
 
     def _write(self, rows: DataFrame) -> str:
         name = f"{self.prefix}_{self.made}"
         self.made += 1
-        rows.repartition(self.buckets, "key").write.bucketBy(self.buckets, "key").sortBy("key").option("compression", "zstd").saveAsTable(name)
+        self.paths[name] = fresh_path(self.spark, name)
+        writer = rows.write.bucketBy(self.buckets, "key").sortBy("key").option("compression", "zstd")
+        writer.option("path", self.paths[name]).saveAsTable(name)
         return name
 
+    def _rows(self, name: str) -> DataFrame:
+        """A run read as plain files: a union of bucketed scans would count as dealt by key without being so."""
+        return self.spark.read.schema(RUN_COLUMNS).parquet(self.paths[name])
+
     def runs(self) -> list[str]:
         return [name for level in self.levels for name in level]
 
@@ -106,12 +115,13 @@ class LineRuns:
             merged = self._write(self._merge(old))
             for table in old:
                 self.spark.sql(f"DROP TABLE {table}")
+                remove(self.spark, self.paths.pop(table))
             self._place(level + 1, merged)
 
     def _merge(self, names: list[str]) -> DataFrame:
-        rows = self.spark.table(names[0])
+        rows = self._rows(names[0])
         for name in names[1:]:
-            rows = rows.unionByName(self.spark.table(name))
+            rows = rows.unionByName(self._rows(name))
         return rows.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.max("fresh").alias("fresh"))
 
     def common(self, min_docs: int) -> DataFrame:

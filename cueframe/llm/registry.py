@@ -1,12 +1,13 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from cueframe.llm import chat, decontamination, langid, line_dedup, matroska, packing, toxicity
+from cueframe.llm import chat, decontamination, langid, line_dedup, matroska, minhash, packing, toxicity
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_media": matroska.op5_media,
     "op6_language_id": langid.op6_language_id,
+    "op7_near_dedup": minhash.op7_near_dedup,
     "op8_chat_format": chat.op8_chat_format,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_packing": packing.op10_packing,

@@ -1,9 +1,10 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from cueframe.llm import chat, decontamination, langid, line_dedup, matroska, minhash, packing, toxicity
+from cueframe.llm import chat, decontamination, html_extract, langid, line_dedup, matroska, minhash, packing, toxicity
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_html_extract": html_extract.op3_html_extract,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_media": matroska.op5_media,
     "op6_language_id": langid.op6_language_id,

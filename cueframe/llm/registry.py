@@ -1,8 +1,9 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from cueframe.llm import chat, decontamination, html_extract, langid, line_dedup, matroska, minhash, packing, toxicity
+from cueframe.llm import chat, decontamination, html_extract, langid, line_dedup, matroska, minhash, packing, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_html_extract": html_extract.op3_html_extract,
     "op4_toxicity": toxicity.op4_toxicity,

@@ -91,13 +91,15 @@ def counts(voters: Voters, machine, text: str | None) -> np.ndarray:
     return out
 
 
-def mine(labelled: DataFrame, mine_rows: int = MINE_ROWS) -> list[tuple[str, int, bool]]:
-    """(stem or word, toxic texts that have it, whether it is pure) of the stems that single toxic texts out; ``labelled``: ``doc_id, text, toxic``."""
-    size = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+def mine(docs: DataFrame, labels: DataFrame, mine_rows: int = MINE_ROWS) -> list[tuple[str, int, bool]]:
+    """(stem or word, toxic texts that have it, whether it is pure) of the stems that single toxic texts out."""
+    size = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0.0)
     for toxic, n in size.items():
         share = F.when(F.col("toxic") == toxic, min(1.0, mine_rows / 2 / n)).otherwise(share)
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).limit(mine_rows)
+    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).limit(mine_rows)
+    # At most mine_rows ids and labels, so the texts need no shuffle.
+    sample = docs.join(F.broadcast(chosen), "doc_id")
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     stems = F.transform(words, lambda w: F.concat(w, F.lit(" ")))
     for k in STEM_SIZES:
@@ -242,8 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, mine_rows: int = MINE_ROWS, train_ro
     """``docs``: ``doc_id, text`` of the training rows; ``labels``: ``doc_id, toxic`` of rows that may be learned from."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     labels = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
-    labelled = docs.join(labels, "doc_id").select("doc_id", "text", "toxic")
-    voters = voters_from(mine(labelled, mine_rows))
+    voters = voters_from(mine(docs, labels, mine_rows))
     v = len(voters.names)
     votes = materialize(docs.mapInArrow(_vote_batches(voters), "doc_id long, fired binary, x binary"), "votes")
     known = labels.groupBy("doc_id").agg(F.max("toxic").alias("known"))

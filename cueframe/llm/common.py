@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step looks at, whatever the size of the Arrow batch (one document may exceed it).
 CHUNK_BYTES = 2 << 20
@@ -47,6 +48,18 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: So many ids (8 bytes each) are broadcast at most; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``doc_id`` is in the one column of ``ids``."""
+    name = "c_gone"
+    ids = materialize(ids.toDF(name).distinct(), "gone")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+    return docs.join(side, docs["doc_id"].cast("long") == F.col(name), "left_anti")
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and its row offsets, without a copy; nulls have length 0."""
     if isinstance(column, pa.ChunkedArray):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import CHUNK_BYTES
+from cueframe.llm.common import CHUNK_BYTES, without_ids
 
 Q, RATE = 10, 0.08
 #: Text bytes of one block of items, which every task holds with about 20 bytes of index a text byte.
@@ -178,8 +178,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE,
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
     """The documents in which no item is found; ``docs``'s own columns."""
-    found = leaks(docs, benchmark, q, rate).select(F.col("doc_id").alias("c_found")).distinct()
-    return docs.join(found.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("c_found"), "left_anti")
+    return without_ids(docs, leaks(docs, benchmark, q, rate).select("doc_id"))
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import materialize, row_slices, utf8
+from cueframe.llm.common import materialize, row_slices, utf8, without_ids
 
 SHINGLE = 5
 #: Similarity as a fraction.
@@ -264,8 +264,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int,
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """``docs`` without the documents whose component has a smaller id; its own columns."""
-    gone = near_duplicates(docs, shingle, similar).where("NOT kept").select(F.col("doc_id").alias("c_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("c_gone"), "left_anti")
+    return without_ids(docs, near_duplicates(docs, shingle, similar).where("NOT kept").select("doc_id"))
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:

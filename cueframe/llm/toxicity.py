@@ -282,6 +282,21 @@ def score_texts(docs: DataFrame, model: Classifier) -> DataFrame:
     return rows.mapInArrow(_score_batches(model), f"{fields}c_score double")
 
 
+def _clean_batches(model: Classifier, column: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = model.voters.matcher()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(model.score(_votes(model.voters, batch, column, machine)) < threshold))
+
+    return run
+
+
+def without_toxic(docs: DataFrame, model: Classifier, threshold: float = 0.5) -> DataFrame:
+    """The documents that score under ``threshold``; ``docs``'s own columns."""
+    return docs.mapInArrow(_clean_batches(model, docs.columns.index("text"), threshold), docs.schema)
+
+
 def held_out(key: str = "doc_id"):
     return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(5)) == 0
 

@@ -171,7 +171,7 @@ def _run_batches(groups: int):
                 for chosen, seen in ((order[~later], False), (order[later], True)):
                     chosen = chosen[np.argsort(pid[chosen], kind="stable")]
                     ids_, at_ = np.unique(pid[chosen], return_index=True)
-                    for p, a, b in zip(ids_, at_, [*at_[1:], len(chosen)], strict=True):
+                    for p, a, b in zip(ids_, at_, [*at_[1:], len(chosen)], strict=False):
                         part = chosen[a:b]
                         part = part[np.lexsort((start[part], doc[part]))]
                         # Later ones are known repeats: they carry no hashes.

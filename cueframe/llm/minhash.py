@@ -5,8 +5,8 @@ places, the second gives each place its rank, and coordinate k is the least rank
 documents that share a band's bucket are candidates, and a link is confirmed on the full shingle sets.
 
 Exact copies (equal sets) are one node.  Candidates are checked in two steps that lose no pair of a bucket and never emit
-all pairs of a group: first each member against the bucket's smallest id, then, where a bucket still holds several components, the
-members of different components, in blocks and after a comparison of signatures.  Components come from alternating large-star
+all pairs of a group: first each member against its bucket's smallest id, the pivot, after a comparison of signatures; then, where a pivot's group still
+holds several components, the members meet in blocks whose exact intersections are matrix products, and only links that join components come out.  Components come from alternating large-star
 and small-star rounds.
 
 Defined cases: null texts and texts without a word have an empty set, are linked with nothing and kept; rows that share a ``doc_id`` are versions of
@@ -35,7 +35,7 @@ COORDINATES = BANDS * ROWS
 #: Candidates whose signatures agree on a smaller share of the coordinates are not read: at a true similarity of 0.8 that is over five
 #: standard deviations off.
 LEAST_AGREEMENT = 0.6
-#: Members of one block of a bucket that still holds several components.
+#: Members of one block of a pivot's group that still holds several components.
 BLOCK = 512
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -181,22 +181,54 @@ def _confirmed(k: int, similar: tuple[int, int]):
     return run
 
 
-def _block_pairs(table: pa.Table) -> pa.Table:
-    """Within one pair of blocks of a bucket: agreeing members of different components (columns i, j, block, doc, comp, sketch)."""
-    block, doc, comp = (np.asarray(table[c]) for c in ("block", "doc", "comp"))
-    x = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
-    i, j = table["i"][0].as_py(), table["j"][0].as_py()
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    a, b = [], []
-    for row in left:
-        other = right[comp[right] != comp[row]]
-        if i == j:
-            other = other[doc[other] > doc[row]]
-        if len(other):
-            hit = other[(x[other] == x[row]).mean(axis=1) >= LEAST_AGREEMENT]
-            a += np.minimum(doc[row], doc[hit]).tolist()
-            b += np.maximum(doc[row], doc[hit]).tolist()
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the left sets with the right ones, as products of 0/1 matrices over the shingles that several sets have."""
+    value, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    column = np.cumsum(times > 1) - 1
+    keep = times[place] > 1
+    row, column = row[keep], column[place[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, (first, first + 4096))
+        x = np.zeros((len(sets), 4096), np.float32)
+        x[row[a:b], column[a:b] - first] = 1
+        out += x[left] @ x[right].T
+    return out
+
+
+def _block_links(k: int, similar: tuple[int, int]):
+    """Within one pair of blocks of a pivot's group (columns i, j, block, doc, comp, text): links that join its different components, as a forest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc")
+        block, doc, comp = (np.asarray(table[c]) for c in ("block", "doc", "comp"))
+        raw, at = utf8(table["text"])
+        sets = [s for first, past in row_slices(at) for s in shingle_sets(raw[at[first] : at[past]], at[first : past + 1] - at[first], k)]
+        left, right = np.flatnonzero(block == table["i"][0].as_py()), np.flatnonzero(block == table["j"][0].as_py())
+        size = np.array([len(s) for s in sets], np.int64)
+        both = _shared_counts(sets, left, right).astype(np.int64)
+        linked = similar[1] * both >= similar[0] * (size[left][:, None] + size[right][None, :] - both)
+        linked &= (comp[left][:, None] != comp[right][None, :]) & (both > 0)
+        a, b = np.nonzero(linked)
+        parent = {c: c for c in np.unique(comp).tolist()}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        out = []
+        for x, y in zip(left[a].tolist(), right[b].tolist(), strict=True):
+            p, q = root(int(comp[x])), root(int(comp[y]))
+            if p != q:
+                parent[p] = q
+                out.append((min(int(doc[x]), int(doc[y])), max(int(doc[x]), int(doc[y]))))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -237,25 +269,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int,
     nodes = materialize(nodes, "nodes")
     buckets = nodes.select(F.explode("bands").alias("band"), F.col("doc_id").alias("doc"))
     order = Window.partitionBy("band").orderBy("doc")
-    pivots = buckets.withColumn("a", F.first("doc").over(order)).where("a <> doc").select("a", F.col("doc").alias("b")).distinct()
+    pivots = materialize(buckets.withColumn("a", F.first("doc").over(order)).where("a <> doc").select("a", F.col("doc").alias("b")).distinct(), "pivots")
     sketch = nodes.select(F.col("doc_id").alias("id"), "sketch")
     pairs = pivots.join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b").join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a")
     pairs = materialize(pairs.select("a", "b", "x", "y").mapInArrow(_agreeing, "a long, b long"), "candidates")
     links = materialize(_links(pairs, texts, shingle, similar), "confirmed")
     comp = materialize(components(links), "components")
 
-    # Buckets that still hold several components: their other pairs, of different components only.
-    placed = buckets.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    mixed_ = placed.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("m > 2 AND low <> high")
-    rest = placed.join(mixed_.select("band", "m"), "band").join(sketch.withColumnRenamed("id", "doc"), "doc")
+    # A bucket's members all met its pivot.  Where the pivot's group still holds several components, their members meet each other, in blocks.
+    group = pivots.select(F.col("a").alias("pivot"), F.col("b").alias("doc")).unionByName(pivots.select(F.col("a").alias("pivot"), F.col("a").alias("doc")).distinct())
+    placed = group.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    mixed_ = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("m > 2 AND low <> high")
+    rest = placed.join(mixed_.select("pivot", "m"), "pivot").where("doc <> pivot")
     rest = rest.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "comp", "sketch")
-    more = rest.groupBy("band", "i", "j").applyInArrow(_block_pairs, "a long, b long").distinct()
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "candidates")
+    rest = materialize(rest, "rest")
+    rest = rest.hint("shuffle_hash").join(texts.withColumnRenamed("doc_id", "doc"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "comp", "text")
+    more = materialize(rest.groupBy("pivot", "i", "j").applyInArrow(_block_links(shingle, similar), "a long, b long"), "more")
     if more.limit(1).count():
-        links = links.unionByName(materialize(_links(more, texts, shingle, similar), "confirmed"))
-        comp = components(links)
+        comp = components(links.unionByName(more))
     found = sets.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left").join(comp, F.col("rep") == F.col("doc"), "left")
     comp_id = F.coalesce("comp", "rep", "doc_id")
     comp_id = F.when(F.col("doc_id").isNotNull(), comp_id)

@@ -4,10 +4,10 @@ Voters: single words and word stems (a public English list, and those that the l
 rarer stems, and patterns.  A voter fires on a text or abstains.  A generative label model estimates by expectation-maximisation how often each
 voter fires on toxic and on clean texts, and how voters correlate within a class; a cluster of correlated voters counts as little more than
 one of them.  Its posteriors label the texts from which a logistic regression over voter counts and text shape is trained; its
-probability is the score.
+logit, scaled to the labelled training rows, gives the score.
 
 Bounds: stems are mined from at most ``MINE_ROWS`` labelled rows, and the regression is trained on at most ``TRAIN_ROWS`` rows with
-posteriors; the label model's sums cover all training rows.
+posteriors, and scaled on at most as many labelled ones; the label model's sums cover all training rows.
 
 Defined cases: null and empty texts fire no voter and get the regression's score for such a text; labels that are null, or whose doc_id is no document, train nothing;
 of several labels for one document the highest counts (in mining, each); without labels the public list alone votes; equal texts get equal scores; an empty table gives an empty table;
@@ -256,12 +256,29 @@ def fit(docs: DataFrame, labels: DataFrame, mine_rows: int = MINE_ROWS, train_ro
     rare[v - len(PATTERNS) :] = 0.1
     model = fit_label_model(patterns, v, LabelModel(flat, rare, 0.1, np.ones(v)))
     total = votes.count()
-    chosen = votes.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(min(1.0, train_rows / max(total, 1)) * (1 << 20))).select("x").limit(train_rows).collect()
+    chosen = _sample(votes, total, train_rows).select("x").collect()
     if not chosen:
         return Classifier(voters, np.zeros(v + SHAPE), -3.0)
     x = np.frombuffer(b"".join(bytes(r.x) for r in chosen), "<f4").reshape(-1, v + SHAPE).astype(float)
     coef, bias = _logistic(_features(x), model.posterior((x[:, :v] > 0).astype(float)))
-    return Classifier(voters, coef, bias)
+    return _scaled(Classifier(voters, coef, bias), _sample(votes.join(_sample(known, known.count(), train_rows), "doc_id"), 1, train_rows))
+
+
+def _sample(rows: DataFrame, total: int, most: int) -> DataFrame:
+    """About ``most`` of ``total`` rows, chosen by their ids, and no more."""
+    share = min(1.0, most / max(total, 1))
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(share * (1 << 20))).limit(most)
+
+
+def _scaled(model: Classifier, labelled: DataFrame) -> Classifier:
+    """The classifier with its logit scaled and moved so that labelled rows get true probabilities; as it is where a label has under MIN_SUPPORT rows."""
+    rows = labelled.select("x", "known").collect()
+    y = np.array([r.known for r in rows], float)
+    if min((y == 1).sum(), (y == 0).sum()) < MIN_SUPPORT:
+        return model
+    x = np.frombuffer(b"".join(bytes(r.x) for r in rows), "<f4").reshape(len(rows), -1).astype(float)
+    slope, move = _logistic((_features(x) @ model.coef + model.bias)[:, None], y)
+    return Classifier(model.voters, model.coef * slope[0], model.bias * slope[0] + move) if slope[0] > 0 else model
 
 
 def _score_batches(model: Classifier):

@@ -141,13 +141,13 @@ def redacted(text: Column, secrets: Sequence[str], mask: str = "***") -> Column:
 
 
 def size_label(size: Column) -> Column:
-    """Bytes as B, KB, MB or GB by 1024, one decimal from KB on; null without a positive size."""
+    """Bytes with one decimal in B, KB, MB or GB by 1024; null without a positive size."""
+    size = size.cast("double")
     out = F.lit(None).cast("string")
-    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        scaled = F.bround(size.cast("double") / 1024.0**power, 1)
-        label = F.concat(F.format_string("%.1f", scaled), F.lit(f" {unit}"))
-        out = F.when(out.isNull() & (size >= 1024**power), label).otherwise(out)
-    return F.when(size > 0, F.coalesce(out, F.concat(size.cast("string"), F.lit(" B"))))
+    for power, unit in enumerate(("B", "KB", "MB", "GB")):
+        label = F.concat(F.format_string("%.1f", F.bround(size / 1024.0**power, 1)), F.lit(unit))
+        out = F.when(size >= 1024**power if power else size > 0, label).otherwise(out)
+    return out
 
 
 def language_code(name: Column, aliases: dict[str, str]) -> Column:

@@ -10,10 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What takes no blank before it, what takes none after it, and what ends a sentence or a clause.
+TIGHT_FIRST, TIGHT_LAST = "'.,!?;:)]}。，！？；：", '([{"'
+SENTENCE_MARKS, CLAUSE_MARKS = ".!?;:。！？；：", ",，、"
 NO_SPACE_BEFORE = r"^['.,!?;:)\]}。，！？；：]"
 NO_SPACE_AFTER = r"[(\[{\"]$"
 SENTENCE_END = r"[.!?;:。！？；：]$"
-CLAUSE_END = r"[,，、]$"
 NUMBER = r"\d+(?:[.,:]\d+)*"
 
 

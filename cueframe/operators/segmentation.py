@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueframe.functions.text import CLAUSE_END, NO_SPACE_AFTER, NO_SPACE_BEFORE, SENTENCE_END, Rule, glue, plain_token, wrapped
+from cueframe.functions.text import CLAUSE_MARKS, SENTENCE_END, SENTENCE_MARKS, TIGHT_FIRST, TIGHT_LAST, Rule, glue, plain_token, wrapped
 from cueframe.functions.timecode import block_cps, srt_time
 
 
@@ -78,45 +78,42 @@ def protected_spans(words: DataFrame, terms: Sequence[Sequence[str]]) -> DataFra
     return words.withColumn("span", span).drop("c_plain", *[f"c_hit{k}" for k in range(len(terms))])
 
 
+def _tight(text: str, word: str) -> bool:
+    return (word[:1] in TIGHT_FIRST) or (text[-1:] in TIGHT_LAST)
+
+
 def _fold_batches(p: Profile):
-    before, after, clause, sentence = (re.compile(x) for x in (NO_SPACE_BEFORE, NO_SPACE_AFTER, CLAUSE_END, SENTENCE_END))
-
-    def fold(units: list[dict]) -> Iterator[list]:
-        block: list | None = None
-        for u in units:
-            held = block is not None and block[5] is not None and block[5] == u["span"]
-            if block is not None:
-                text = block[4] + ("" if before.search(u["word"]) or after.search(block[4]) else " ") + u["word"]
-                lasted = block[3] - block[2]
-                ends = not held and (
-                    (u["start_ms"] - block[3] >= p.pause_ms and lasted >= p.min_ms)
-                    or (p.sentence and sentence.search(block[4]) is not None)
-                    or (p.clause and lasted >= p.min_ms and clause.search(block[4]) is not None)
-                    or u["end_ms"] - block[2] > p.max_ms
-                    or len(text) > p.most_chars
-                )
-                if not ends:
-                    block[1], block[3], block[4], block[5] = u["i"], u["end_ms"], text, u["span"]
-                    continue
-                yield block[:5]
-            block = [u["i"], u["i"], u["start_ms"], u["end_ms"], u["word"], u["span"]]
-        if block is not None:
-            yield block[:5]
+    def fold(at: list[int], start: list[int], end: list[int], words: list[str], spans: list[dict | None]) -> Iterator[tuple]:
+        text, first, begun, span = words[0], at[0], start[0], spans[0]
+        done = end[0]
+        for k in range(1, len(at)):
+            word, now = words[k], end[k]
+            longer = text + word if _tight(text, word) else f"{text} {word}"
+            if not (span is not None and span == spans[k]) and (
+                (done - begun >= p.min_ms and (start[k] - done >= p.pause_ms or (p.clause and text[-1:] in CLAUSE_MARKS)))
+                or (p.sentence and text[-1:] in SENTENCE_MARKS)
+                or now - begun > p.max_ms
+                or len(longer) > p.most_chars
+            ):
+                yield first, at[k - 1], begun, done, text
+                text, first, begun = word, at[k], start[k]
+            else:
+                text = longer
+            done, span = now, spans[k]
+        yield first, at[-1], begun, done, text
 
     return _list_batches(fold)
 
 
 def _merge_batches(p: Profile):
-    before, after = re.compile(NO_SPACE_BEFORE), re.compile(NO_SPACE_AFTER)
+    def join(a: tuple, b: tuple) -> tuple:
+        return a[0], b[1], a[2], b[3], a[4] + ("" if _tight(a[4], b[4]) else " ") + b[4]
 
-    def join(a: list, b: list) -> list:
-        return [a[0], b[1], a[2], b[3], a[4] + ("" if before.search(b[4]) or after.search(a[4]) else " ") + b[4]]
-
-    def fits(a: list) -> bool:
+    def fits(a: tuple) -> bool:
         return a[3] - a[2] <= p.max_ms and len(a[4]) <= p.most_chars
 
-    def merge(units: list[dict]) -> list[list]:
-        blocks, out, k = [[u["first_i"], u["last_i"], u["start_ms"], u["end_ms"], u["text"]] for u in units], [], 0
+    def merge(*columns: list) -> list[tuple]:
+        blocks, out, k = list(zip(*columns, strict=True)), [], 0
         while k < len(blocks):
             b = blocks[k]
             short = len(blocks) > 1 and b[3] - b[2] < p.min_ms
@@ -137,18 +134,25 @@ BLOCK_COLUMNS = "conv_id long, first_i long, last_i long, start_ms long, end_ms
 
 
 def _list_batches(each):
+    """``conv_id`` and the parallel lists of a group's fields -> blocks."""
     kinds = [pa.int64()] * 5 + [pa.string()]
     names = [c.split()[0] for c in BLOCK_COLUMNS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(conv, *b) for conv, units in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for b in each(units)]
+            rows = [(conv, *b) for conv, *lists in zip(*[c.to_pylist() for c in batch.columns], strict=True) for b in each(*lists)]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return run
 
 
+def _listed(rows: DataFrame, keys: list[str], *fields: str) -> DataFrame:
+    """``conv_id`` and a list of each field, all in order of the first."""
+    units = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("c_units"))
+    return units.select("conv_id", *[F.col("c_units").getField(f).alias(f) for f in fields])
+
+
 def blocks(words: DataFrame, profile: Profile = PROFILES["default"], rules: Sequence[Rule] = ()) -> DataFrame:
     """``conv_id, block, first_i, last_i, start_ms, end_ms, text``: words ``conv_id, i, start_ms, end_ms, word`` in blocks, numbered from 1 in order."""
     order = Window.partitionBy("conv_id").orderBy("i")
@@ -156,12 +160,10 @@ def blocks(words: DataFrame, profile: Profile = PROFILES["default"], rules: Sequ
     words = protected_spans(words, terms) if terms else words.withColumn("span", F.lit(None).cast("struct<term:int,first:bigint>"))
     held = F.coalesce(F.lag("span").over(order) == F.col("span"), F.lit(False))
     ended = F.coalesce(F.lag("word").over(order).rlike(SENTENCE_END), F.lit(False)) if profile.sentence else F.lit(False)
-    words = words.withColumn("c_cut", (ended & ~held).cast("int")).withColumn("sentence", F.sum("c_cut").over(order))
-    units = F.sort_array(F.collect_list(F.struct("i", "start_ms", "end_ms", "word", "span"))).alias("units")
-    out = words.groupBy("conv_id", "sentence").agg(units).select("conv_id", "units").mapInArrow(_fold_batches(profile), BLOCK_COLUMNS)
+    words = words.withColumn("c_cut", (ended & ~held).cast("int")).withColumn("sentence", F.sum("c_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = _listed(words, ["conv_id", "sentence"], "i", "start_ms", "end_ms", "word", "span").mapInArrow(_fold_batches(profile), BLOCK_COLUMNS)
     if profile.merge and profile.min_ms:
-        units = F.sort_array(F.collect_list(F.struct("first_i", "last_i", "start_ms", "end_ms", "text"))).alias("units")
-        out = out.groupBy("conv_id").agg(units).mapInArrow(_merge_batches(profile), BLOCK_COLUMNS)
+        out = _listed(out, ["conv_id"], "first_i", "last_i", "start_ms", "end_ms", "text").mapInArrow(_merge_batches(profile), BLOCK_COLUMNS)
     return out.withColumn("block", F.row_number().over(Window.partitionBy("conv_id").orderBy("first_i")).cast("long"))
 
 

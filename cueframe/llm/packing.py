@@ -27,8 +27,8 @@ from cueframe.llm.common import materialize
 WINDOW, END_ID = 2048, 1
 #: Partition totals are 16 bytes each; up to this many are broadcast, more are joined by shuffle.
 BROADCAST_PARTITIONS = 500_000
-#: Entries of a worker's word cache, about 150 bytes each.
-CACHE_WORDS = 2_000_000
+#: Entries of a worker's word cache, about a kilobyte each with what they fragment; workers live on, so the cache is cleared beyond it.
+CACHE_WORDS = 150_000
 
 #: Texts of other characters than these go to the tokenizer whole: here Python's classes and lower-casing agree with its own.
 _UNSAFE = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u012f\\u0132-\\u0148\\u014a-\\u017e]")

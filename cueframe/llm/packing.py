@@ -27,8 +27,8 @@ from cueframe.llm.common import materialize
 WINDOW, END_ID = 2048, 1
 #: Partition totals are 16 bytes each; up to this many are broadcast, more are joined by shuffle.
 BROADCAST_PARTITIONS = 500_000
-#: Entries of a worker's word cache, about a kilobyte each with what they fragment; workers live on, so the cache is cleared beyond it.
-CACHE_WORDS = 150_000
+#: Entries of a worker's word cache in each of two generations, about 350 bytes each: workers live on, so what was not met lately is dropped.
+CACHE_WORDS = 400_000
 
 #: Texts of other characters than these go to the tokenizer whole: here Python's classes and lower-casing agree with its own.
 _UNSAFE = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u012f\\u0132-\\u0148\\u014a-\\u017e]")
@@ -58,6 +58,7 @@ class WordTokenizer:
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind)
@@ -75,9 +76,9 @@ class WordTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = []
         open_rows: list[tuple[int, list[str], list[bytes | None]]] = []
-        words = self.words
-        if len(words) > CACHE_WORDS:
-            words.clear()
+        if len(self.words) > CACHE_WORDS:
+            self.older, self.words = self.words, {}
+        words, older = self.words, self.older
         for text in texts:
             text = text or ""
             safe = self.mark is not None and not _UNSAFE.search(text) and "<|" not in text
@@ -96,6 +97,10 @@ class WordTokenizer:
                 out.append(b"".join(got))
         if open_rows:
             missing = dict.fromkeys(p for _, parts, got in open_rows for p, x in zip(parts, got, strict=True) if x is None)
+            if older:
+                known = {p: older[p] for p in missing if p in older}
+                words.update(known)
+                missing = [p for p in missing if p not in known]
             split = {p: _PIECE.findall(p) for p in missing}
             if new := [x for x in dict.fromkeys(x for parts in split.values() for x in parts) if x not in words]:
                 self._learn(new)

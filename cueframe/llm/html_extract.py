@@ -1,9 +1,10 @@
 """HTML main text by a site style tree.
 
 The DOMs of a host's pages are merged by path (tag, classes and id from the body down).  A branch's composite importance is the larger of two
-normalised entropies over the host's pages: of its presentations (the sequence of child tags) and of its contents (the text beneath it), times a prior of the
+normalised entropies over the host's pages that have text beneath it: of its presentations (the sequence of child tags) and of its contents (the text beneath it), times a prior of the
 element's role: 0 for menus, headers, footers, sidebars, notices, adverts, forms and comments, 1 for others.  Branches under ``LEAST`` are
-removed from each page; the blocks that remain are its text.  A host with fewer than ``MIN_PAGES`` pages that have a branch cannot tell, and
+removed from each page; the blocks that remain are its text.  A block belongs to the branches that hold all of it, so a link or emphasis within a
+paragraph does not decide on the paragraph.  A host with fewer than ``MIN_PAGES`` pages that have a branch's text cannot tell, and
 its importance is the prior.
 
 Defined cases: a null or empty html has an empty text; a null or odd url has the host ''; if only the entropies would remove all of a page's text
@@ -17,6 +18,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 import xxhash
@@ -86,7 +88,7 @@ def _role(tag: str, attrs: dict[str, str], main: bool) -> bool:
 
 
 class Page:
-    """A parsed page: ``nodes``, and ``blocks`` of (indexes of the open nodes, text) in page order."""
+    """A parsed page: ``nodes``, and ``blocks`` of (indexes of the nodes that hold all of it, text) in page order."""
 
     __slots__ = ("blocks", "nodes")
 
@@ -96,27 +98,25 @@ class Page:
         source = source or ""
         stack: list[int] = []
         nodes = self.nodes
-        buffer: list[str] = []
-        owner: tuple[int, ...] = ()
+        pieces: list[tuple[tuple[int, ...], str]] = []
         at = 0
 
         def flush() -> None:
-            nonlocal buffer
-            if buffer and (text := " ".join(html.unescape("".join(buffer)).split())):
-                self.blocks.append((owner, text))
-            buffer = []
+            owner = None
+            for held, text in pieces:
+                if _shown(held) and html.unescape(text).strip():
+                    owner = held if owner is None else _common(owner, held)
+            for shown, run in groupby(pieces, lambda piece: _shown(piece[0])):
+                run = list(run)
+                if text := " ".join(html.unescape("".join(t for _, t in run)).split()):
+                    self.blocks.append((owner if shown and owner is not None else run[0][0], text))
+            pieces.clear()
 
         def said(text: str) -> None:
-            nonlocal owner
-            if not buffer:
-                owner = tuple(stack)
-            elif owner != tuple(stack) and _shown(owner) != _shown(stack):
-                flush()
-                owner = tuple(stack)
-            buffer.append(text)
+            pieces.append((tuple(stack), text))
 
-        def _shown(open_nodes) -> bool:
-            return not any(nodes[i].drop for i in open_nodes)
+        def _shown(held: tuple[int, ...]) -> bool:
+            return not (held and nodes[held[-1]].drop)
 
         for m in _TOKEN.finditer(source):
             if (first := m.start()) > at:
@@ -178,6 +178,14 @@ class Page:
         return "\n".join(out)
 
 
+def _common(a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
+    """The nodes that a and b begin with."""
+    k = 0
+    while k < len(a) and k < len(b) and a[k] == b[k]:
+        k += 1
+    return a[:k]
+
+
 def path_key(path: str) -> int:
     return xxhash.xxh3_64_intdigest(path) - (1 << 63)
 
@@ -188,7 +196,7 @@ def host_of(url: str | None) -> str:
 
 
 def _tree_rows(source: str | None) -> list[tuple[int, int, int]]:
-    """(path, presentation, content) of each path of a page whose prior is not 0."""
+    """(path, presentation, content) of each path of a page that holds text and whose prior is not 0."""
     page = Page(source)
     style: dict[str, list[str]] = {}
     content: dict[str, list[str]] = {}
@@ -199,7 +207,7 @@ def _tree_rows(source: str | None) -> list[tuple[int, int, int]]:
         for path in {page.nodes[i].path for i in owner if not page.nodes[i].drop}:
             content.setdefault(path, []).append(text)
     sign = 1 << 63
-    return [(path_key(p), xxhash.xxh3_64_intdigest("|".join(s)) - sign, xxhash.xxh3_64_intdigest("\n".join(content.get(p, ()))) - sign) for p, s in style.items()]
+    return [(path_key(p), xxhash.xxh3_64_intdigest("|".join(style[p])) - sign, xxhash.xxh3_64_intdigest("\n".join(c)) - sign) for p, c in content.items()]
 
 
 def _tree_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -143,6 +143,21 @@ def test_main_text_leaves_boilerplate_out(spark):
     assert all(n == len(t) for t, n in got.values())
 
 
+def test_inline_elements_do_not_decide_on_paragraphs_of_a_large_host(spark):
+    def page(k):
+        rare = f"<p><a href=x>Link {k}</a> opens this.<p><em>Correction {k}</em></p><figure><img><figcaption>Caption {k}</figcaption></figure>" if k % 100 == 7 else "<figure><img></figure>"
+        return (
+            f"<body><div class=page><span class=tagline>Always the same</span><article><p>Text {k} with <a href=x>a link</a> and <em>stress</em> within.{rare}"
+            f"<p> <a class=tag>News</a> of day {k}<span class=share>share</span> <a class=tag>News</a> again</article></div></body>"
+        )
+
+    rows = [(k, "http://big.example.com/x", page(k)) for k in range(1200)]
+    got = {r.page_id: r.text.split("\n") for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(1200):
+        rare = [f"Link {k} opens this.", f"Correction {k}", f"Caption {k}"] if k % 100 == 7 else []
+        assert got[k] == [f"Text {k} with a link and stress within.", *rare, f"News of day {k}", "News again"]
+
+
 # Chat
 
 

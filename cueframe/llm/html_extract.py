@@ -9,7 +9,8 @@ its importance is the prior.
 
 Defined cases: a null or empty html has an empty text; a null or odd url has the host ''; if only the entropies would remove all of a page's text
 (a host whose pages are all alike) the prior alone decides; equal pages of one host get equal texts; an empty table gives an empty table; other columns are
-ignored.  A page that ends within a tag, comment or script loses that piece.
+ignored.  A page that ends within a tag, comment or raw text (script, style, title and the like) loses that piece; a self-closed element of raw text
+that no closing tag follows is empty.  What stands in svg, template, noscript and formula annotations is no text; formulas, objects and canvases hold text.
 """
 
 from __future__ import annotations
@@ -31,9 +32,8 @@ LEAST, MIN_PAGES = 0.2, 4
 #: Unimportant paths of all hosts that are broadcast (8 bytes each); more are joined by shuffle, each host's pages in SALTS parts.
 BROADCAST_PATHS, SALTS = 200_000, 16
 
-_RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|canvas|noembed|noframes|xmp"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + _RAW + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attr>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[a-zA-Z/!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
@@ -42,6 +42,7 @@ _WORD = re.compile(r"[a-z]+")
 _HOST = re.compile(r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 # Element classes of HTML.
+_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in "script style textarea title iframe noembed noframes xmp".split()}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend"
@@ -60,6 +61,15 @@ _NO_WORDS = frozenset(
     " nav navbar navigation toolbar topbar footer copyright disclaimer comment comments reply replies respond disqus search complementary contentinfo masthead header dialog form".split()
 )
 _MAIN = frozenset(("article", "main"))
+#: Elements whose text is never said, so that it does not part the text around them.
+_SILENT = frozenset("svg template noscript title annotation annotation-xml".split())
+#: Elements whose inside does not close what is open outside.
+_SCOPE = frozenset("svg math template noscript object".split())
+_FOREIGN = frozenset(("svg", "math"))
+_HTML_IN_FOREIGN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+_LEAVES_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 
 
 @dataclass(slots=True)
@@ -68,6 +78,8 @@ class Node:
     path: str
     drop: bool
     main: bool
+    silent: bool
+    foreign: bool
     children: list[str] = field(default_factory=list)
     texts: list[str] = field(default_factory=list)
 
@@ -76,6 +88,8 @@ def _role(tag: str, attrs: dict[str, str], main: bool) -> bool:
     """Whether the prior of the element's role is 0.  A header within the article holds its title."""
     if tag in ("html", "body", "article", "main"):
         return False
+    if tag in _SILENT:
+        return True
     if tag in _NO_TAGS and not (tag == "header" and main):
         return True
     if not attrs:
@@ -99,6 +113,7 @@ class Page:
         stack: list[int] = []
         nodes = self.nodes
         pieces: list[tuple[tuple[int, ...], str]] = []
+        unclosed: set[str] = set()
         at = 0
 
         def flush() -> None:
@@ -113,12 +128,14 @@ class Page:
             pieces.clear()
 
         def said(text: str) -> None:
+            if stack and nodes[stack[-1]].silent:
+                return
             pieces.append((tuple(stack), text))
 
         def _shown(held: tuple[int, ...]) -> bool:
             return not (held and nodes[held[-1]].drop)
 
-        for m in _TOKEN.finditer(source):
+        while m := _TOKEN.search(source, at):
             if (first := m.start()) > at:
                 said(source[at:first])
             at = m.end()
@@ -126,30 +143,43 @@ class Page:
                 continue
             tag = tag.lower()
             if m["end"]:
-                if tag in _BLOCK:
+                closes = next((k for k in range(len(stack) - 1, -1, -1) if nodes[stack[k]].tag == tag), len(stack))
+                inner = stack[min(closes, len(stack) - 1)] if stack else None
+                if tag in _BLOCK and (inner is None or not nodes[inner].silent):
                     flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if nodes[stack[k]].tag == tag:
-                        del stack[k:]
-                        break
+                del stack[closes:]
+                continue
+            empty = m["attr"].endswith("/")
+            if tag in _LEAVES_FOREIGN:
+                while stack and nodes[stack[-1]].foreign:
+                    del stack[-1]
+            if tag in _RAW and not ((empty or tag == "title") and stack and nodes[stack[-1]].foreign):
+                if tag not in unclosed and (close := _RAW[tag].search(source, at)):
+                    at = close.end()
+                else:
+                    unclosed.add(tag)
+                    at = at if empty else len(source)
                 continue
             if tag == "br":
                 said(" ")
                 continue
             if tag in _BLOCK:
-                flush()
+                if not (stack and nodes[stack[-1]].silent):
+                    flush()
                 if tag in _CLOSES_P:
                     for k in range(len(stack) - 1, -1, -1):
-                        if nodes[stack[k]].tag == "p":
+                        if (open_tag := nodes[stack[k]].tag) == "p":
                             del stack[k:]
                             break
+                        if open_tag in _SCOPE:
+                            break
                 elif tag in _ITEM:
                     peers, stop = _ITEM[tag]
                     for k in range(len(stack) - 1, -1, -1):
                         if (open_tag := nodes[stack[k]].tag) in peers:
                             del stack[k:]
                             break
-                        if open_tag in stop:
+                        if open_tag in stop or open_tag in _SCOPE:
                             break
             if tag in _VOID:
                 if stack:
@@ -158,11 +188,13 @@ class Page:
             attrs = {a.lower(): x or y or z for a, x, y, z in _ATTR.findall(m["attr"])} if m["attr"] else {}
             parent = nodes[stack[-1]] if stack else None
             main = tag in _MAIN or bool(parent and parent.main)
+            silent = tag in _SILENT or bool(parent and parent.silent)
+            foreign = tag in _FOREIGN or bool(parent and parent.foreign and tag not in _HTML_IN_FOREIGN)
             key = tag + "".join(f".{c}" for c in sorted(attrs["class"].split())) if "class" in attrs else tag
             if parent:
                 parent.children.append(key)
-            nodes.append(Node(tag, f"{parent.path}/{key}" if parent else key, bool(parent and parent.drop) or _role(tag, attrs, main), main))
-            if m["attr"].endswith("/") and tag not in _BLOCK:
+            nodes.append(Node(tag, f"{parent.path}/{key}" if parent else key, bool(parent and parent.drop) or _role(tag, attrs, main), main, silent, foreign))
+            if empty and (foreign or tag not in _BLOCK):
                 continue
             stack.append(len(nodes) - 1)
         if at < len(source):

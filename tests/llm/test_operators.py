@@ -158,6 +158,25 @@ def test_inline_elements_do_not_decide_on_paragraphs_of_a_large_host(spark):
         assert got[k] == [f"Text {k} with a link and stress within.", *rare, f"News of day {k}", "News again"]
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ('<p>One <svg class="i"/> two</p><p>three</p>', "One two\nthree"),
+        ("<p>One <svg class=i><title>Icon<g/></title><style/><path d='M1'/><text>label</text>\n</svg> two<p>three", "One two\nthree"),
+        ("<p>One <svg><style/><circle></svg> two <svg><path> lost<p>three</p>", "One two\nthree"),
+        ("<title-x>One</title-x><style-guide><p>two</p></style-guide><object-card>three</object-card>", "One\ntwo\nthree"),
+        ("<p>If <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> then <math/>so</p>", "If x=2 then so"),
+        ("<p>a <object data=x><param name=y><p>inner</p></object> b <canvas>drawn</canvas> c</p>", "a\ninner\nb drawn c"),
+        ("<p>a <noscript><div>no</div></noscript>b <template><p>no<li>no</template>c</p>d", "a b c\nd"),
+        ("<head><title>T</title><script>'</p><svg>'</script ><STYLE>p > a {}</STYLE></head><p>a<textarea><p>no</textarea>b<iframe src=x />c<xmp/>d", "abcd"),
+        ("<p>a<script src=x />b<p>c", "ab\nc"),
+        ("a<script>b<p>c", "a"),
+    ],
+)
+def test_only_raw_text_elements_take_all_up_to_their_end(source, text):
+    assert html_extract.Page(source).text() == text
+
+
 # Chat
 
 

@@ -2,7 +2,8 @@
 
 A layout is known by the hash of its nested field paths.  The hash selects a declarative mapping
 that turns prompt, instruction and message layouts into canonical turns ``(role, text)``; typed tables
-are mapped when the plan is built, JSON rows one by one.
+are mapped when the plan is built, JSON rows one by one.  A row with a known layout's fields and further ones has that layout, of several the
+one with most fields, then the first declared; an empty list of turns gives no turns.
 
 Defined cases: null texts and roles are empty; rows of one conversation are ordered by
 ``(turn, role, text)``, nulls first, so ties and repeated rows have one result; a JSON row of an unknown
@@ -69,6 +70,7 @@ def _listed(field: str, role: str, text: str) -> str:
 
 
 LAYOUTS = (
+    Layout("turn", "role string, text string", "array(named_struct('role', role, 'text', text))"),
     Layout("messages", "messages array<struct<role:string,content:string>>", _listed("messages", "role", "content")),
     Layout("conversations", "conversations array<struct<`from`:string,value:string>>", _listed("conversations", "`from`", "value")),
     Layout("dialog", "dialog array<struct<speaker:string,text:string>>", _listed("dialog", "speaker", "text")),
@@ -85,23 +87,60 @@ LAYOUTS = (
 )
 
 
+def _leaf(value: str) -> str:
+    """SQL: whether the variant is there and a plain value."""
+    return f"(schema_of_variant({value}) NOT LIKE 'OBJECT<%' AND schema_of_variant({value}) NOT LIKE 'ARRAY<%' AND schema_of_variant({value}) <> 'VARIANT')"
+
+
+def _wider(layout: Layout, empty: bool = False) -> Column:
+    """Whether the variant ``v`` has all fields of the layout, whatever others; with ``empty``, its list without elements."""
+    tests = []
+    for field in T._parse_datatype_string(layout.schema).fields:
+        if not isinstance(field.dataType, T.ArrayType):
+            tests.append("false" if empty else f"coalesce({_leaf(f"variant_get(v, '$.{field.name}', 'variant')")}, false)")
+            continue
+        items = f"try_variant_get(v, '$.{field.name}', 'array<variant>')"
+        if empty:
+            tests.append(f"coalesce(size({items}) = 0, false)")
+            continue
+        tests.append(f"coalesce(forall({items}, m -> schema_of_variant(m) LIKE 'OBJECT<%' OR schema_of_variant(m) = 'VOID'), false)")
+        for inner in field.dataType.elementType.fields:
+            value = f"try_variant_get(m, '$.{inner.name}', 'variant')"
+            tests.append(f"coalesce(exists({items}, m -> coalesce({_leaf(value)}, false)) AND forall({items}, m -> coalesce({_leaf(value)}, true)), false)")
+    return F.expr(" AND ".join(tests))
+
+
+def _size(layout: Layout) -> int:
+    fields = T._parse_datatype_string(layout.schema).fields
+    return sum(len(f.dataType.elementType.fields) if isinstance(f.dataType, T.ArrayType) else 1 for f in fields)
+
+
 def turns_from_json(df: DataFrame, id_col: str, payload_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """One row per input row: id, ``layout`` (null if unknown) and canonical ``turns``."""
     df = df.select(F.col(id_col).alias("conv_id"), F.col(payload_col).cast("string").alias("payload"))
-    df = df.withColumn("key", json_fingerprint("payload"))
-    name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    df = df.withColumn("key", json_fingerprint("payload")).withColumn("v", F.try_parse_json("payload"))
+    exact, wide, empty, turns = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    for layout in layouts:
+        exact = F.coalesce(exact, F.when(F.col("key") == layout.key, layout.name))
+        empty = F.coalesce(empty, F.when(_wider(layout, empty=True), layout.name))
+    for layout in sorted(layouts, key=_size, reverse=True):
+        wide = F.coalesce(wide, F.when(_wider(layout), layout.name))
+    df = df.withColumn("layout", F.coalesce(exact, wide, empty))
     for layout in layouts:
-        known = F.col("key") == layout.key
-        name = F.when(known, layout.name).otherwise(name)
         parsed = F.from_json("payload", T._parse_datatype_string(layout.schema))
         fields = [f.name for f in T._parse_datatype_string(layout.schema).fields]
-        body = layout.turns
-        for field in sorted(fields, key=len, reverse=True):
-            df = df.withColumn(f"{layout.name}__{field}", parsed[field])
         for field in fields:
-            body = _qualified(body, field, f"`{layout.name}__{field}`")
-        turns = F.when(known, F.expr(body).cast(TURNS)).otherwise(turns)
-    return df.select("conv_id", "key", name.alias("layout"), turns.alias("turns"))
+            df = df.withColumn(f"{layout.name}__{field}", parsed[field])
+        turns = F.when(F.col("layout") == layout.name, _turns(layout, {field: f"`{layout.name}__{field}`" for field in fields})).otherwise(turns)
+    return df.select("conv_id", "key", "layout", turns.alias("turns"))
+
+
+def _turns(layout: Layout, columns: dict[str, str]) -> Column:
+    """The layout's turns, its fields read from these columns."""
+    body = layout.turns
+    for field, column in columns.items():
+        body = _qualified(body, field, column)
+    return F.expr(body).cast(TURNS)
 
 
 def _qualified(body: str, field: str, column: str) -> str:
@@ -110,15 +149,19 @@ def _qualified(body: str, field: str, column: str) -> str:
     return re.sub(rf"(?<![\w.'`]){re.escape(field)}(?![\w'`(])", column, body)
 
 
-def turn_rows(df: DataFrame) -> DataFrame:
-    """Rows ``conv_id, turn, role, text`` from either of the typed layouts: rows by turn, or one list of turns."""
+def turn_rows(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """Rows ``conv_id, turn, role, text`` from a table of ``conv_id``, ``turn`` if each row is a turn, and the fields of a declared layout, or from one list ``turns``."""
     if "turns" in df.columns:
         rows = df.select("conv_id", F.posexplode("turns").alias("turn", "t"))
         return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
-    kind = T.StructType([df.schema[c] for c in ("role", "text")])
-    if fingerprint(kind) != fingerprint(T._parse_datatype_string("role string, text string")):
+    kind = T.StructType([f for f in df.schema if f.name not in ("conv_id", "turn")])
+    layout = next((layout for layout in layouts if layout.key == fingerprint(kind)), None)
+    if layout is None:
         raise ValueError("no mapping for this layout")
-    return df.select("conv_id", "turn", "role", "text")
+    turns = _turns(layout, {c: f"`{c}`" for c in kind.names})
+    if "turn" not in df.columns:
+        return turn_rows(df.select("conv_id", turns.alias("turns")))
+    return df.select("conv_id", "turn", F.inline(turns))
 
 
 def escaped(text: Column, header: bool = False) -> Column:

@@ -204,6 +204,31 @@ def test_layouts_are_known_by_their_field_paths(spark):
     assert got == {1: ab, 2: ab, 3: ab, 4: None, 5: None, 6: None, 7: [("user", "a\n\ni"), ("assistant", "b")]}
 
 
+def test_layouts_with_further_fields_and_empty_lists_keep_their_turns(spark):
+    a, b = ("user", "a"), ("assistant", "b")
+    cases = [
+        ('{"messages": []}', []), ('{"id": 7, "conversations": [], "tags": ["x"]}', []), ('{"messages": [null]}', None), ('{"messages": null}', None), ('{"messages": [3]}', None),
+        ('{"id": 7, "prompt": "a", "meta": {"k": [1]}, "completion": "b"}', [a, b]), ('{"response": "b", "prompt": "a", "system": "s", "id": 1}', [("system", "s"), a, b]),
+        ('{"id": 7, "messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "assistant", "content": "b", "w": {"role": 1}}, null]}', [a, b, (None, None)]),
+        ('{"prompt": "a", "messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}', [a, b]), ('{"messages": [], "prompt": "a", "completion": "b"}', [a, b]),
+        ('{"messages": [{"role": "user", "content": ["a"]}]}', None), ('{"prompt": ["a"], "completion": "b", "id": 1}', None), ('{"role": "user", "text": "a"}', [a]), ("[]", None), ('"x"', None),
+    ]
+    rows = spark.createDataFrame([(i, payload) for i, (payload, _) in enumerate(cases)], "id long, payload string")
+    got = {r.conv_id: None if r.turns is None else [(t.role, t.text) for t in r.turns] for r in chat.turns_from_json(rows, "id", "payload").collect()}
+    assert got == {i: turns for i, (_, turns) in enumerate(cases)}
+
+
+def test_typed_tables_are_mapped_by_their_fingerprint(spark):
+    rows = spark.sql("SELECT 1L AS conv_id, 'a' AS prompt, 'b' AS completion")
+    assert [tuple(r) for r in chat.turn_rows(rows).orderBy("turn").collect()] == [(1, 0, "user", "a"), (1, 1, "assistant", "b")]
+    turns = spark.sql("SELECT 1L AS conv_id, 5L AS turn, 'x' AS text, CAST(NULL AS STRING) AS role")
+    assert [tuple(r) for r in chat.turn_rows(turns).collect()] == [(1, 5, None, "x")]
+    turn = chat.Layout("turn", "role string, text string", "array(named_struct('role', upper(role), 'text', text))")
+    assert chat.turn_rows(spark.sql("SELECT 1L AS conv_id, 5L AS turn, 'x' AS text, 'user' AS role"), (turn,)).first().role == "USER"
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.turn_rows(spark.sql("SELECT 1L AS conv_id, 5L AS turn, 'x' AS other"))
+
+
 # Packing
 
 

@@ -6,7 +6,7 @@ voter fires on toxic and on clean texts, and how voters correlate within a class
 one of them.  Its posteriors label the texts from which a logistic regression over voter counts and text shape is trained; its
 logit, scaled to the labelled training rows, gives the score.
 
-Bounds: stems are mined from at most ``MINE_ROWS`` labelled rows, and the regression is trained on at most ``TRAIN_ROWS`` rows with
+Bounds: stems are mined from at most ``MINE_ROWS`` labelled rows, all that pass the thresholds, and the regression is trained on at most ``TRAIN_ROWS`` rows with
 posteriors, and scaled on at most as many labelled ones; the label model's sums cover all training rows.
 
 Defined cases: null and empty texts fire no voter and get the regression's score for such a text; labels that are null, or whose doc_id is no document, train nothing;
@@ -107,15 +107,18 @@ def mine(docs: DataFrame, labels: DataFrame, mine_rows: int = MINE_ROWS) -> list
     rows = sample.select("toxic", F.explode(F.array_distinct(stems)).alias("stem")).where(F.length("stem") > 3)
     found = rows.groupBy("stem").agg(F.sum("toxic").alias("hits"), F.count(F.lit(1)).alias("n"))
     found = found.where((F.col("hits") >= MIN_SUPPORT) & (F.col("hits") >= MIN_PRECISION * F.col("n")))
-    best = found.orderBy(F.desc("hits"), "stem").limit(4000).collect()
+    # Every stem over the thresholds; mine_rows bounds them.
+    best = found.collect()
     out: list[tuple[str, int, bool]] = []
     # The shortest stems first: what begins with a chosen stem adds nothing to it.
     chosen: set[str] = set()
+    taken: set[str] = set()
     pure = {r.stem: r.hits >= PURE * r.n for r in best}
     for r in sorted(best, key=lambda r: (not pure[r.stem], len(r.stem.rstrip()), r.stem)):
         word = r.stem.rstrip()
-        if word not in {s.rstrip() for s, _, _ in out} and not any(word[:k] in chosen for k in range(3, len(word) + 1)):
+        if word not in taken and not any(word[:k] in chosen for k in range(3, len(word) + 1)):
             out.append((r.stem, int(r.hits), pure[r.stem]))
+            taken.add(word)
             if word == r.stem:
                 chosen.add(word)
     return sorted(out, key=lambda x: (-x[1], x[0]))
@@ -188,7 +191,7 @@ def fit_label_model(patterns: DataFrame, v: int, start: LabelModel, rounds: int
     there is one.  Each round sums on the executors."""
     model = start
     for k in range(rounds + 1):
-        sums = sum((np.frombuffer(r.s) for r in patterns.mapInArrow(_em_sums(model, v), "s binary").toLocalIterator()), np.zeros(2 * (v + 1) + 2 * v * v))
+        sums = sum((np.frombuffer(r.s) for r in patterns.mapInArrow(_em_sums(model, v), "s binary").collect()), np.zeros(2 * (v + 1) + 2 * v * v))
         total, pair = sums[: 2 * (v + 1)].reshape(2, v + 1), sums[2 * (v + 1) :].reshape(2, v, v)
         n = total.sum(axis=0)[0]
         rate = (total[:, 1:] + 0.1) / (total[:, :1] + 1.0)
@@ -249,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, mine_rows: int = MINE_ROWS, train_ro
     votes = materialize(docs.mapInArrow(_vote_batches(voters), "doc_id long, fired binary, x binary"), "votes")
     known = labels.groupBy("doc_id").agg(F.max("toxic").alias("known"))
     patterns = votes.select("doc_id", "fired").join(known, "doc_id", "left").groupBy("fired", F.coalesce("known", F.lit(-1)).alias("known"))
-    patterns = materialize(patterns.agg(F.count(F.lit(1)).alias("n")).select("fired", "n", "known").coalesce(4), "patterns")
+    patterns = materialize(patterns.agg(F.count(F.lit(1)).alias("n")).select("fired", "n", "known"), "patterns")
     flat = np.full(v, 0.05)
     flat[v - len(PATTERNS) :] = 0.1
     rare = np.full(v, 0.001)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
@@ -82,6 +83,13 @@ def test_toxicity_of_odd_texts_and_missing_labels(spark):
     assert toxicity.score_texts(docs.limit(0), model).count() == 0
 
 
+def test_every_stem_over_the_thresholds_is_mined(spark):
+    words = ["".join(w) for w in itertools.islice(itertools.product("abcdefghijklmnopqrst", repeat=3), 5000)]
+    docs = spark.createDataFrame([(k, " ".join(words) if k < 8 else "plain words") for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 8)) for k in range(20)], "doc_id long, toxic int")
+    assert [s for s, _, _ in toxicity.mine(docs, labels)] == [f"{w} " for w in words]
+
+
 def test_a_stem_begins_words_and_a_word_stands_alone():
     voters = toxicity.voters_from([("qual", 9, True), ("grob ", 8, True)])
     machine = voters.matcher()

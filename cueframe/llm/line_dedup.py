@@ -2,7 +2,8 @@
 
 Each batch of documents gives one run: a bucketed table, sorted by key, of ``key, n_docs, last_doc, fresh``.  A batch is
 merge-anti-joined with the runs before it (``fresh``: no earlier run has the key) and then adds its own; when a level holds
-``fanout`` runs they are compacted into one of the next level.  The merged runs say which keys are common.
+``fanout`` runs they are compacted into one of the next level.  So each key is fresh in one run, and its rows in other runs add to that one's count:
+only they are merged by key, and the fresh rows with what was added say which keys are common.
 
 Defined cases: a null or empty text is one empty line; rows that share a ``doc_id`` count as documents of their own, and
 each of them that holds the largest id keeps its lines; a null ``doc_id`` never counts as a document and its lines stay; an empty table gives an
@@ -126,7 +127,17 @@ class LineRuns:
 
     def common(self, min_docs: int) -> DataFrame:
         """``key, last_doc`` of keys in at least ``min_docs`` documents."""
-        return self._merge(self.runs()).where(F.col("n_docs") >= min_docs).select("key", "last_doc")
+        added = [self._rows(name).where("NOT fresh") for name in self.runs()]
+        more = added[0]
+        for rows in added[1:]:
+            more = more.unionByName(rows)
+        more = more.groupBy("key").agg(F.sum("n_docs").alias("more_docs"), F.max("last_doc").alias("later_doc"))
+        out = None
+        for name in self.runs():
+            rows = self.spark.table(name).where("fresh").join(more, "key", "left")
+            rows = rows.where(F.col("n_docs") + F.coalesce("more_docs", F.lit(0)) >= min_docs).select("key", F.greatest("last_doc", "later_doc").alias("last_doc"))
+            out = out.unionByName(rows) if out else rows
+        return out
 
 
 def _rewrite(min_chars: int, digest: bool):

@@ -152,5 +152,20 @@ def test_line_runs_say_what_is_new_and_compact(spark):
     assert {bytes(r.key): r.last_doc for r in runs.common(2).collect()} == {b"a": 7, b"c": 9}
 
 
+def test_common_lines_come_from_fresh_keys_and_what_was_added(spark):
+    rng = random.Random(5)
+    runs, docs = line_dedup.LineRuns(spark, fanout=3, buckets=2), {}
+    for _ in range(5):
+        rows = {(rng.randint(0, 500), f"k{rng.randint(0, 60)}") for _ in range(40)}
+        for d, k in rows:
+            docs.setdefault(k.encode(), []).append(d)
+        runs.add(spark.createDataFrame([(d, k.encode()) for d, k in rows], "doc_id long, key binary"))
+    for least in (1, 2, 4, 99):
+        got = sorted((bytes(r.key), r.last_doc) for r in runs.common(least).collect())
+        assert got == sorted((k, max(d)) for k, d in docs.items() if len(d) >= least)
+    plan = runs.common(2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "NOT fresh" in plan
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0

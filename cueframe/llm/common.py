@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,16 +50,31 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-#: So many ids (8 bytes each) are broadcast at most; more are joined by shuffle.
+#: So many rows of a few numbers each are broadcast at most; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 
+def bounded(rows: DataFrame, side: DataFrame, key: str, name: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the narrow table ``side``, which is written, counted, and broadcast only if it is small."""
+    side = materialize(side, name)
+    return rows.join(F.broadcast(side) if side.count() <= BROADCAST_IDS else side.hint("shuffle_hash"), key, how)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, or it with a number, so that no column in ``taken`` has it (Spark ignores case)."""
+    low, k, out = {c.lower() for c in taken}, 0, name
+    while out.lower() in low:
+        k += 1
+        out = f"{name}_{k}"
+    return out
+
+
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the rows whose ``doc_id`` is in the one column of ``ids``."""
-    name = "c_gone"
+    name = free_name("c_gone", docs.columns)
     ids = materialize(ids.toDF(name).distinct(), "gone")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
-    return docs.join(side, docs["doc_id"].cast("long") == F.col(name), "left_anti")
+    return docs.join(side, docs["doc_id"].cast("long") == ids[name], "left_anti")
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,5 +100,8 @@ def row_slices(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[
         first = min(past, n)
 
 
-def binary_array(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
+def release() -> None:
+    """Gives freed memory back to the system at a task's end: workers live on from stage to stage, many to an executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -1,26 +1,27 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Each batch of documents gives one run: a bucketed table, sorted by key, of ``key, n_docs, last_doc, fresh``.  A batch is
-merge-anti-joined with the runs before it (``fresh``: no earlier run has the key) and then adds its own; when a level holds
-``fanout`` runs they are compacted into one of the next level.  So each key is fresh in one run, and its rows in other runs add to that one's count:
-only they are merged by key, and the fresh rows with what was added say which keys are common.
+Each batch of documents gives one run: a bucketed table, sorted by key, of ``key, n_docs, last_doc, fresh``.  A batch is merge-anti-joined with the fresh keys
+of the runs before it: keys that no run has go to the new run as fresh, the others as what the batch adds to them.  When a level holds ``fanout`` runs they
+are compacted into one of the next level.  So each key is fresh in one run, and a key is common if its fresh row and what was added to it say so.
+``LineRuns.save`` writes which runs there are, and ``LineRuns.opened`` goes on with them in a later job, so documents may arrive over time.
 
 Defined cases: a null or empty text is one empty line; rows that share a ``doc_id`` count as documents of their own, and
 each of them that holds the largest id keeps its lines; a null ``doc_id`` never counts as a document and its lines stay; an empty table gives an
-empty table; columns other than ``doc_id`` and ``text`` are ignored by the operator and passed through by ``dedup_lines``.
+empty table; columns other than ``doc_id`` and ``text`` are ignored by the operator and passed through by ``dedup_lines``, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import fresh_name, fresh_path, materialize, remove, utf8
+from cueframe.llm.common import bounded, free_name, fresh_name, fresh_path, materialize, remove, utf8
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BATCHES, FANOUT = 4, 3
@@ -81,6 +82,24 @@ class LineRuns:
         self.paths: dict[str, str] = {}
         self.made = 0
 
+    def save(self, path: str) -> None:
+        """Writes which runs there are, one row each."""
+        rows = [(level, name, self.paths[name], self.fanout, self.buckets) for level, names in enumerate(self.levels) for name in names]
+        self.spark.createDataFrame(rows, "level int, name string, path string, fanout int, buckets int").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def opened(cls, spark: SparkSession, path: str) -> LineRuns:
+        """The runs of a job before this one; their tables are declared anew where the catalog does not know them."""
+        rows = sorted(spark.read.parquet(path).collect())
+        out = cls(spark, *((rows[0].fanout, rows[0].buckets) if rows else ()))
+        for r in rows:
+            if not spark.catalog.tableExists(r.name):
+                spark.sql(f"CREATE TABLE {r.name} ({RUN_COLUMNS}) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {r.buckets} BUCKETS LOCATION '{r.path}'")
+            out.levels += [[] for _ in range(r.level + 1 - len(out.levels))]
+            out.levels[r.level].append(r.name)
+            out.paths[r.name] = r.path
+        return out
+
     def _write(self, rows: DataFrame) -> str:
         name = f"{self.prefix}_{self.made}"
         self.made += 1
@@ -99,13 +118,11 @@ class LineRuns:
     def add(self, lines: DataFrame) -> None:
         """Adds one batch of ``doc_id, key`` rows."""
         batch = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        seen = None
-        for name in self.runs():
-            keys = self.spark.table(name).select("key", F.lit(True).alias(f"in_{name}"))
-            seen = name
-            batch = batch.join(keys, "key", "left")
-        known = F.coalesce(*[F.col(f"in_{name}") for name in self.runs()], F.lit(False)) if seen else F.lit(False)
-        self._place(0, self._write(batch.select("key", "n_docs", "last_doc", (~known).alias("fresh"))))
+        known = [F.lit(False)]
+        for k, name in enumerate(self.runs()):
+            batch = batch.join(self.spark.table(name).where("fresh").select("key", F.lit(True).alias(f"in_{k}")), "key", "left")
+            known.append(F.col(f"in_{k}"))
+        self._place(0, self._write(batch.select("key", "n_docs", "last_doc", (~F.coalesce(*known[1:], known[0])).alias("fresh"))))
 
     def _place(self, level: int, name: str) -> None:
         while len(self.levels) <= level:
@@ -114,30 +131,31 @@ class LineRuns:
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
             merged = self._write(self._merge(old))
-            for table in old:
-                self.spark.sql(f"DROP TABLE {table}")
-                remove(self.spark, self.paths.pop(table))
+            self._drop(old)
             self._place(level + 1, merged)
 
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {name}")
+            remove(self.spark, self.paths.pop(name))
+
+    def drop(self) -> None:
+        """Deletes all runs."""
+        self._drop(self.runs())
+        self.levels = []
+
     def _merge(self, names: list[str]) -> DataFrame:
-        rows = self._rows(names[0])
-        for name in names[1:]:
-            rows = rows.unionByName(self._rows(name))
+        rows = reduce(DataFrame.unionByName, [self._rows(name) for name in names])
         return rows.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.max("fresh").alias("fresh"))
 
     def common(self, min_docs: int) -> DataFrame:
         """``key, last_doc`` of keys in at least ``min_docs`` documents."""
-        added = [self._rows(name).where("NOT fresh") for name in self.runs()]
-        more = added[0]
-        for rows in added[1:]:
-            more = more.unionByName(rows)
+        names = self.runs()
+        more = reduce(DataFrame.unionByName, [self._rows(name).where("NOT fresh") for name in names])
         more = more.groupBy("key").agg(F.sum("n_docs").alias("more_docs"), F.max("last_doc").alias("later_doc"))
-        out = None
-        for name in self.runs():
-            rows = self.spark.table(name).where("fresh").join(more, "key", "left")
-            rows = rows.where(F.col("n_docs") + F.coalesce("more_docs", F.lit(0)) >= min_docs).select("key", F.greatest("last_doc", "later_doc").alias("last_doc"))
-            out = out.unionByName(rows) if out else rows
-        return out
+        total = F.col("n_docs") + F.coalesce("more_docs", F.lit(0))
+        found = [self.spark.table(name).where("fresh").join(more, "key", "left").where(total >= min_docs) for name in names]
+        return reduce(DataFrame.unionByName, [rows.select("key", F.greatest("last_doc", "later_doc").alias("last_doc")) for rows in found])
 
 
 def _rewrite(min_chars: int, digest: bool):
@@ -159,39 +177,56 @@ def _rewrite(min_chars: int, digest: bool):
                 kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8", "replace"))
             cols = [batch.column(i) for i in range(2, batch.num_columns)]
             names = batch.schema.names[2:]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], [*names, "c_lines", "c_dropped", "c_kept"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], [*names, *RESULT])
 
     return run
 
 
-def _deduped(docs: DataFrame, keep: list[str], digest: bool, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
-    """The ``keep`` columns, then ``c_lines, c_dropped, c_kept`` (digest or text)."""
+#: What the rewriting adds, behind the columns that pass through; callers rename it, so these may clash with nothing.
+RESULT = ("lines", "dropped", "kept")
+
+
+def _drops(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
+    """``doc, keys``: the keys whose lines a document loses.  What was written on the way is deleted."""
     spark = docs.sparkSession
     lines = line_keys(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
-    lines = materialize(lines, "lines")
+    path = fresh_path(spark, "lines")
+    lines.write.partitionBy("batch").option("compression", "zstd").parquet(path)
+    lines = spark.read.schema("doc_id long, key binary, batch int").parquet(path)
     runs = LineRuns(spark, fanout)
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k).select("doc_id", "key"))
-    drops = lines.join(runs.common(min_docs), "key").where(F.col("doc_id") != F.col("last_doc"))
-    drops = drops.groupBy("doc_id").agg(F.collect_list("key").alias("c_drop"))
-    left = docs.select(F.col("text").cast("string").alias("c_text"), *[F.col(c) for c in keep])
-    joined = left.join(drops.withColumnRenamed("doc_id", "c_doc").hint("shuffle_hash"), left["doc_id"].cast("long") == F.col("c_doc"), "left")
-    joined = joined.select("c_text", "c_drop", *keep)
-    fields = ", ".join(f"`{c}` {left.schema[c].dataType.simpleString()}" for c in keep)
-    return joined.mapInArrow(_rewrite(min_chars, digest), f"{fields}, c_lines long, c_dropped long, c_kept string")
+    common = materialize(runs.common(min_docs), "common-lines")
+    runs.drop()
+    # A frequent line's rows stay where they are if the common keys are few; else Spark's adaptive joins split its partition.
+    gone = bounded(lines.select("doc_id", "key"), common, "key", "common").where(F.col("doc_id") != F.col("last_doc"))
+    out = materialize(gone.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list("key").alias("keys")), "dropped-lines")
+    remove(spark, path)
+    return out
+
+
+def _deduped(docs: DataFrame, keep: list[str], digest: bool, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
+    """The ``keep`` columns, in order, then ``lines, dropped, kept`` (digest or text)."""
+    drops = _drops(docs, min_chars, min_docs, batches, fanout)
+    # Names of no input column, so that none clash.
+    inner = [f"c{k}" for k in range(len(keep))]
+    left = docs.select(F.col("doc_id").cast("long").alias("of"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, inner, strict=True)])
+    joined = left.join(drops.hint("shuffle_hash"), F.col("of") == F.col("doc"), "left").select("text", "keys", *inner)
+    fields = "".join(f"{n} {left.schema[n].dataType.simpleString()}, " for n in inner)
+    out = joined.mapInArrow(_rewrite(min_chars, digest), f"{fields}lines long, dropped long, kept string")
+    return out.toDF(*keep, *[free_name(c, docs.columns) for c in RESULT])
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``; the other columns pass through, and texts without drops stay as they are (null: empty)."""
-    keep = [c for c in docs.columns if c != "text"]
-    out = _deduped(docs, keep, False, min_chars, min_docs, batches, fanout)
-    return out.select(*[F.col("c_kept").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    out = _deduped(docs, [c for c in docs.columns if c != "text"], False, min_chars, min_docs, batches, fanout)
+    return out.select(*[F.col(out.columns[-1]).alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = _deduped(docs, ["doc_id"], True, MIN_CHARS, MIN_DOCS, BATCHES, FANOUT)
-    return out.select("doc_id", F.col("c_lines").alias("n_lines"), F.col("c_dropped").alias("n_dropped"), F.col("c_kept").alias("kept_sha256"))
+    return out.toDF("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
 OP2_SQL = r"""

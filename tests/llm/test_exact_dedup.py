@@ -136,8 +136,13 @@ def test_line_dedup_matches_brute_force(spark):
     out = line_dedup.dedup_lines(docs, batches=5, fanout=2)
     assert out.columns == docs.columns
     assert {r.doc_id: r.text for r in out.collect()} == {d: x[2] for d, x in line_truth(rows).items()}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_runs")]
+    clash = docs.selectExpr("1 AS keys", "doc_id", "2 AS of", "text", "3 AS doc", "'k' AS kept", "5 AS lines", "6 AS c0", "7 AS key", "8 AS last_doc")
+    out = line_dedup.dedup_lines(clash)
+    assert out.columns == clash.columns
+    assert {(r.doc_id, r.text, r["keys"], r["kept"], r["c0"]) for r in out.collect()} == {(d, x[2], 1, "k", 6) for d, x in line_truth(rows).items()}
     counted = line_dedup._deduped(docs.select("doc_id", "text"), ["doc_id"], False, 40, 5, 4, 3)
-    assert {r.doc_id: (r.c_lines, r.c_dropped, r.c_kept) for r in counted.collect()} == line_truth(rows)
+    assert {r.doc_id: (r["lines"], r["dropped"], r["kept"]) for r in counted.collect()} == line_truth(rows)
 
 
 def test_line_runs_say_what_is_new_and_compact(spark):
@@ -152,6 +157,21 @@ def test_line_runs_say_what_is_new_and_compact(spark):
     assert {bytes(r.key): r.last_doc for r in runs.common(2).collect()} == {b"a": 7, b"c": 9}
 
 
+def test_a_later_job_goes_on_with_the_runs(spark, tmp_path):
+    batch = lambda *rows: spark.createDataFrame([(d, k.encode()) for d, k in rows], "doc_id long, key binary")
+    first = line_dedup.LineRuns(spark, fanout=2, buckets=2)
+    first.add(batch((1, "a"), (2, "a"), (2, "b")))
+    first.save(str(tmp_path / "runs"))
+    for name in first.runs():
+        spark.sql(f"DROP TABLE {name}")  # the next session's catalog does not know it; its files stay
+    later = line_dedup.LineRuns.opened(spark, str(tmp_path / "runs"))
+    later.add(batch((5, "a"), (6, "e")))
+    assert [len(level) for level in later.levels] == [0, 1]
+    assert {bytes(r.key): r.last_doc for r in later.common(3).collect()} == {b"a": 5}
+    later.drop()
+    assert not later.runs() and not [t for t in spark.catalog.listTables() if t.name.startswith(later.prefix)]
+
+
 def test_common_lines_come_from_fresh_keys_and_what_was_added(spark):
     rng = random.Random(5)
     runs, docs = line_dedup.LineRuns(spark, fanout=3, buckets=2), {}

@@ -1,42 +1,47 @@
 """MinHash near-dedup with circulant signatures.
 
-Two permutations make all signature coordinates: the first spreads a document's shingles over a circle of 2**BITS
-places, the second gives each place its rank, and coordinate k is the least rank over the places shifted by k.  Coordinates are banded;
-documents that share a band's bucket are candidates, and a link is confirmed on the full shingle sets.
+Two permutations make all signature coordinates: the first spreads a document's shingles over a circle of 2**32 places, the second, a bijection of 32-bit
+numbers, gives each place its rank, and coordinate k is the least rank over the places shifted by k.  Coordinates are banded; documents that share a band's
+bucket are candidates, and a link is confirmed on the full shingle sets.
 
-Exact copies (equal sets) are one node.  Candidates are checked in two steps that lose no pair of a bucket and never emit
-all pairs of a group: first each member against its bucket's smallest id, the pivot, after a comparison of signatures; then, where a pivot's group still
-holds several components, the members meet in blocks whose exact intersections are matrix products, and only links that join components come out.  Components come from alternating large-star
-and small-star rounds.
+Exact copies (equal sets) are one node.  Candidates are checked in steps that lose no pair of a bucket and never emit all pairs of a group:
+
+1. Each member meets its bucket's smallest id, the pivot, after a comparison of signatures.  Components come from alternating large-star and small-star rounds.
+2. Where a pivot's group of at most ``BLOCK`` members still holds several components, its members meet each other in one task, by matrix products of their
+   shingles, and only links that join components come out.
+3. The members of larger such groups are dealt anew, by their rarest shingles: of two similar documents, each has one of the other's shingles among its
+   ``n - ceil(similarity * n) + 1`` rarest ones.  So documents of one template that share only what is frequent do not meet at all.  Members of one rare shingle meet as in step 2,
+   in blocks bounded by members and shingles.
 
 Defined cases: null texts and texts without a word have an empty set, are linked with nothing and kept; rows that share a ``doc_id`` are versions of
 one document; rows without a ``doc_id`` are linked with nothing and have a null component; ties go to the smaller id; an empty
-table gives an empty table; other columns pass through ``one_of_each`` and are else ignored.
+table gives an empty table; other columns pass through ``one_of_each``, whatever their names, and are else ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import materialize, row_slices, utf8, without_ids
+from cueframe.llm.common import bounded, materialize, release, row_slices, utf8, without_ids
 
 SHINGLE = 5
 #: Similarity as a fraction.
 SIMILAR = (80, 100)
-BITS, BANDS, ROWS = 18, 32, 4
+BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 #: Candidates whose signatures agree on a smaller share of the coordinates are not read: at a true similarity of 0.8 that is over five
 #: standard deviations off.
-LEAST_AGREEMENT = 0.6
-#: Members of one block of a pivot's group that still holds several components.
-BLOCK = 512
+LEAST_AGREEMENT = 0.58
+#: Members, and shingles, of one block of a group whose members meet each other.
+BLOCK, BLOCK_SHINGLES = 512, 200_000
+#: Text bytes that are hashed together.
+SLICE_BYTES = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -53,15 +58,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        x = np.full(n, base, np.uint64)
-        x[0] = 1
-        out.append(np.cumprod(x))
-    return out[0], out[1]
+def _powers(base: int) -> np.ndarray:
+    x = np.full(SLICE_BYTES, base, np.uint64)
+    x[0] = 1
+    return np.cumprod(x)
+
+
+#: Powers of the base and of its inverse modulo 2**64.
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,10 +77,22 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first[at[:-1]] = True
     start = np.flatnonzero(said & (np.r_[True, ~said[:-1]] | first[:-1]))
     past = np.flatnonzero(said & (np.r_[~said[1:], True] | first[1:])) + 1
-    up, down = _powers(1 << max(21, int(len(raw)).bit_length()))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((_LOWER[raw].astype(np.uint64) + _U(1)) * up[: len(raw)], out=sums[1:])
-    h = (sums[past] - sums[start]) * down[start]
+    h = np.empty(len(start), np.uint64)
+    for begin in range(0, len(raw), SLICE_BYTES):
+        end = min(begin + SLICE_BYTES, len(raw))
+        a, b = np.searchsorted(start, (begin, end))
+        value = _LOWER[raw[begin:end]].astype(np.uint64) + _U(1)
+        sums = np.zeros(end - begin + 1, np.uint64)
+        np.cumsum(value * _UP[: end - begin], out=sums[1:])
+        h[a:b] = (sums[np.minimum(past[a:b], end) - begin] - sums[start[a:b] - begin]) * _DOWN[start[a:b] - begin]
+    # A word that goes on in later slices.
+    for w in np.flatnonzero(start // SLICE_BYTES != (past - 1) // SLICE_BYTES).tolist():
+        total, k, end = int(h[w]), (int(start[w]) // SLICE_BYTES + 1) * SLICE_BYTES, int(past[w])
+        while k < end:
+            part = _LOWER[raw[k : min(k + SLICE_BYTES, end)]].astype(np.uint64) + _U(1)
+            total += int((part * _UP[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, k - int(start[w]), 1 << 64)
+            k += SLICE_BYTES
+        h[w] = total % (1 << 64)
     return mixed(h + (past - start).astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)), np.searchsorted(at, start, "right") - 1
 
 
@@ -103,19 +119,31 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-@lru_cache(maxsize=1)
-def _circle() -> np.ndarray:
-    rank = np.random.default_rng(7).permutation(1 << BITS).astype(np.int32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([rank, rank[:COORDINATES]]), COORDINATES)
+def text_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The shingle sets of a column's texts, a slice of them at a time."""
+    raw, at = utf8(column)
+    for first, past in row_slices(at, SLICE_BYTES):
+        yield from shingle_sets(raw[at[first] : at[past]], at[first : past + 1] - at[first], k)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Coordinate k is the least rank of the shingles' places shifted by k."""
-    circle = _circle()
-    place = ((shingles * _U(0xFF51AFD7ED558CCD)) >> _U(64 - BITS)).astype(np.int64)
-    out = np.full(COORDINATES, 1 << 30, np.int32)
+_SHIFTS = np.arange(COORDINATES, dtype=np.uint32)
+
+
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of coordinates for each set; coordinate k is the least rank of the shingles' places shifted by k."""
+    out = np.full((len(sets), COORDINATES), 0xFFFFFFFF, np.uint32)
+    place = (np.concatenate([*sets, np.zeros(0, np.uint64)]) * _U(0xFF51AFD7ED558CCD) >> _U(32)).astype(np.uint32)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     for first in range(0, len(place), 1024):
-        np.minimum(out, circle[place[first : first + 1024]].min(axis=0), out=out)
+        x = place[first : first + 1024, None] + _SHIFTS
+        for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+            x ^= x >> np.uint32(shift)
+            x *= np.uint32(factor)
+        x ^= x >> np.uint32(16)
+        own = owner[first : first + 1024]
+        edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        own = own[edge]
+        out[own] = np.minimum(out[own], np.minimum.reduceat(x, edge, axis=0))
     return out
 
 
@@ -134,20 +162,20 @@ def _sketch_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = utf8(batch.column(1))
-            for first, past in row_slices(at):
+            for first, past in row_slices(at, SLICE_BYTES):
                 sets = shingle_sets(raw[at[first] : at[past]], at[first : past + 1] - at[first], k)
-                sizes = [len(s) for s in sets]
-                sigs = [signature(s) if len(s) else None for s in sets]
+                sigs = signatures(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, past - first),
-                        pa.array(sizes, pa.int64()),
+                        pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                        pa.array([None if g is None else bands(g) for g in sigs], pa.list_(pa.int64())),
-                        pa.array([None if g is None else (g & 255).astype(np.uint8).tobytes() for g in sigs], pa.binary()),
+                        pa.array([bands(g) if len(s) else None for g, s in zip(sigs, sets, strict=True)], pa.list_(pa.int64())),
+                        pa.array([(g & 255).astype(np.uint8).tobytes() if len(s) else None for g, s in zip(sigs, sets, strict=True)], pa.binary()),
                     ],
                     ["doc_id", "n_shingles", "set_key", "bands", "sketch"],
                 )
+        release()
 
     return run
 
@@ -162,25 +190,29 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(k: int, similar: tuple[int, int]):
-    """Pairs whose full sets are similar; columns a, b, text of a, text of b."""
-
-    def sets(column: pa.Array) -> Iterator[np.ndarray]:
-        raw, at = utf8(column)
-        for first, past in row_slices(at):
-            yield from shingle_sets(raw[at[first] : at[past]], at[first : past + 1] - at[first], k)
+    """Columns pivot, doc, text, a pivot's own row before its group's: the links of members whose full sets are similar to the pivot's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sets = None, []
         for batch in batches:
-            keep = []
-            for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and similar[1] * both >= similar[0] * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            out = []
+            for pivot, doc, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_sets(batch.column(2), k), strict=True):
+                if doc == pivot:
+                    # A document may have versions.
+                    own, sets = pivot, [*sets, x] if own == pivot else [x]
+                elif any(_similar(x, y, similar) for y in sets):
+                    out.append((pivot, doc))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+        release()
 
     return run
 
 
+def _similar(x: np.ndarray, y: np.ndarray, similar: tuple[int, int]) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and similar[1] * both >= similar[0] * (len(x) + len(y) - both)
+
+
 def _shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the left sets with the right ones, as products of 0/1 matrices over the shingles that several sets have."""
     value, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -205,8 +237,7 @@ def _block_links(k: int, similar: tuple[int, int]):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc")
         block, doc, comp = (np.asarray(table[c]) for c in ("block", "doc", "comp"))
-        raw, at = utf8(table["text"])
-        sets = [s for first, past in row_slices(at) for s in shingle_sets(raw[at[first] : at[past]], at[first : past + 1] - at[first], k)]
+        sets = list(text_sets(table["text"], k))
         left, right = np.flatnonzero(block == table["i"][0].as_py()), np.flatnonzero(block == table["j"][0].as_py())
         size = np.array([len(s) for s in sets], np.int64)
         both = _shared_counts(sets, left, right).astype(np.int64)
@@ -251,12 +282,66 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("b").agg(F.min("a").alias("comp")).select(F.col("b").alias("doc"), "comp")
 
 
+def _texts_of(texts: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of ``texts`` (``doc_id, text``) whose id is in the one column of ``ids``, as ``doc, text``."""
+    return bounded(texts.toDF("doc", "text"), ids.toDF("doc").distinct(), "doc", name, "left_semi")
+
+
 def _links(pairs: DataFrame, texts: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
-    """Confirms candidate pairs ``a, b`` on whole texts."""
-    one = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    rows = pairs.hint("shuffle_hash").join(one, "b").hint("shuffle_hash").join(two, "a")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(k, similar), "a long, b long")
+    """Confirms candidate pairs ``a, b`` on whole texts: each member is sent once to its pivot, and the pivot once to each part of its members."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    parts = materialize(parts, "parts")
+    members = bounded(pairs, parts, "a", "parts-of").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("doc"))
+    own = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc"))
+    wanted = materialize(members.unionByName(own), "wanted")
+    rows = wanted.join(_texts_of(texts, wanted.select("doc"), "wanted-texts"), "doc")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("doc") != F.col("a"))
+    return rows.select("a", "doc", "text").mapInArrow(_confirmed(k, similar), "a long, b long")
+
+
+def _meeting(groups: DataFrame, texts: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
+    """Links that join different components ``comp`` within each group of ``pivot, doc, comp, blocks``, whose members meet in that many blocks."""
+    rows = groups.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    rows = materialize(rows, "rest")
+    rows = rows.join(_texts_of(texts, rows.select("doc"), "rest-texts"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "comp", "text")
+    return rows.groupBy("pivot", "i", "j").applyInArrow(_block_links(k, similar), "a long, b long")
+
+
+def _several(groups: DataFrame) -> DataFrame:
+    """``pivot, m, size`` of the groups of ``pivot, doc, comp, n_shingles`` that hold more than one component."""
+    return groups.groupBy("pivot").agg(
+        F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")
+    ).where("m > 1 AND low <> high").select("pivot", "m", "size")
+
+
+def _blocks(m: Column, size: Column) -> Column:
+    return F.greatest(F.ceil(m / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+
+
+def _set_batches(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
+                sets = list(text_sets(part.column(1), k))
+                keys = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["doc", "version", "shingles"])
+        release()
+
+    return run
+
+
+def _by_rare_shingle(docs: DataFrame, texts: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
+    """``pivot, doc, comp, n_shingles``: the documents ``doc, comp`` grouped by each of their rarest shingles."""
+    sets = _texts_of(texts, docs.select("doc"), "large-texts").mapInArrow(_set_batches(k), "doc long, version long, shingles array<long>")
+    said = materialize(sets, "large-sets").select("doc", "version", F.size("shingles").alias("n_shingles"), F.explode("shingles").alias("shingle"))
+    often = said.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    ranked = said.join(often, "shingle").groupBy("doc", "version", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("s"))
+    n = F.col("n_shingles")
+    ranked = ranked.select("doc", "n_shingles", F.slice("s", F.lit(1), (n - F.ceil(n * similar[0] / similar[1]) + 1).cast("int")).alias("s"))
+    rare = ranked.select("doc", "n_shingles", F.explode(F.filter("s", lambda x: x["often"] > 1)).alias("s"))
+    return rare.select(F.col("s.shingle").alias("pivot"), "doc", "n_shingles").join(docs, "doc").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -265,27 +350,33 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int,
     sets = materialize(texts.mapInArrow(_sketch_batches(shingle), SKETCH_COLUMNS), "sketches")
     reps = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     reps = materialize(reps, "representatives")
-    nodes = sets.join(reps.select(F.col("rep").alias("doc_id"), F.col("set_key").alias("own")), "doc_id").where("set_key = own").select("doc_id", "bands", "sketch")
+    nodes = sets.join(reps.select(F.col("rep").alias("doc_id"), F.col("set_key").alias("own")), "doc_id").where("set_key = own").select("doc_id", "n_shingles", "bands", "sketch")
     nodes = materialize(nodes, "nodes")
     buckets = nodes.select(F.explode("bands").alias("band"), F.col("doc_id").alias("doc"))
-    order = Window.partitionBy("band").orderBy("doc")
-    pivots = materialize(buckets.withColumn("a", F.first("doc").over(order)).where("a <> doc").select("a", F.col("doc").alias("b")).distinct(), "pivots")
+    # The smallest id by an aggregate that each task reduces first, so no bucket is sorted or gathered.
+    least = buckets.groupBy("band").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("band", "a")
+    pivots = bounded(buckets, least, "band", "least").where("a <> doc").select("a", F.col("doc").alias("b")).distinct()
+    pivots = materialize(pivots, "pivots")
     sketch = nodes.select(F.col("doc_id").alias("id"), "sketch")
     pairs = pivots.join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b").join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a")
-    pairs = materialize(pairs.select("a", "b", "x", "y").mapInArrow(_agreeing, "a long, b long"), "candidates")
+    pairs = materialize(pairs.select("a", "b", "x", "y").mapInArrow(_agreeing, "a long, b long").distinct(), "candidates")
     links = materialize(_links(pairs, texts, shingle, similar), "confirmed")
     comp = materialize(components(links), "components")
 
-    # A bucket's members all met its pivot.  Where the pivot's group still holds several components, their members meet each other, in blocks.
+    # A bucket's members all met its pivot.  Where the pivot's group still holds several components, their members meet each other.
     group = pivots.select(F.col("a").alias("pivot"), F.col("b").alias("doc")).unionByName(pivots.select(F.col("a").alias("pivot"), F.col("a").alias("doc")).distinct())
-    placed = group.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    mixed_ = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("m > 2 AND low <> high")
-    rest = placed.join(mixed_.select("pivot", "m"), "pivot").where("doc <> pivot")
-    rest = rest.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    rest = materialize(rest, "rest")
-    rest = rest.hint("shuffle_hash").join(texts.withColumnRenamed("doc_id", "doc"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "comp", "text")
-    more = materialize(rest.groupBy("pivot", "i", "j").applyInArrow(_block_links(shingle, similar), "a long, b long"), "more")
+    size = nodes.groupBy(F.col("doc_id").alias("doc")).agg(F.sum("n_shingles").alias("n_shingles"))
+    placed = group.join(size, "doc").join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    placed = materialize(placed, "placed")
+    rest = materialize(bounded(placed, _several(placed), "pivot", "several"), "unsettled").where("doc <> pivot")
+    large = F.col("m").cast("long") > BLOCK
+    more = _meeting(rest.where(~large).withColumn("blocks", _blocks(F.col("m"), F.col("size"))).select("pivot", "doc", "comp", "blocks"), texts, shingle, similar)
+    far = materialize(rest.where(large).select("doc", "comp").distinct(), "large")
+    if far.limit(1).count():
+        rare = materialize(_by_rare_shingle(far, texts, shingle, similar), "rare")
+        rare = bounded(rare, _several(rare), "pivot", "rare-several").withColumn("blocks", _blocks(F.col("m"), F.col("size"))).select("pivot", "doc", "comp", "blocks")
+        more = more.unionByName(_meeting(rare, texts, shingle, similar))
+    more = materialize(more, "more")
     if more.limit(1).count():
         comp = components(links.unionByName(more))
     found = sets.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left").join(comp, F.col("rep") == F.col("doc"), "left")

@@ -9,9 +9,11 @@ logit, scaled to the labelled training rows, gives the score.
 Bounds: stems are mined from at most ``MINE_ROWS`` labelled rows, all that pass the thresholds, and the regression is trained on at most ``TRAIN_ROWS`` rows with
 posteriors, and scaled on at most as many labelled ones; the label model's sums cover all training rows.
 
+Samples are the rows of the least hashed ids, so they do not depend on how Spark dealt the rows.
+
 Defined cases: null and empty texts fire no voter and get the regression's score for such a text; labels that are null, or whose doc_id is no document, train nothing;
 of several labels for one document the highest counts (in mining, each); without labels the public list alone votes; equal texts get equal scores; an empty table gives an empty table;
-other columns pass through ``score_texts``.
+other columns pass through ``score_texts`` and ``without_toxic``, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import materialize
+from cueframe.llm.common import free_name, materialize, release
 
 # Common English insults.
 LEXICON = (
@@ -97,7 +99,7 @@ def mine(docs: DataFrame, labels: DataFrame, mine_rows: int = MINE_ROWS) -> list
     share = F.lit(0.0)
     for toxic, n in size.items():
         share = F.when(F.col("toxic") == toxic, min(1.0, mine_rows / 2 / n)).otherwise(share)
-    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).limit(mine_rows)
+    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(mine_rows)
     # At most mine_rows ids and labels, so the texts need no shuffle.
     sample = docs.join(F.broadcast(chosen), "doc_id")
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
@@ -164,6 +166,7 @@ def _vote_batches(voters: Voters):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([f.tobytes() for f in fired], pa.binary()), pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())], ["doc_id", "fired", "x"]
             )
+        release()
 
     return run
 
@@ -243,14 +246,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 15
     return w[:-1], float(w[-1])
 
 
+def vote(docs: DataFrame, voters: Voters) -> DataFrame:
+    """``doc_id, fired, x``: each row's voters and counts, written once."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return materialize(docs.mapInArrow(_vote_batches(voters), "doc_id long, fired binary, x binary"), "votes")
+
+
+def find_voters(docs: DataFrame, labels: DataFrame, mine_rows: int = MINE_ROWS) -> Voters:
+    """Voters for ``docs``, from ``labels``: ``doc_id, toxic`` of rows that may be learned from."""
+    return voters_from(mine(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _labels(labels), mine_rows))
+
+
+def _labels(labels: DataFrame) -> DataFrame:
+    return labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, mine_rows: int = MINE_ROWS, train_rows: int = TRAIN_ROWS) -> Classifier:
     """``docs``: ``doc_id, text`` of the training rows; ``labels``: ``doc_id, toxic`` of rows that may be learned from."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    labels = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
-    voters = voters_from(mine(docs, labels, mine_rows))
+    voters = find_voters(docs, labels, mine_rows)
+    return fit_votes(voters, vote(docs, voters), labels, train_rows)
+
+
+def fit_votes(voters: Voters, votes: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Classifier:
+    """Learns from the ``votes`` of the training rows."""
     v = len(voters.names)
-    votes = materialize(docs.mapInArrow(_vote_batches(voters), "doc_id long, fired binary, x binary"), "votes")
-    known = labels.groupBy("doc_id").agg(F.max("toxic").alias("known"))
+    known = _labels(labels).groupBy("doc_id").agg(F.max("toxic").alias("known"))
     patterns = votes.select("doc_id", "fired").join(known, "doc_id", "left").groupBy("fired", F.coalesce("known", F.lit(-1)).alias("known"))
     patterns = materialize(patterns.agg(F.count(F.lit(1)).alias("n")).select("fired", "n", "known"), "patterns")
     flat = np.full(v, 0.05)
@@ -268,9 +288,10 @@ def fit(docs: DataFrame, labels: DataFrame, mine_rows: int = MINE_ROWS, train_ro
 
 
 def _sample(rows: DataFrame, total: int, most: int) -> DataFrame:
-    """About ``most`` of ``total`` rows, chosen by their ids, and no more."""
+    """About ``most`` of ``total`` rows, those of the least hashed ids, and no more."""
     share = min(1.0, most / max(total, 1))
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(share * (1 << 20))).limit(most)
+    key = F.xxhash64("doc_id")
+    return rows.where(F.pmod(key, F.lit(1 << 20)) < F.lit(share * (1 << 20))).orderBy(key, *rows.columns).limit(most)
 
 
 def _scaled(model: Classifier, labelled: DataFrame) -> Classifier:
@@ -289,17 +310,33 @@ def _score_batches(model: Classifier):
         machine = model.voters.matcher()
         for batch in batches:
             score = model.score(_votes(model.voters, batch, 0, machine)) if batch.num_rows else np.zeros(0)
-            cols = [batch.column(i) for i in range(1, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(score)], [*batch.schema.names[1:], "c_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score)], [*batch.schema.names[1:], "score"])
+        release()
+
+    return run
+
+
+def score_texts(docs: DataFrame, model: Classifier, name: str = "c_score") -> DataFrame:
+    """``docs`` with a score column behind its own, of that name or, where ``docs`` has one, of the next free one."""
+    inner = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.select(F.col("text").cast("string").alias("text"), *[F.col(c).alias(n) for c, n in zip(docs.columns, inner, strict=True)])
+    fields = "".join(f"{n} {f.dataType.simpleString()}, " for n, f in zip(inner, docs.schema, strict=True))
+    return rows.mapInArrow(_score_batches(model), f"{fields}score double").toDF(*docs.columns, free_name(name, docs.columns))
+
+
+def _score_vote_batches(model: Classifier):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(model.voters.names) + SHAPE
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<f4").reshape(-1, width).astype(float)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
 
     return run
 
 
-def score_texts(docs: DataFrame, model: Classifier) -> DataFrame:
-    """``docs`` with a column ``c_score``; all its own columns pass through."""
-    rows = docs.select(F.col("text").cast("string").alias("c_text"), *[F.col(c) for c in docs.columns])
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    return rows.mapInArrow(_score_batches(model), f"{fields}c_score double")
+def score_votes(votes: DataFrame, model: Classifier) -> DataFrame:
+    """``doc_id, score`` from votes that are there already."""
+    return votes.select("doc_id", "x").mapInArrow(_score_vote_batches(model), "doc_id long, score double")
 
 
 def _clean_batches(model: Classifier, column: int, threshold: float):
@@ -308,6 +345,7 @@ def _clean_batches(model: Classifier, column: int, threshold: float):
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(model.score(_votes(model.voters, batch, column, machine)) < threshold))
+        release()
 
     return run
 
@@ -323,7 +361,9 @@ def held_out(key: str = "doc_id"):
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = fit(docs.where(~held_out()), labels.where(~held_out()).select("doc_id", "toxic"))
-    out = score_texts(docs, model)
-    return out.select("doc_id", held_out().alias("held_out"), F.col("c_score").alias("score"), (F.col("c_score") >= 0.5).cast("int").alias("predicted"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out()).select("doc_id", "toxic")
+    voters = find_voters(docs.where(~held_out()), labels)
+    # One pass over the texts: the votes of all rows, of which the training rows' are learned from and all are scored.
+    votes = vote(docs, voters)
+    out = score_votes(votes, fit_votes(voters, votes.where(~held_out()), labels))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

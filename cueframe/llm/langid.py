@@ -4,8 +4,8 @@ A text is a normalised TF-IDF vector of hashed byte 2- and 3-grams; each languag
 the language of the most similar centroid is predicted.  Texts farther from it than nearly all its own training texts are marked
 ``rejected`` (distance-based rejection); the prediction stays, as the query's contract knows no other value for a text with letters.
 
-Document frequencies count all training rows; the clusters are fitted on at most ``SAMPLE_ROWS`` of them, a like number per language, chosen by
-a hash of doc_id.
+Document frequencies count all training rows; each language's clusters are fitted, in one task, on at most ``SAMPLE_ROWS`` of its rows, those of the least
+hashed ids.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without any training row all texts are; rows with a null language train nothing; equal texts get
 equal values; an empty table gives an empty table; other columns are ignored.
@@ -19,16 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import row_slices, utf8
+from cueframe.llm.common import free_name, release, row_slices, utf8
 
 BITS = 12
 DIMS = 1 << BITS
 CENTROIDS, ROUNDS = 4, 8
-#: At most so many training rows are brought to the driver (2 * DIMS bytes each) to fit the clusters.
-SAMPLE_ROWS = 4000
+#: At most so many training rows a language (2 * DIMS bytes each) fit its clusters.
+SAMPLE_ROWS = 1000
 #: This share of a centroid's own training texts lies farther away than its rejection distance.
 REJECT = 0.002
 #: ASCII letters in lower case; other ASCII bytes count as blanks, so that digits, marks and layout say nothing.
@@ -116,6 +116,16 @@ def _clusters(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return centers, radius
 
 
+def _cluster_language(idf: np.ndarray, k: int):
+    def run(table: pa.Table) -> pa.Table:
+        raw = sorted(table["v"].to_pylist())
+        x = Centroids(idf, np.zeros((0, DIMS), np.float32), [], np.zeros(0)).vectors(np.frombuffer(b"".join(raw), np.uint16).reshape(-1, DIMS))
+        centers, radius = _clusters(x, k)
+        return pa.table({"lang": pa.array([table["lang"][0].as_py()] * len(centers)), "center": pa.array([c.astype("<f4").tobytes() for c in centers], pa.binary()), "radius": pa.array(radius.astype(float))})
+
+    return run
+
+
 def fit(training: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, centroids: int = CENTROIDS) -> Centroids:
     """Learns from the rows of ``training`` whose text and language are not null."""
     rows = training.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(key).alias("h"))
@@ -124,27 +134,17 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", key: str =
         df[r.cell] = r.n
     total = df[DIMS]
     idf = np.log((1 + total) / (1 + df[:DIMS])) + 0.01
+    # One small row per language, not per document.
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    quota = sample_rows // max(1, len(sizes))
     share = F.lit(0.0)
     for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, min(1.0, quota / n)).otherwise(share)
-    chosen = rows.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).select("text", "lang").limit(int(sample_rows * 1.2))
-    model = Centroids(idf, np.zeros((0, DIMS), np.float32), [], np.zeros(0))
-    found = chosen.mapInArrow(_vector_batches, "lang string, v binary").collect()
-    by: dict[str, list[bytes]] = {}
-    for r in sorted(found, key=lambda r: (r.lang, bytes(r.v))):
-        by.setdefault(r.lang, []).append(bytes(r.v))
-    parts, radii = [], []
-    for name, raw in by.items():
-        x = model.vectors(np.frombuffer(b"".join(raw), np.uint16).reshape(-1, DIMS))
-        centers, radius = _clusters(x, centroids)
-        parts.append(centers)
-        radii.append(radius)
-        model.languages += [name] * len(centers)
-    if parts:
-        model.centers, model.radius = np.concatenate(parts).astype(np.float32), np.concatenate(radii)
-    return model
+        share = F.when(F.col("lang") == name, min(1.0, 1.2 * sample_rows / n)).otherwise(share)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    chosen = rows.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).withColumn("place", place).where(F.col("place") <= sample_rows).select("text", "lang")
+    vectors = chosen.mapInArrow(_vector_batches, "lang string, v binary")
+    found = sorted(vectors.groupBy("lang").applyInArrow(_cluster_language(idf, centroids), "lang string, center binary, radius double").collect(), key=lambda r: (r.lang, bytes(r.center)))
+    centers = np.frombuffer(b"".join(bytes(r.center) for r in found), "<f4").reshape(-1, DIMS)
+    return Centroids(idf, centers, [r.lang for r in found], np.array([r.radius for r in found]))
 
 
 def _predict_batches(model: Centroids):
@@ -170,15 +170,18 @@ def _predict_batches(model: Centroids):
             yield pa.RecordBatch.from_arrays(
                 [*cols, pa.array(names[best].tolist(), pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(rejected)], [*batch.schema.names[1:], "lang_pred", "score", "rejected"]
             )
+        release()
 
     return run
 
 
 def predict(docs: DataFrame, model: Centroids, text: Column | str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns with ``lang_pred, score, rejected``."""
-    rows = docs.select((F.col(text) if isinstance(text, str) else text).cast("string").alias("c_text"), *[F.col(c) for c in keep])
-    fields = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
-    return rows.mapInArrow(_predict_batches(model), f"{fields}lang_pred string, score double, rejected boolean")
+    """The ``keep`` columns, then ``lang_pred, score, rejected`` (or the next free names)."""
+    inner = [f"c{k}" for k in range(len(keep))]
+    rows = docs.select((F.col(text) if isinstance(text, str) else text).cast("string").alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, inner, strict=True)])
+    fields = "".join(f"{n} {rows.schema[n].dataType.simpleString()}, " for n in inner)
+    out = rows.mapInArrow(_predict_batches(model), f"{fields}lang_pred string, score double, rejected boolean")
+    return out.toDF(*keep, *[free_name(c, list(keep)) for c in ("lang_pred", "score", "rejected")])
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import utf8
+from cueframe.llm.common import release, utf8
 
 #: Element ids of the format.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -284,6 +284,7 @@ def _media_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             rows.append((doc, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(back, media)))
         cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(cols, kinds, strict=True)], names)
+    release()
 
 
 def op5_media(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cueframe.llm import chat, decontamination, html_extract, matroska, minhash, packing
@@ -98,6 +99,48 @@ def test_leaks_within_the_budget_are_found_and_others_are_not(spark):
     assert decontamination.leaks(frame(spark, []), items).count() == 0
 
 
+def least_edits(text: str, item: str) -> int:
+    """Edits between the item and the nearest part of the text, by the whole table."""
+    row = [0] * (len(text) + 1)
+    for i, char in enumerate(item, 1):
+        above, row[0] = row[:], i
+        for j, other in enumerate(text, 1):
+            row[j] = min(above[j] + 1, row[j - 1] + 1, above[j - 1] + (char != other))
+    return min(row)
+
+
+def test_leaks_agree_with_every_alignment(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "SLICE_CHARS", 64)
+    monkeypatch.setattr(decontamination, "PAIRS", 50)
+    rng = random.Random(5)
+    letters = "abcé日 "
+    items = ["".join(rng.choices(letters, k=rng.randrange(12, 90))) for _ in range(12)] + ["=" * 60, "ab" * 30]
+
+    def damaged(text: str, times: int) -> str:
+        for _ in range(times):
+            k = rng.randrange(len(text))
+            text = text[:k] + rng.choice(["", "x", "xy"]) + text[k + rng.choice([0, 1]) :]
+        return text
+
+    docs = ["".join(rng.choices(letters, k=40)) + damaged(rng.choice(items), rng.randrange(9)) + "".join(rng.choices(letters, k=40)) for _ in range(60)] + ["=" * 200, "", "ab" * 45]
+    index = decontamination.Index(list(enumerate(items)))
+    texts, shown = [decontamination.normal(t) for t in docs], [decontamination.normal(t) for t in items]
+    want = {(d, index.ids[i]): got for d, t in enumerate(texts) for i in range(len(index.ids)) if (got := least_edits(t, shown[index.ids[i]])) <= index.edits[i]}
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.edits for r in decontamination.leaks(frame(spark, list(enumerate(docs))), table).collect()}
+    assert found == want and len(want) > 15
+
+
+def test_repeated_characters_take_bounded_memory():
+    import resource
+
+    index = decontamination.Index([(k, "=" * 300 + chr(97 + k) * 20) for k in range(5)])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    text = "=" * 20_000
+    index.regions(decontamination.codes(text), np.zeros(1, np.int64))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+
+
 # Matroska
 
 
@@ -232,21 +275,38 @@ def test_typed_tables_are_mapped_by_their_fingerprint(spark):
 # Packing
 
 
-def test_packing_covers_every_id_once_and_word_caches_agree(spark, monkeypatch):
+def test_packing_covers_every_id_once_and_piece_tables_agree(spark, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
     rng = random.Random(4)
-    texts = [None, "", "Don't  STOP_it's 12½ naïve — Ünïcode x", "ﬁne ǅ İstanbul ß", "<|endoftext|> a", " ".join(words(rng, 900)), "日本 語\ttab", "a" * 3000]
-    monkeypatch.setattr(packing, "CACHE_WORDS", 5)
+    texts = [None, "", "Don't  STOP_it's 12½ naïve — Ünïcode x", "ﬁne ǅ İstanbul ß", "<|endoftext|> a", " ".join(words(rng, 900)), "日本 語\ttab", "a" * 3000]
+    texts += ["don't 'tis 'S \"'s ''s 's's 'st 'll've x'", "'", "'t", "a'\nre're 'r e'", "_a_b 1234 é'é", " \n a ", "a' s'"]
+    texts += ["".join(rng.choices("ab'strelvmd 1_-\né", k=rng.randrange(60))) for _ in range(400)]
+    want = [[*plain.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+    def agrees(coder):
+        ids, n = coder.encode(pa.array(texts, pa.string()), 1)
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+    monkeypatch.setattr(packing, "LONG", 2)
     coder = packing.WordTokenizer(path)
-    for _ in range(3):
-        assert [np.frombuffer(x, coder.kind).tolist() for x in coder.encode(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(packing, "TABLE_BYTES", most)
+        agrees(coder)
+        agrees(coder)
+    # Different pieces of one hash: the tokenizer takes the texts whole.
+    keys = packing.piece_keys
+    monkeypatch.setattr(packing, "piece_keys", lambda *a: (keys(*a)[0] * 0, keys(*a)[1]))
+    agrees(coder)
+    monkeypatch.setattr(packing, "piece_keys", keys)
+    monkeypatch.setattr(packing, "SLICE_BYTES", 500)
+    assert max(map(len, packing._parts(" ".join(["word"] * 500)))) <= 504 and "".join(packing._parts(texts[5])) == texts[5]
     rows = [(k, t) for k, t in enumerate(texts)]
     pieces = packing.pack(frame(spark, rows).repartition(3), path, window=64).collect()
-    want = {k: plain.encode(t or "", add_special_tokens=False).ids + [1] for k, t in rows}
+    want = dict(enumerate(want))
     seen: dict = {}
     for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
         assert p.start == seen.get(p.doc_id, 0) and p.doc_tokens == len(want[p.doc_id]) and p.offset + p.length <= 64

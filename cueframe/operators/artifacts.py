@@ -53,16 +53,6 @@ def bindings(versions: DataFrame) -> DataFrame:
     return rows.select("workflow_id", "name", "x.artifact_id", "x.version")
 
 
-def resolved(edges: DataFrame, bound: DataFrame) -> DataFrame:
-    """Inputs ``workflow_id, step, ref`` with what ``ref`` is bound to; ``literal`` where nothing is."""
-    out = edges.join(bound.withColumnRenamed("name", "ref"), ["workflow_id", "ref"], "left")
-    return out.select("workflow_id", "step", "ref", "artifact_id", "version", F.col("artifact_id").isNull().alias("literal"))
-
-
-def unresolved(edges: DataFrame, bound: DataFrame) -> DataFrame:
-    return edges.join(bound.select("workflow_id", F.col("name").alias("ref")), ["workflow_id", "ref"], "left_anti")
-
-
 def preview(content: Column, most: int) -> tuple[Column, Column]:
     """The first ``most`` bytes as text, a cut character left out, and whether something was cut."""
     raw = F.encode(content, "UTF-8")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueframe.functions.timecode import clamped_percent
@@ -69,8 +69,9 @@ def progress_rows(log: DataFrame, kind: str) -> DataFrame:
 
 
 def latest_progress(progress: DataFrame) -> DataFrame:
-    """The row of the largest sequence of each (workflow, step)."""
-    return progress.groupBy("workflow_id", "step").agg(F.max(F.struct("sequence", "percent")).alias("x")).select("workflow_id", "step", "x.sequence", "x.percent")
+    """The row of the largest sequence of each (workflow, step), and of each attempt and phase where the reports have them."""
+    keys = ["workflow_id", "step", *[c for c in ("attempt", "phase") if c in progress.columns]]
+    return progress.groupBy(*keys).agg(F.max(F.struct("sequence", "percent")).alias("x")).select(*keys, "x.sequence", "x.percent")
 
 
 def log_rows(log: DataFrame, kind: str) -> DataFrame:
@@ -84,17 +85,22 @@ def log_rows(log: DataFrame, kind: str) -> DataFrame:
 
 
 def emits(percent: float, phase: str, last: tuple[float, str] | None, delta: float = 1.0) -> bool:
-    """Whether a progress report is passed on, given the last one that was."""
+    """Whether a progress report is passed on, given the last one that was; ``phase`` stands for phase and label."""
     if last is None or phase != last[1]:
         return True
     return (percent in (0.0, 100.0) and percent != last[0]) or abs(percent - last[0]) >= delta
 
 
+def report_phase(progress: DataFrame) -> Column:
+    """Phase and label of a report as one value."""
+    return F.concat_ws("\x1f", *[F.col(c) if c in progress.columns else F.lit("") for c in ("phase", "label")]).alias("c_phase")
+
+
 THROTTLED_COLUMNS = "workflow_id long, step int, sequence long, percent double"
 
 
 def throttled(progress: DataFrame, delta: float = 1.0) -> DataFrame:
-    """The reports of each (workflow, step) that are passed on: a report is compared with the last one passed, so this is a fold.
+    """The reports of each (workflow, step, attempt) that are passed on: a report is compared with the last one passed, so this is a fold.
 
     The rows of a key are sorted by Spark within the partition and walked batch by batch; no group is gathered.
     """
@@ -104,17 +110,18 @@ def throttled(progress: DataFrame, delta: float = 1.0) -> DataFrame:
         last: tuple[float, str] | None = None
         for batch in batches:
             keep = []
-            for w, s, p, phase in zip(batch["workflow_id"], batch["step"], batch["percent"], batch["phase"], strict=True):
-                if (w, s) != key:
-                    key, last = (w, s), None
+            for w, s, a, p, phase in zip(batch["workflow_id"], batch["step"], batch["attempt"], batch["percent"], batch["c_phase"], strict=True):
+                if (w, s, a) != key:
+                    key, last = (w, s, a), None
                 keep.append(emits(p, phase, last, delta))
                 if keep[-1]:
                     last = (p, phase)
             yield batch.loc[keep, ["workflow_id", "step", "sequence", "percent"]]
 
-    phase = F.col("phase") if "phase" in progress.columns else F.lit("").alias("phase")
-    rows = progress.select("workflow_id", F.col("step").cast("int").alias("step"), "sequence", "percent", phase)
-    return rows.repartition("workflow_id", "step").sortWithinPartitions("workflow_id", "step", "sequence").mapInPandas(run, THROTTLED_COLUMNS)
+    attempt = F.col("attempt").cast("int") if "attempt" in progress.columns else F.lit(1)
+    rows = progress.select("workflow_id", F.col("step").cast("int").alias("step"), attempt.alias("attempt"), "sequence", "percent", report_phase(progress))
+    keys = ["workflow_id", "step", "attempt"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "sequence").mapInPandas(run, THROTTLED_COLUMNS)
 
 
 def byte_totals(reports: DataFrame) -> DataFrame:

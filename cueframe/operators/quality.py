@@ -14,9 +14,9 @@ MAX_LINES, MAX_CHARS, MAX_CPS = 2, 42, 20.0
 
 
 def line_lengths(text: Column) -> Column:
-    """Code points of each line; a final line end opens no line."""
-    lines = F.split(F.regexp_replace(text, r"\n$", ""), "\n")
-    return F.transform(lines, F.length)
+    """Code points of each line, by any of Unicode's line ends; a final one opens no line."""
+    end = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
+    return F.transform(F.split(F.regexp_replace(text, end + r"\z", ""), end), F.length)
 
 
 def issues(segments: DataFrame, rules: Sequence[Rule] = (), max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS, max_cps: float = MAX_CPS) -> DataFrame:
@@ -31,7 +31,7 @@ def issues(segments: DataFrame, rules: Sequence[Rule] = (), max_lines: int = MAX
     found = [
         F.when(count > max_lines, _issue("too_many_lines", count.cast("string"))),
         F.when(longest > max_chars, _issue("line_too_long", longest.cast("string"))),
-        F.when(cps > max_cps, _issue("cps_too_high", F.floor(cps).cast("string"))),
+        F.when(cps > max_cps, _issue("cps_too_high", F.bround(cps, 2).cast("string"))),
         F.when(F.to_json(before) != F.to_json(now), _issue("number_mismatch", F.concat(F.array_join(before, ","), F.lit("|"), F.array_join(now, ",")))),
     ]
     for rule in rules:

@@ -104,12 +104,12 @@ TRANSLATED = TURNS + """,
 translated AS (SELECT conv_id AS key, turn AS idx, start_ms, end_ms, text || ' ' || turn AS source_text,
   '[zh] ' || text || ' ' || (turn + CASE WHEN conv_id % 3 = 0 THEN 1 ELSE 0 END) || CASE WHEN conv_id % 5 = 0 THEN chr(10) || chr(10) || 'x' ELSE '' END AS text FROM segments)"""
 ISSUES = TRANSLATED + r""",
-q0 AS (SELECT *, list_transform(string_split(regexp_replace(text, '\n$', ''), chr(10)), lambda x: length(x)) AS lens, regexp_extract_all(source_text, '\d+(?:[.,:]\d+)*') AS before,
+q0 AS (SELECT *, list_transform(string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[\n\r\v\f]$', ''), chr(10)), lambda x: length(x)) AS lens, regexp_extract_all(source_text, '\d+(?:[.,:]\d+)*') AS before,
   regexp_extract_all(text, '\d+(?:[.,:]\d+)*') AS now, length(regexp_replace(text, '\s+', '', 'g')) / greatest((end_ms - start_ms) / 1000.0, 0.001) AS cps FROM translated),
 q1 AS (SELECT key, idx, list_filter([
   CASE WHEN len(lens) > 2 THEN {'code': 'too_many_lines', 'detail': CAST(len(lens) AS VARCHAR)} END,
   CASE WHEN list_max(lens) > 42 THEN {'code': 'line_too_long', 'detail': CAST(list_max(lens) AS VARCHAR)} END,
-  CASE WHEN cps > 20 THEN {'code': 'cps_too_high', 'detail': CAST(CAST(floor(cps) AS BIGINT) AS VARCHAR)} END,
+  CASE WHEN cps > 20 THEN {'code': 'cps_too_high', 'detail': CAST(round_even(cps, 2) AS VARCHAR)} END,
   CASE WHEN before <> now THEN {'code': 'number_mismatch', 'detail': array_to_string(before, ',') || '|' || array_to_string(now, ',')} END,
   CASE WHEN contains(lower(source_text), 'the') AND NOT contains(lower(text), 'ing') THEN {'code': 'term_mismatch', 'detail': 'the'} END,
   CASE WHEN contains(source_text, 'La') AND NOT contains(text, 'de') THEN {'code': 'term_mismatch', 'detail': 'La'} END], lambda x: x IS NOT NULL) AS found FROM q0),
@@ -178,8 +178,6 @@ SELECT doc_id, CASE WHEN cut THEN text[1:(SELECT max(k) FROM range(302) r(k) WHE
     "config_hash": """SELECT p_partkey, sha256('{"plugin_paths":"","version":1,"workflow":' || to_json(p_name) || ',"workflow_id":' || to_json(p_type) || '}') AS hash FROM part""",
     "cache_key": """SELECT page_id, sha256('{"kind":"remote_url","quality":"best"' || coalesce(',"url":' || to_json(url), '') || '}') AS cache_key FROM pages""",
     "lineage_bindings": f"WITH {BOUND} SELECT * FROM bound",
-    "lineage_inputs": f"WITH {BOUND}, e AS (SELECT DISTINCT workflow_id, ref FROM versions, (VALUES ('step0.A'), ('step1.N'), ('step9.R')) r(ref)) SELECT e.workflow_id, 'next' AS step, ref, artifact_id, version, artifact_id IS NULL AS literal FROM e LEFT JOIN bound b ON b.workflow_id = e.workflow_id AND b.name = ref",
-    "lineage_unresolved": f"WITH {BOUND}, e AS (SELECT DISTINCT workflow_id, ref FROM versions, (VALUES ('step0.A'), ('step9.R')) r(ref)) SELECT e.workflow_id, ref FROM e ANTI JOIN bound b ON b.workflow_id = e.workflow_id AND b.name = ref",
     "artifact_reuse_map": f"WITH {BOUND} SELECT workflow_id, name, artifact_id FROM bound",
     "events_sequenced": f"WITH {LOG} SELECT workflow_id, sequence, event_id FROM log",
     "events_appended": f"WITH {LOG} SELECT workflow_id, sequence, event_id FROM log WHERE sequence > 40",
@@ -202,7 +200,7 @@ SELECT key, bar, "at", CAST(sum(grown) OVER (PARTITION BY key ORDER BY "at") AS
     "workflow_state": f"WITH {LOG}, wf AS (SELECT DISTINCT workflow_id, ['completed', 'running', 'queued', 'failed'][1 + workflow_id % 4] AS s FROM log) SELECT c_custkey AS workflow_id, coalesce(s, 'pending') AS status FROM customer LEFT JOIN wf ON workflow_id = c_custkey",
     "review_segments": f"WITH {REVIEW} SELECT * FROM kept",
     "review_duration": f"WITH {REVIEW} SELECT key, greatest(max(end_ms), 1) AS duration_ms FROM kept GROUP BY key",
-    "segment_at_time": f"""WITH {TURNS}, s AS (SELECT conv_id AS key, turn AS idx, start_ms + 200 AS s, end_ms + CASE WHEN turn % 3 = 0 THEN 4000 ELSE 0 END AS e FROM segments), t AS (SELECT DISTINCT conv_id AS key, t FROM conversations, range(0, 60001, 1500) r(t))
+    "segment_at_time": f"""WITH {TURNS}, s AS (SELECT conv_id AS key, turn AS idx, start_ms + 200 AS s, end_ms + CASE WHEN turn % 3 = 0 THEN 4000 ELSE 0 END AS e FROM segments), t AS (SELECT key, unnest(range(0, max(e) + 3001, 1500)) AS t FROM s GROUP BY key)
 SELECT key, t, coalesce((SELECT arg_min(idx, s) FROM s WHERE s.key = t.key AND s.s <= t.t AND t.t <= s.e), (SELECT arg_max(idx, s) FROM s WHERE s.key = t.key AND s.s <= t.t), (SELECT arg_min(idx, s) FROM s WHERE s.key = t.key)) AS idx FROM t""",
     "waveform_rms": f"WITH {BARS} SELECT bar, CAST(level AS BIGINT) AS level FROM bars",
     "waveform_pool": f"WITH {BARS} SELECT bar // 8 AS bar, round(avg(level), 6) AS level FROM bars GROUP BY bar // 8",
@@ -213,7 +211,7 @@ SELECT key, t, coalesce((SELECT arg_min(idx, s) FROM s WHERE s.key = t.key AND s
   CASE WHEN p_partkey % 2 > 0 THEN '30fps' END, CASE WHEN p_partkey % 2 = 0 THEN 'video + audio' ELSE 'video + best audio' END, {SIZE}) AS label FROM (SELECT *, CAST(floor(p_retailprice * p_partkey) AS BIGINT) AS z FROM part) q
   UNION ALL SELECT * FROM (VALUES ('best', 0, 0, 'Best'), ('small ring', 1, 0, 'Preset')) v)
 SELECT value, CAST(part AS INT) AS part, place, label FROM o QUALIFY row_number() OVER (PARTITION BY value ORDER BY part, place) = 1""",
-    "union_dedup_first_wins": "SELECT name, part, place FROM (SELECT lower(s_name[1:14]) AS name, 0 AS part, s_suppkey AS place FROM supplier UNION ALL SELECT lower(c_name[1:14]), 1, c_custkey FROM customer) q QUALIFY row_number() OVER (PARTITION BY name ORDER BY part, place) = 1",
+    "union_dedup_first_wins": "SELECT name, part, place FROM (SELECT regexp_replace(lower(s_name), '^[a-z]+#0*', '') AS name, 0 AS part, s_suppkey AS place FROM supplier UNION ALL SELECT regexp_replace(lower(c_name), '^[a-z]+#0*', ''), 1, c_custkey FROM customer) q QUALIFY row_number() OVER (PARTITION BY name ORDER BY part, place) = 1",
     "runs_last_wins": f"WITH {RUNS} SELECT workflow_id, run_id, status FROM runs QUALIFY row_number() OVER (PARTITION BY workflow_id ORDER BY coalesce(started_at, TIMESTAMP '1970-01-01') DESC, run_id DESC) = 1",
     "model_sizes": "SELECT p_brand AS key, CASE WHEN bool_or(p_partkey = 77) THEN NULL ELSE CAST(sum(p_size) AS BIGINT) END AS size FROM part GROUP BY 1",
     "redact_messages": "SELECT conv_id, turn, replace(replace(text, 'que', '***'), 'the', '***') AS text FROM conversations",

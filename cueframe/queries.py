@@ -257,20 +257,6 @@ def lineage_bindings(spark, d):
     return artifacts.bindings(_versions(spark, d))
 
 
-@query
-def lineage_inputs(spark, d):
-    rows = _versions(spark, d)
-    edges = rows.select("workflow_id").distinct().withColumn("ref", F.explode(F.array(*[F.lit(x) for x in ("step0.A", "step1.N", "step9.R")]))).withColumn("step", F.lit("next"))
-    return artifacts.resolved(edges, artifacts.bindings(rows))
-
-
-@query
-def lineage_unresolved(spark, d):
-    rows = _versions(spark, d)
-    edges = rows.select("workflow_id").distinct().withColumn("ref", F.explode(F.array(F.lit("step0.A"), F.lit("step9.R"))))
-    return artifacts.unresolved(edges, artifacts.bindings(rows))
-
-
 @query
 def artifact_reuse_map(spark, d):
     rows = artifacts.latest(_versions(spark, d).select("workflow_id", "name", "created_at", "artifact_id", "version"), ["workflow_id", "name"], ["created_at", "artifact_id", "version"])
@@ -395,7 +381,7 @@ def review_duration(spark, d):
 @query
 def segment_at_time(spark, d):
     rows = _segments(spark, d).select(F.col("conv_id").alias("key"), F.col("turn").alias("idx"), F.col("start_ms") + 200, (F.col("end_ms") + F.when(F.col("turn") % 3 == 0, 4000).otherwise(0)).alias("end_ms")).toDF("key", "idx", "start_ms", "end_ms")
-    times = _conversations(spark, d).select("conv_id").distinct().select(F.col("conv_id").alias("key"), F.explode(F.expr("sequence(0L, 60000L, 1500L)")).alias("t"))
+    times = rows.groupBy("key").agg(F.max("end_ms").alias("last")).select("key", F.explode(F.expr("sequence(0L, last + 3000L, 1500L)")).alias("t"))
     return review.at_time(rows, times)
 
 
@@ -447,7 +433,7 @@ def format_options(spark, d):
 
 @query
 def union_dedup_first_wins(spark, d):
-    names = lambda t, p: table(spark, d, t).select(F.lower(F.substring(f"{p}_name", 1, 14)).alias("name"), F.col(f"{p}_{ {'c': 'cust', 's': 'supp'}[p]}key").alias("place"))
+    names = lambda t, p: table(spark, d, t).select(F.lower(F.regexp_replace(f"{p}_name", "^[A-Za-z]+#0*", "")).alias("name"), F.col(f"{p}_{ {'c': 'cust', 's': 'supp'}[p]}key").alias("place"))
     return catalog.first_wins([names("supplier", "s"), names("customer", "c")], ["name"], ["place"]).select("name", F.col("part").cast("long").alias("part"), "place")
 
 

@@ -12,7 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cueframe.operators.events import emits
+from cueframe.operators.events import emits, report_phase
+
+
+def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's rows of one micro-batch, sorted as a whole: Spark hands them over in several frames."""
+    return pd.concat(list(frames), ignore_index=True).sort_values("event_id")
 
 
 def numbered(stream: DataFrame) -> DataFrame:
@@ -20,34 +25,32 @@ def numbered(stream: DataFrame) -> DataFrame:
 
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at = state.get[0] if state.exists else 0
-        for frame in frames:
-            frame = frame.sort_values("event_id")
-            yield pd.DataFrame({"workflow_id": key[0], "event_id": frame["event_id"], "sequence": range(at + 1, at + 1 + len(frame))})
-            at += len(frame)
-        state.update((at,))
+        rows = _in_order(frames)
+        yield pd.DataFrame({"workflow_id": key[0], "event_id": rows["event_id"], "sequence": range(at + 1, at + 1 + len(rows))})
+        state.update((at + len(rows),))
 
     rows = stream.select("workflow_id", "event_id")
     return rows.groupBy("workflow_id").applyInPandasWithState(count, "workflow_id long, event_id long, sequence long", "at long", "append", GroupStateTimeout.NoTimeout)
 
 
 def throttled(stream: DataFrame, delta: float = 1.0) -> DataFrame:
-    """The progress reports of each (workflow, step) that are passed on, compared with the last one passed in any micro-batch."""
+    """The progress reports of each (workflow, step, attempt) that are passed on, compared with the last one passed in any micro-batch."""
 
     def pick(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = (state.get[0], "") if state.exists else None
-        for frame in frames:
-            keep = []
-            for p in frame.sort_values("event_id")["percent"]:
-                keep.append(emits(p, "", last, delta))
-                if keep[-1]:
-                    last = (p, "")
-            frame = frame.sort_values("event_id")[keep]
-            yield pd.DataFrame({"workflow_id": key[0], "step": key[1], "event_id": frame["event_id"], "percent": frame["percent"]})
+        last, keep = tuple(state.get) if state.exists else None, []
+        rows = _in_order(frames)
+        for p, phase in zip(rows["percent"], rows["c_phase"], strict=True):
+            keep.append(emits(p, phase, last, delta))
+            if keep[-1]:
+                last = (p, phase)
+        yield pd.DataFrame({"workflow_id": key[0], "step": key[1], "event_id": rows["event_id"][keep], "percent": rows["percent"][keep]})
         if last is not None:
-            state.update((last[0],))
+            state.update(last)
 
-    rows = stream.select("workflow_id", F.col("step").cast("int").alias("step"), "event_id", "percent")
-    return rows.groupBy("workflow_id", "step").applyInPandasWithState(pick, "workflow_id long, step int, event_id long, percent double", "last double", "append", GroupStateTimeout.NoTimeout)
+    attempt = F.col("attempt").cast("int") if "attempt" in stream.columns else F.lit(1)
+    rows = stream.select("workflow_id", F.col("step").cast("int").alias("step"), attempt.alias("attempt"), "event_id", "percent", report_phase(stream))
+    keyed = rows.groupBy("workflow_id", "step", "attempt")
+    return keyed.applyInPandasWithState(pick, "workflow_id long, step int, event_id long, percent double", "last double, phase string", "append", GroupStateTimeout.NoTimeout)
 
 
 def counts(stream: DataFrame) -> DataFrame:

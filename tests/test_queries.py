@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 
 from cueframe.functions import text, timecode
 from cueframe.functions.text import Rule
-from cueframe.operators import artifacts, catalog, events, segmentation, translation
-from cueframe.oracle import ORACLE_SQL
+from cueframe.model_oracle import ORACLE_SQL as MODEL_SQL
+from cueframe.model_queries import QUERIES as MODEL_QUERIES
+from cueframe.operators import artifacts, catalog, content, events, models, quality, segmentation, translation, units
+from cueframe.oracle import ORACLE_SQL as BASE_SQL
 from cueframe.plans.steps import Step, chained
-from cueframe.queries import QUERIES
+from cueframe.queries import QUERIES as BASE_QUERIES
 from cueframe.streaming import tail
 
+QUERIES, ORACLE_SQL = BASE_QUERIES | MODEL_QUERIES, BASE_SQL | MODEL_SQL
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages conversations".split()
 
 
@@ -113,6 +117,59 @@ def test_throttle_compares_with_the_last_report_passed(spark):
     assert [r.percent for r in events.throttled(rows).orderBy("sequence").collect()] == [0.0, 42.4, 100.0]
 
 
+def test_throttle_looks_at_label_phase_and_attempt(spark):
+    rows = spark.createDataFrame(
+        [(1, 0, 1, 0, 10.0, "p", "a"), (1, 0, 1, 1, 10.2, "p", "a"), (1, 0, 1, 2, 10.3, "p", "b"), (1, 0, 1, 3, 10.4, "q", "b"), (1, 0, 2, 4, 10.4, "q", "b"), (1, 0, 2, 5, 10.5, "q", "b")],
+        "workflow_id long, step int, attempt int, sequence long, percent double, phase string, label string",
+    )
+    assert sorted(r.sequence for r in events.throttled(rows).collect()) == [0, 2, 3, 4]
+    assert {(r.attempt, r.phase, r.sequence) for r in events.latest_progress(rows).collect()} == {(1, "p", 2), (1, "q", 3), (2, "q", 5)}
+
+
+def test_lines_end_as_unicode_has_it(spark):
+    for said in ("", "a", "a\n", "a\r\nb", "a\rb\x0bc\x0cd\x85e\u2028f", "\n\n", "a\r\n"):
+        got = one(spark, quality.line_lengths(F.lit(said)))
+        assert got == ([len(x) for x in said.splitlines()] or [0]), said
+
+
+def test_units_fall_back_to_their_segment(spark):
+    kind = "key long, idx long, start_ms long, end_ms long, text string, source_text string, words array<struct<text:string,start_ms:long,end_ms:long>>"
+    rows = [
+        (1, 0, 0, 900, " a b ", None, [("a", None, None), (" ", 1, 2), (" b", 400, None)]), (1, 1, 900, 950, "c", "d", [("c", 900, 950)]), (1, 2, 950, 960, " ", None, [(" ", 1, 2)]),
+        (1, 3, 960, 990, "e f", "e f", None), (2, 0, 5, 6, "g", "g", [("g", 5, 6)]), (2, 1, 7, 8, "h i", None, [("", 7, 8)]),
+    ]
+    found = units.units(spark.createDataFrame(rows, kind))
+    assert [tuple(r) for r in found.orderBy("key", "i").collect()] == [
+        (1, 0, 0, 0, "a", 0, 0), (1, 1, 400, 400, "b", 0, 2), (1, 2, 900, 950, "c", 1, None), (1, 3, 960, 990, "e f", 3, None), (2, 0, 5, 6, "g", 0, 0), (2, 1, 7, 8, "h i", 1, None),
+    ]
+    blocks = spark.createDataFrame([(1, 1, 0, 2), (1, 2, 3, 3), (2, 1, 0, 1)], "conv_id long, block long, first_i long, last_i long")
+    assert {tuple(map(str, r)) for r in units.payload(blocks, found).collect()} == {("1", "1", "[0, 1]", "['0:0', '0:2']", "3"), ("1", "2", "[3]", "[]", "2"), ("2", "1", "[0, 1]", "['0:0']", "3")}
+
+
+def test_segments_are_read_from_lists_and_objects(spark):
+    rows = spark.createDataFrame([(1, '[{"start":1,"end":2.5,"text":"x","words":[{"text":"x","start":1}]},{"start":3}]'), (2, '{"segments":[{"start":0,"end":1}]}'), (3, "{}"), (4, "no"), (5, None), (6, "[]")], "key long, content string")
+    found = units.decoded(rows)
+    assert {(r.key, r.idx, r.start_ms, r.end_ms, r.text, r.valid) for r in found.collect()} == {(1, 0, 1000, 2500, "x", True), (1, 1, 3000, None, "", False), (2, 0, 0, 1000, "", True)}
+    assert [tuple(r) for r in units.invalid(found).collect()] == [(1, 1)]
+
+
+def test_replies_and_records_say_what_is_wrong(spark):
+    rows = spark.createDataFrame([
+        (1, '[{"index":0,"text":"a","status":"corrected"}]', 1), (2, "x", 1), (3, "[]", 1), (4, '[{"index":1,"text":"a"}]', 1), (5, '[{"index":0}]', 1), (6, '[{"index":0,"text":"a","status":"odd"}]', 1),
+    ], "key long, reply string, expected int")
+    assert {r.key: r.problem for r in content.parsed_replies(rows).collect()} == {1: None, 2: "not an array", 3: "count", 4: "index", 5: "text", 6: "status"}
+    assert one(spark, content.diff_form(F.lit("json"), F.lit('{"b":[1,{}],"a":"é"}'))) == '{\n  "a": "é",\n  "b": [\n    1,\n    {}\n  ]\n}\n'
+    assert one(spark, content.text_form(F.lit("bytes"), F.lit("x"))) is None
+
+
+def test_small_read_models(spark):
+    assert one(spark, models.progress_seconds(F.lit("out_time=0:01:2.5"))) == 62.5 and one(spark, models.progress_seconds(F.lit("out_time_us=x"))) is None
+    assert one(spark, models.segment_progress(F.lit(5), F.lit(10), F.lit(0))) == 0.5 and one(spark, models.segment_progress(F.lit(5), F.lit(9), F.lit(9))) == 0.0
+    assert one(spark, models.hotwords(F.array(F.lit(" a"), F.lit(" ")))) == "a" and one(spark, models.short_time(F.lit("x"))) == "x"
+    assert one(spark, text.language_code(F.lit(" EN"), {"en": "eng"})) == "eng" and one(spark, timecode.time_ms(F.lit(None).cast("double"), F.lit(0.0005))) == 1
+    assert one(spark, timecode.seconds_to_ms(F.lit(0.0025))) == 2 and one(spark, timecode.clock_seconds(F.lit("1:2"))) is None
+
+
 def test_host_test_and_ordered_union(spark):
     urls = {"https://www.youtube.com/x": True, "https://youtu.be/1": True, "https://notyoutube.com": False, "junk": False, None: False}
     got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", catalog.is_host(F.col("u")).alias("x")).collect()

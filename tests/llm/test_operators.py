@@ -198,12 +198,73 @@ def test_inline_elements_do_not_decide_on_paragraphs_of_a_large_host(spark):
     got = {r.page_id: r.text.split("\n") for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for k in range(1200):
         rare = [f"Link {k} opens this.", f"Correction {k}", f"Caption {k}"] if k % 100 == 7 else []
-        assert got[k] == [f"Text {k} with a link and stress within.", *rare, f"News of day {k}", "News again"]
+        assert got[k] == [f"Text {k} with a link and stress within.", *rare, f"News of day {k} News again"]
+
+
+def framed(k):
+    """A page whose frame has names that say nothing: fixed, half fixed and varied parts around the text."""
+    side = f"<div class=x3><ul><li>Offer {k % 2}</li><li>Terms</li></ul></div>"
+    return (
+        f"<body><div class=x1><span>Your daily paper</span></div><div class='text has-sidebar'><h1>Title {k}</h1><p>Body {k} of <b>page {k}</b>, <span class=ad>buy</span> long enough.</p>{'<p>More %d</p>' % k if k % 3 else ''}</div>"
+        f"{side}<div class='content sidebar'>{'A kept text of page %d. ' % k * 20}</div></body>"
+    )
+
+
+def test_the_tree_decides_where_names_say_nothing(spark):
+    rows = [(k, f"http://x.example.com/{k}", framed(k)) for k in range(40)] + [(100 + k, f"http://y{k}.example.com/", framed(k)) for k in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in html_extract.main_text(pages).collect()}
+    for k in range(40):
+        assert got[k][:-1] == [f"Title {k}", f"Body {k} of page {k}, long enough.", *([f"More {k}"] if k % 3 else [])]
+        assert got[k][-1].startswith(f"A kept text of page {k}.")
+    # One page alone is no evidence: only what names and tags say goes.
+    assert got[101][0] == "Your daily paper" and "Offer 1" in got[101]
+    # Without the tree the frame stays, and the branch with a bad name goes.
+    alone = html_extract.Page(framed(1)).text().split("\n")
+    assert "Your daily paper" in alone and "Terms" in alone and not any(x.startswith("A kept") for x in alone)
+
+
+def test_style_tree_equals_a_recursion(spark):
+    from math import log
+
+    sources = [framed(k) for k in range(9)] + ["<p>x</p>", "", None, "<div><p>x<p>y</div>"]
+    nodes: dict = {}
+    for source in sources:
+        for b in html_extract.branches(html_extract.Page(source))[0]:
+            x = nodes.setdefault(b.key, {"parent": b.parent, "styles": {}, "texts": {}, "chars": 0, "leaf": b.texts is not None})
+            x["styles"][b.style] = x["styles"].get(b.style, 0) + 1
+            x["chars"] += b.chars
+            for t in b.texts or ():
+                x["texts"][t] = x["texts"].get(t, 0) + 1
+
+    def raw(key):
+        x = nodes[key]
+        m, said = sum(x["styles"].values()), sum(x["texts"].values())
+        if x["leaf"]:
+            value = 1 - (sum(n * log(n) for n in x["texts"].values()) / (said * log(m)) if m > 1 else 0)
+            return value, 1 / m + (1 - 1 / m) * value
+        kids = [(k, *raw(k)) for k, y in nodes.items() if y["parent"] == key]
+        below = sum((nodes[k]["chars"] + 1) * r for k, r, _ in kids) / sum(nodes[k]["chars"] + 1 for k, _, _ in kids)
+        own = (log(m) - sum(n * log(n) for n in x["styles"].values()) / m) / log(m) if m > 1 else 1.0
+        share = html_extract.GAMMA ** len(x["styles"])
+        value = (1 - share) * own + share * below
+        return value, max([1 / m + (1 - 1 / m) * value, *[b for _, _, b in kids]])
+
+    pages = spark.createDataFrame([(k, "http://h.org", x) for k, x in enumerate(sources)], "page_id long, url string, html string")
+    found = {r.key: r for r in html_extract.style_tree(pages).collect()}
+    assert set(found) == set(nodes)
+    for key, r in found.items():
+        value, best = raw(key)
+        m = sum(nodes[key]["styles"].values())
+        assert r.pages == m and r.importance == pytest.approx(1 / m + (1 - 1 / m) * value) and r.best == pytest.approx(best)
 
 
 @pytest.mark.parametrize(
     ("source", "text"),
     [
+        ("<div class='article has-sidebar'><p>a</p></div>", "a"),
+        ("<section class='social-history'>a</section><p class='form'>b</p>", "a\nb"),
+        ("<p>foo <span class='ad'>x</span> bar</p><div id=sidebar>no</div>", "foo bar"),
         ('<p>One <svg class="i"/> two</p><p>three</p>', "One two\nthree"),
         ("<p>One <svg class=i><title>Icon<g/></title><style/><path d='M1'/><text>label</text>\n</svg> two<p>three", "One two\nthree"),
         ("<p>One <svg><style/><circle></svg> two <svg><path> lost<p>three</p>", "One two\nthree"),

@@ -3,6 +3,9 @@
 ``mux`` writes one audio track of 8-bit PCM; ``packets`` reads any Matroska file's blocks (SimpleBlocks and BlockGroups, with no, Xiph,
 EBML or fixed lacing, known or unknown sizes) as rows of track, timestamp and byte range.
 
+Frames of one lace follow each other by the track's default duration or, for PCM without one, by their samples.  A block of a group is a key frame unless the group refers
+to another.  Bytes that header stripping took off a track's frames are given beside its byte ranges; other content encodings are not undone.
+
 Defined cases of the query: a null or empty text has the payload of 64 zero bytes; equal texts give equal values; an empty
 table gives an empty table; other columns are ignored.  ``packet_table``: a null or unreadable file gives no rows.
 """
@@ -28,10 +31,13 @@ SCALE, DURATION, MUX_APP, WRITE_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, LACING, CODEC, AUDIO = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1
 RATE, CHANNELS, DEPTH = 0xB5, 0x9F, 0x6264
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+REFERENCE, DEFAULT_DURATION = 0xFB, 0x23E383
+ENCODINGS, ENCODING, COMPRESSION, ALGORITHM, SETTINGS = 0x6D80, 0x6240, 0x5034, 0x4254, 0x4255
+HEADER_STRIPPING = 3
 CUE, CUE_TIME, CUE_PLACE, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
 SAMPLE_RATE, FRAME, LACED, CLUSTER_FRAMES = 8000, 512, 8, 128
-_MASTERS = {SEGMENT, TRACKS, TRACK, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE, CUE_PLACE, INFO}
+_MASTERS = {SEGMENT, TRACKS, TRACK, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE, CUE_PLACE, INFO, ENCODINGS, ENCODING, COMPRESSION}
 
 
 def vint(value: int) -> bytes:
@@ -56,7 +62,7 @@ def _float(ident: int, value: float) -> bytes:
 
 _HEADER = element(EBML, b"".join([uint(VERSION, 1), uint(READ_VERSION, 1), uint(MAX_ID, 4), uint(MAX_SIZE, 8), element(DOC_TYPE, b"matroska"), uint(DOC_VERSION, 4), uint(DOC_READ, 2)]))
 _TRACKS = element(TRACKS, element(TRACK, b"".join([
-    uint(TRACK_NUMBER, 1), uint(TRACK_UID, 1), uint(TRACK_TYPE, 2), uint(LACING, 1), element(CODEC, b"A_PCM/INT/LIT"),
+    uint(TRACK_NUMBER, 1), uint(TRACK_UID, 1), uint(TRACK_TYPE, 2), uint(LACING, 1), uint(DEFAULT_DURATION, 1_000_000_000 * FRAME // SAMPLE_RATE), element(CODEC, b"A_PCM/INT/LIT"),
     element(AUDIO, _float(RATE, SAMPLE_RATE) + uint(CHANNELS, 1) + uint(DEPTH, 8)),
 ])))
 
@@ -102,7 +108,7 @@ class Malformed(ValueError):
 
 @dataclass
 class Media:
-    """What one file holds; ``packets``: (track, cluster, ticks, key frame, byte offset, length)."""
+    """What one file holds; ``packets``: (track, cluster, time in ns, key frame, byte offset, length)."""
 
     packets: list[tuple[int, int, int, bool, int, int]] = field(default_factory=list)
     tracks: dict[int, dict[str, object]] = field(default_factory=dict)
@@ -163,7 +169,9 @@ def demux(data: bytes) -> Media:
     out, end = Media(), len(data)
     track: dict[str, object] = {}
     cue = [0, 0, 0]
-    base = 0
+    base = group = 0
+    referring: set[int] = set()
+    blocks: list[tuple[int, int, int, bool, int, list[tuple[int, int]]]] = []
     stack = [(0, end, 0)]
     while stack:
         at, past, parent = stack.pop()
@@ -185,8 +193,12 @@ def demux(data: bytes) -> Media:
             elif ident in (SIMPLE_BLOCK, BLOCK):
                 number, k = _size(data, at)
                 ticks, flags = int.from_bytes(data[k : k + 2], "big", signed=True), data[k + 2]
-                for place, length in _frames(data, k + 3, stop, flags >> 1 & 3):
-                    out.packets.append((number, len(out.clusters) - 1, base + ticks, bool(flags & 0x80) or ident == BLOCK, place, length))
+                key = bool(flags & 0x80) if ident == SIMPLE_BLOCK else True
+                blocks.append((number, len(out.clusters) - 1, base + ticks, key, group if ident == BLOCK else 0, _frames(data, k + 3, stop, flags >> 1 & 3)))
+            elif ident == BLOCK_GROUP:
+                group += 1
+            elif ident == REFERENCE:
+                referring.add(group)
             elif ident == TIMESTAMP:
                 base = int.from_bytes(data[at:stop], "big")
             elif ident == SCALE:
@@ -195,10 +207,14 @@ def demux(data: bytes) -> Media:
                 track = {}
             elif ident == TRACK_NUMBER:
                 out.tracks[int.from_bytes(data[at:stop], "big")] = track
-            elif ident in (TRACK_TYPE, CHANNELS, DEPTH):
-                track[{TRACK_TYPE: "type", CHANNELS: "channels", DEPTH: "depth"}[ident]] = int.from_bytes(data[at:stop], "big")
+            elif ident in _TRACK_NUMBERS:
+                track[_TRACK_NUMBERS[ident]] = int.from_bytes(data[at:stop], "big")
             elif ident == RATE:
-                track["rate"] = float(np.frombuffer(data[at:stop], f">f{size}")[0])
+                if size not in (0, 4, 8):
+                    raise Malformed("a number of no known width")
+                track["rate"] = float(np.frombuffer(data[at:stop], f">f{size}")[0]) if size else 0.0
+            elif ident == SETTINGS:
+                track["settings"] = bytes(data[at:stop])
             elif ident == CODEC:
                 track["codec"] = data[at:stop].decode("ascii", "replace")
             elif ident == CUE_TIME:
@@ -212,9 +228,31 @@ def demux(data: bytes) -> Media:
                 past, parent = stop, ident
             else:
                 at = stop
+    for number, cluster, ticks, key, in_group, frames in blocks:
+        at, kind = ticks * out.scale, out.tracks.get(number, {})
+        for place, length in frames:
+            out.packets.append((number, cluster, at, key and in_group not in referring, place, length))
+            at += _lasts(kind, length)
     return out
 
 
+_TRACK_NUMBERS = {TRACK_TYPE: "type", CHANNELS: "channels", DEPTH: "depth", DEFAULT_DURATION: "duration", ALGORITHM: "algorithm"}
+
+
+def _lasts(track: dict[str, object], length: int) -> int:
+    """Nanoseconds of a frame: the track's default, or those of its samples; 0 where neither is known."""
+    if track.get("duration"):
+        return int(track["duration"])
+    wide = int(track.get("channels", 1)) * int(track.get("depth", 0)) // 8
+    return int(length // wide * 1_000_000_000 / track["rate"]) if wide and track.get("rate") and str(track.get("codec", "")).startswith("A_PCM") else 0
+
+
+def stripped(media: Media, track: int) -> bytes:
+    """What header stripping took off each of the track's frames."""
+    kind = media.tracks.get(track, {})
+    return bytes(kind.get("settings", b"")) if kind.get("algorithm", 0) == HEADER_STRIPPING else b""
+
+
 def _unknown_cluster(data: bytes, at: int, past: int) -> int:
     """Where a cluster of unknown size ends: at the next element that cannot be its child."""
     while at < past:
@@ -227,10 +265,11 @@ def _unknown_cluster(data: bytes, at: int, past: int) -> int:
 
 
 def payload(data: bytes, media: Media, track: int = 1) -> bytes:
-    return b"".join([data[at : at + n] for number, _, _, _, at, n in media.packets if number == track])
+    head = stripped(media, track)
+    return b"".join([head + data[at : at + n] for number, _, _, _, at, n in media.packets if number == track])
 
 
-PACKET_COLUMNS = "track long, cluster int, timestamp_ns long, key boolean, byte_offset long, byte_length long, cued boolean"
+PACKET_COLUMNS = "track long, cluster int, timestamp_ns long, key boolean, byte_offset long, byte_length long, cued boolean, stripped binary"
 
 
 def packet_table(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
@@ -242,14 +281,14 @@ def packet_table(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
                 content = batch.column(1)[row].as_py()
                 try:
                     media = demux(content or b"")
-                except (Malformed, IndexError):
+                except (Malformed, IndexError, OverflowError):
                     continue
                 cued = {(track, at) for _, track, at in media.cues}
-                rows = [(t, c, ticks * media.scale, key, at, n, (t, media.clusters[c] if media.clusters else -1) in cued) for t, c, ticks, key, at, n in media.packets]
+                rows = [(t, c, ns, key, at, n, (t, media.clusters[c] if media.clusters else -1) in cued, stripped(media, t) or None) for t, c, ns, key, at, n in media.packets]
                 if rows:
-                    cols = [pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_()), strict=True)]
+                    cols = [pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)]
                     ids = batch.column(0).take(pa.array([row] * len(rows), pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids, *cols], ["id", "track", "cluster", "timestamp_ns", "key", "byte_offset", "byte_length", "cued"])
+                    yield pa.RecordBatch.from_arrays([ids, *cols], ["id", "track", "cluster", "timestamp_ns", "key", "byte_offset", "byte_length", "cued", "stripped"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(content_col).cast("binary")).mapInArrow(run, f"id {kind}, {PACKET_COLUMNS}")

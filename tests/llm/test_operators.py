@@ -150,7 +150,8 @@ def test_media_round_trip(size):
     media = matroska.demux(matroska.mux(data))
     assert matroska.payload(matroska.mux(data), media) == data and len(data) % 64 == 0 and data
     assert [at for _, _, at in media.cues] == media.clusters
-    assert media.packets[-1][2] * 1.0 == (len(data) - 1) // matroska.FRAME * matroska.FRAME // (matroska.FRAME * matroska.LACED) * matroska.FRAME * matroska.LACED
+    # A tick is a sample of 125,000 ns, and each frame starts after those before it.
+    assert [p[2] for p in media.packets] == [k * matroska.FRAME * 125_000 for k in range(len(media.packets))] and all(p[3] for p in media.packets)
 
 
 def test_lacing_of_all_kinds_is_read():
@@ -164,6 +165,22 @@ def test_lacing_of_all_kinds_is_read():
     assert [data[at : at + n] for _, _, _, _, at, n in media.packets] == 2 * (frames + frames + frames[:1] * 3)
 
 
+def test_groups_stripped_headers_and_odd_numbers():
+    m = matroska
+    encoding = m.element(m.ENCODINGS, m.element(m.ENCODING, m.element(m.COMPRESSION, m.uint(m.ALGORITHM, 3) + m.element(m.SETTINGS, b"HD"))))
+    audio = m.element(m.AUDIO, m.element(m.RATE, np.array([1000.0], ">f4").tobytes()) + m.uint(m.DEPTH, 8) + m.uint(m.CHANNELS, 1))
+    track = m.element(m.TRACKS, m.element(m.TRACK, m.uint(m.TRACK_NUMBER, 1) + m.element(m.CODEC, b"A_PCM/INT/LIT") + audio + encoding))
+    block = m.element(m.BLOCK, b"\x81\x00\x02\x04\x01" + b"ab" * 2)
+    groups = m.element(m.BLOCK_GROUP, block) + m.element(m.BLOCK_GROUP, m.uint(m.REFERENCE, 1) + block)
+    data = m.element(m.SEGMENT, track + m.element(m.CLUSTER, m.uint(m.TIMESTAMP, 5) + groups))
+    media = m.demux(data)
+    assert [(p[2], p[3]) for p in media.packets] == [(7_000_000, True), (9_000_000, True), (7_000_000, False), (9_000_000, False)]
+    assert m.payload(data, media) == b"HDab" * 4
+    for size in (1, 3, 5):
+        with pytest.raises(m.Malformed):
+            m.demux(m.element(m.SEGMENT, m.element(m.TRACKS, m.element(m.TRACK, m.element(m.AUDIO, m.element(m.RATE, b"x" * size))))))
+
+
 def test_packet_table_of_bad_files(spark):
     good = matroska.mux(b"x" * 1000)
     rows = spark.createDataFrame([(1, bytearray(good)), (2, None), (3, bytearray(b"\x00junk")), (4, bytearray(good[:40]))], "id long, content binary")

@@ -5,12 +5,14 @@ one - is found, and the bytes it covers are removed.
 
 1. A window's anchor is the least hashed ``GRAM``-byte string in it, the leftmost of equal ones; it depends on the window's bytes alone, so equal windows have
    equal anchors at equal offsets.  Neighbouring windows with one anchor make a run; only runs whose anchor occurs elsewhere can hold a repeat.
-2. Runs are dealt by anchor.  Of runs with equal bytes all but the earliest are repeats.  The earliest of each content, where one anchor has
-   several contents, need sorting.
+2. Runs are dealt by anchor.  Of runs with equal bytes (by two 64-bit hashes) all but the earliest are repeats.  The earliest of each content, where one anchor has
+   several contents, need sorting.  Repeats within a slice of a task's rows are known at once and are not dealt; of an anchor with ``MANY`` contents in one
+   slice two are dealt, which tells the others of that anchor, and the rest go straight to the sort.
 3. Their bytes are fetched and dealt by anchor and the ``HALF`` bytes on one side of it (each window has so many on one side), which parts the
    contents of a frequent anchor.  The suffixes that start at the anchors, and the reversed prefixes that end there, are sorted: multikey partitioning by
    eight-byte keys down to ``SHALLOW`` bytes, then a blind trie for each group that is still equal.  The common-prefix lengths of neighbours say
-   which windows are equal, and all but the earliest of those are repeats.
+   which windows are equal, and all but the earliest of those are repeats.  Where more than ``MOST_ROWS`` rows have one key (the edge of a passage that very many
+   documents share), the windows of these rows are taken one by one instead and their earliest found by an aggregate, so no key is gathered in one task.
 
 Defined cases: null and empty texts, and texts under LENGTH bytes, lose nothing; rows that share a ``doc_id`` are versions of one document: equal positions of theirs are not earlier
 than each other, and each loses what any of them loses at these positions; rows without a ``doc_id`` lose nothing and make nothing repeat; an empty table
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import materialize, row_slices, utf8
+from cueframe.llm.common import bounded, materialize, release, row_slices, utf8
 
 LENGTH, GRAM = 100, 24
 SIDE = LENGTH - GRAM
@@ -37,6 +39,8 @@ SHALLOW = 24
 PIECE = 8 << 20
 #: Groups per shuffle partition, so that hashing spreads them evenly.
 SPREAD = 8
+#: Contents of one anchor in a slice, and rows of one key, over which they are not gathered.
+MANY, MOST_ROWS = 16, 20_000
 _PLACE_BITS = np.uint64(24)
 _U = np.uint64
 _BASE = 0xD1342543DE82EF95
@@ -139,7 +143,11 @@ def _unplanes(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def _run_batches(groups: int):
+#: Blobs of runs that need no dealing: known repeats, and contents of an anchor that has many.
+SEEN, DIRECT = -1, -2
+
+
+def _run_batches(groups: int, many: int):
     names = ["pid", *RUN_TYPES]
 
     def pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
@@ -167,15 +175,26 @@ def _run_batches(groups: int):
                 _, later = _repeats(order, (anchor, content), doc, start)
                 pid = (anchor % _U(groups)).astype(np.int32)
                 cols = {"doc": doc, "start": start, "size": size, "off": off, "anchor": anchor, "content": content}
+                first, seen = order[~later], order[later]
+                lead = np.flatnonzero(np.r_[True, anchor[first][1:] != anchor[first][:-1]]) if len(first) else np.zeros(0, np.int64)
+                count = np.diff(np.append(lead, len(first)))
+                place = np.arange(len(first)) - np.repeat(lead, count)
+                direct = (np.repeat(count, count) >= many) & (place >= 2)
                 out: list[tuple] = []
-                for chosen, seen in ((order[~later], False), (order[later], True)):
-                    chosen = chosen[np.argsort(pid[chosen], kind="stable")]
-                    ids_, at_ = np.unique(pid[chosen], return_index=True)
-                    for p, a, b in zip(ids_, at_, [*at_[1:], len(chosen)], strict=False):
-                        part = chosen[a:b]
-                        part = part[np.lexsort((start[part], doc[part]))]
-                        # Later ones are known repeats: they carry no hashes.
-                        out.append((int(p), *[_planes(cols[c][part].astype(t)) if not (seen and t is np.uint64) else b"" for c, t in RUN_TYPES.items()]))
+
+                def blob(p: int, part: np.ndarray, kinds: tuple[str, ...], cols=cols, doc=doc, start=start, out=out) -> None:
+                    part = part[np.lexsort((start[part], doc[part]))]
+                    out.append((p, *[_planes(cols[c][part].astype(t)) if c in kinds else b"" for c, t in RUN_TYPES.items()]))
+
+                dealt = first[~direct]
+                dealt = dealt[np.argsort(pid[dealt], kind="stable")]
+                ids_, at_ = np.unique(pid[dealt], return_index=True)
+                for p, a, b in zip(ids_, at_, [*at_[1:], len(dealt)], strict=False):
+                    blob(int(p), dealt[a:b], tuple(RUN_TYPES))
+                if len(seen):
+                    blob(SEEN, seen, ("doc", "start", "size", "off"))
+                if direct.any():
+                    blob(DIRECT, first[direct], ("doc", "start", "size", "off", "anchor"))
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int32() if not k else pa.binary()) for k in range(len(names))], names)
 
     return run
@@ -184,11 +203,13 @@ def _run_batches(groups: int):
 FINDING_COLUMNS = "doc_id long, start long, size int, off int, anchor long, again boolean"
 
 
+def _findings(doc: np.ndarray, start: np.ndarray, size: np.ndarray, off: np.ndarray, anchor: np.ndarray, again: np.ndarray) -> pa.Table:
+    return pa.table({"doc_id": doc, "start": start, "size": size.astype(np.int32), "off": off.astype(np.int32), "anchor": anchor.view(np.int64), "again": again})
+
+
 def _resolve(table: pa.Table) -> pa.Table:
     """The runs of one group of anchors: repeats (``again``), and the earliest runs of anchors with several contents."""
-    known = [b"" != x for x in table["anchor"].to_pylist()]
-    plain, seen = table.filter(pa.array(known)), table.filter(pa.array([not k for k in known]))
-    doc, start, size, off, anchor, content = (_joined(plain, c) for c in RUN_TYPES)
+    doc, start, size, off, anchor, content = (_joined(table, c) for c in RUN_TYPES)
     order = np.lexsort((start, doc, content, anchor))
     fresh, later = _repeats(order, (anchor, content), doc, start)
     lead = np.zeros(len(order), bool)
@@ -198,18 +219,18 @@ def _resolve(table: pa.Table) -> pa.Table:
     several = np.bincount(group, weights=fresh, minlength=1)[group] > 1 if len(order) else np.zeros(0, bool)
     again, need = order[later], order[~later & several]
     both = np.concatenate([again, need])
-    more = [_joined(seen, c) for c in ("doc", "start", "size", "off")]
-    zero = np.zeros(len(more[0]), np.int64)
-    return pa.table(
-        {
-            "doc_id": np.concatenate([doc[both], more[0]]),
-            "start": np.concatenate([start[both], more[1]]),
-            "size": np.concatenate([size[both], more[2]]).astype(np.int32),
-            "off": np.concatenate([off[both], more[3]]).astype(np.int32),
-            "anchor": np.concatenate([anchor[both].view(np.int64), zero]),
-            "again": np.concatenate([np.arange(len(both)) < len(again), np.ones(len(zero), bool)]),
-        }
-    )
+    return _findings(doc[both], start[both], size[both], off[both], anchor[both], np.arange(len(both)) < len(again))
+
+
+def _straight(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blobs that were not dealt, as findings: known repeats are repeats, and the contents of an anchor with many need sorting."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            table = pa.Table.from_batches([batch.slice(row, 1)])
+            doc, start, size, off, anchor = (_joined(table, c) for c in list(RUN_TYPES)[:5])
+            seen = table["pid"][0].as_py() == SEEN
+            yield from _findings(doc, start, size, off, np.zeros(len(doc), np.uint64) if seen else anchor, np.full(len(doc), seen)).to_batches()
+    release()
 
 
 def _joined(table: pa.Table, name: str) -> np.ndarray:
@@ -250,6 +271,7 @@ def _context_batches(groups: int):
                     yield _records(rows, names)
                     rows = []
             yield _records(rows, names)
+        release()
 
     return run
 
@@ -396,17 +418,48 @@ def _sort_group(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": doc[row], "start": at[row] - (end - 1), "size": (end - begin).astype(np.int32)})
 
 
-def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of frequent keys (doc, at, low, high, bytes) -> each of their windows: two hashes of its bytes, and where it starts."""
+    import xxhash
+
+    for batch in batches:
+        rows = []
+        for doc, at, low, high, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for off in range(low, high + 1):
+                value = xxhash.xxh3_128_intdigest(data[high - off : high - off + LENGTH])
+                rows.append(((value >> 64) - (1 << 63), (value & (1 << 64) - 1) - (1 << 63), doc, at - off))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["one", "two", "doc_id", "start"])
+    release()
+
+
+def _frequent(rows: DataFrame) -> DataFrame:
+    """Repeated windows among rows whose key is frequent: all but the earliest of each, found by an aggregate."""
+    windows = materialize(rows.select("doc", "at", "low", "high", "bytes").mapInArrow(_window_batches, "one long, two long, doc_id long, start long"), "frequent-windows")
+    place = F.struct("doc_id", "start")
+    least = windows.groupBy("one", "two").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most").select("one", "two", "least")
+    again = windows.join(least, ["one", "two"]).where(F.struct("doc_id", "start") != F.col("least"))
+    return again.select("doc_id", "start", F.lit(1).alias("size"))
+
+
+def repeated_windows(docs: DataFrame, many: int = MANY, most_rows: int = MOST_ROWS) -> tuple[DataFrame, DataFrame]:
     """The documents dealt by id (``doc_id, text``), and ``doc_id, start, size``: ``size`` windows from ``start`` on repeat earlier ones."""
     spark = docs.sparkSession
     groups = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blobs = docs.mapInArrow(_run_batches(groups), "pid int, " + ", ".join(f"{c} binary" for c in RUN_TYPES))
-    found = materialize(blobs.groupBy("pid").applyInArrow(_resolve, FINDING_COLUMNS), "runs")
+    blobs = materialize(docs.mapInArrow(_run_batches(groups, many), "pid int, " + ", ".join(f"{c} binary" for c in RUN_TYPES)), "run-blobs")
+    straight = blobs.where("pid < 0").mapInArrow(_straight, FINDING_COLUMNS)
+    found = materialize(blobs.where("pid >= 0").groupBy("pid").applyInArrow(_resolve, FINDING_COLUMNS).unionByName(straight), "runs")
     needs = found.where("NOT again").groupBy(F.col("doc_id").alias("n_doc")).agg(F.collect_list(F.struct("start", "size", "off", "anchor")).alias("needs"))
-    # Both joins of the texts (this, and that of `removed`) are left joins on one key, so one exchange of the texts serves both.
+    # Both joins of the texts (this, and that of `removed`) are left joins on one key.
     texts = docs.join(needs.hint("shuffle_hash"), docs["doc_id"] == F.col("n_doc"), "left").select("doc_id", "text", "needs")
-    sorted_ = texts.mapInArrow(_context_batches(groups), CONTEXT_COLUMNS).groupBy("pid").applyInArrow(_sort_group, "doc_id long, start long, size int")
-    return docs, found.where("again").select("doc_id", "start", "size").unionByName(sorted_)
+    context = materialize(texts.where("needs IS NOT NULL").mapInArrow(_context_batches(groups), CONTEXT_COLUMNS), "contexts")
+    # At most rows / most_rows keys are frequent.
+    often = materialize(context.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_rows).select("key"), "frequent-keys")
+    few = often.count() == 0
+    rest = context if few else bounded(context, often, "key", "frequent-keys", "left_anti")
+    sorted_ = rest.groupBy("pid").applyInArrow(_sort_group, "doc_id long, start long, size int")
+    spans = found.where("again").select("doc_id", "start", "size").unionByName(sorted_)
+    return docs, spans if few else spans.unionByName(_frequent(bounded(context, often, "key", "frequent-keys")))
 
 
 def covered(size: int, start: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -440,10 +493,10 @@ def _removed_batches(digest: bool):
     return run
 
 
-def removed(docs: DataFrame, digest: bool = False) -> DataFrame:
+def removed(docs: DataFrame, digest: bool = False, many: int = MANY, most_rows: int = MOST_ROWS) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept``: the bytes that stay, or their SHA-256."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts, spans = repeated_windows(docs)
+    texts, spans = repeated_windows(docs, many, most_rows)
     spans = spans.groupBy(F.col("doc_id").alias("s_doc")).agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     rows = texts.join(spans.hint("shuffle_hash"), texts["doc_id"] == F.col("s_doc"), "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_removed_batches(digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}")

@@ -57,6 +57,16 @@ def test_suffix_dedup_removes_what_brute_force_removes(spark):
     assert got == suffix_truth(rows)
 
 
+def test_frequent_anchors_and_keys_are_not_gathered_and_change_nothing(spark):
+    rng = random.Random(8)
+    core = words(rng, 30)
+    # One passage in many contexts, some of which repeat on one side.
+    sides = [words(rng, 12) for _ in range(4)]
+    rows = [*passages(), *[(200 + k, f"{sides[k % 4]} {k % 3} {core} {k % 5} {sides[k % 3]}") for k in range(40)]]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in suffix_dedup.removed(frame(spark, rows).repartition(2), digest=True, many=2, most_rows=3).collect()}
+    assert got == suffix_truth(rows)
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.removed(frame(spark, [])).count() == 0
 

@@ -1,7 +1,11 @@
 """A training corpus from ``documents``: toxic documents out, repeated lines out, one of each group of near copies, benchmark leaks out, packed.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.  All but the last return the columns of
-``documents``; ``n_chars`` follows the text.
+``documents``, whatever further columns there are; ``n_chars`` follows the text.
+
+Defined cases: null and empty texts are clean, are one empty line each (so line dedup makes a null text empty), are near copies of nothing, hold no benchmark item and are packed as their end
+alone; texts that line dedup empties stay as empty documents; rows without ``doc_id`` are scored, checked and packed like others, lose no line and are near copies of nothing,
+but are kept by decontamination whatever they hold; rows that share a ``doc_id`` go together; empty tables of documents, labels or benchmark give empty or unfiltered results.
 """
 
 from __future__ import annotations
@@ -50,7 +54,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Trained models and tokenizers: tests compare the stages with brute force instead.
+#: Trained models and tokenizers: tests compare each stage with brute force on its own input instead.
 ORACLE_SQL = None
 
 

@@ -129,6 +129,6 @@ SELECT key, a AS first, greatest(a, b) AS past FROM w""",
     "tool_titles": """SELECT p_partkey, array_to_string(list_transform(string_split(replace(p_name, '_', ' '), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') || CASE WHEN p_partkey % 5 = 0 THEN ' QA' ELSE '' END AS title FROM part""",
     "progress_lines": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id / 1000000.0 WHEN 1 THEN 0.0 WHEN 2 THEN 3602.5 + 60 * (event_id % 60) END AS seconds FROM events",
     "clock_times": "SELECT event_id, CASE WHEN event_id % 4 > 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE 'soon' END AS time, CAST(floor(CASE WHEN event_id % 2 = 0 THEN value ELSE value * 1000 END + 0.5) AS BIGINT) AS ms FROM events",
-    "probed_durations": "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_id % 1000 + 0.5 END AS seconds FROM events",
+    "probed_durations": "SELECT event_id, CAST(CASE WHEN event_id % 3 > 0 THEN event_id % 1000 + 0.5 END AS DOUBLE) AS seconds FROM events",
     "language_codes": "SELECT doc_id, CASE lower(lang) WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' ELSE lower(lang) END AS code FROM documents",
 }

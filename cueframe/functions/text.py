@@ -14,7 +14,6 @@ TIGHT_FIRST, TIGHT_LAST = "'.,!?;:)]}。，！？；：", '([{"'
 SENTENCE_MARKS, CLAUSE_MARKS = ".!?;:。！？；：", ",，、"
 NO_SPACE_BEFORE = r"^['.,!?;:)\]}。，！？；：]"
 NO_SPACE_AFTER = r"[(\[{\"]$"
-SENTENCE_END = r"[.!?;:。！？；：]$"
 NUMBER = r"\d+(?:[.,:]\d+)*"
 
 
@@ -105,20 +104,12 @@ def tokens(text: Column) -> Column:
 
 def wrapped(text: Column, width: int, lines: int) -> Column:
     """Greedy lines of at most ``width`` characters; the last of ``lines`` takes all the rest."""
-    flat = F.array_join(tokens(text), " ")
-    start = F.struct(F.lit("").alias("done"), F.lit("").alias("line"), F.lit(1).alias("n"))
-
-    def step(a: Column, word: Column) -> Column:
-        fits = (a["line"] == "") | (F.length(a["line"]) + 1 + F.length(word) <= width) | (a["n"] >= lines)
-        grown = F.concat(a["line"], F.when(a["line"] == "", "").otherwise(" "), word)
-        return F.struct(
-            F.when(fits, a["done"]).otherwise(F.concat(a["done"], a["line"], F.lit("\n"))).alias("done"),
-            F.when(fits, grown).otherwise(word).alias("line"),
-            F.when(fits, a["n"]).otherwise(a["n"] + 1).alias("n"),
-        )
-
-    folded = F.aggregate(tokens(text), start, step, lambda a: F.concat(a["done"], a["line"]))
-    return F.when((F.length(flat) <= width) | F.lit(lines <= 1), flat).otherwise(folded)
+    out = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    # Breaks the last line, where it is too long, at its last blank that fits or else after its first word.
+    cut = rf"(?<![^\n])(?=[^\n]{{{width + 1},}}\z)([^\n]{{1,{width}}}|[^ \n]+) "
+    for _ in range(lines - 1):
+        out = F.regexp_replace(out, cut, "$1\n")
+    return out
 
 
 def numbers(text: Column) -> Column:

@@ -1,7 +1,6 @@
 """Words into subtitle blocks: a greedy fold, short blocks merged, texts wrapped, SRT files.
 
-A sentence mark always ends a block unless a protected term spans it, so words are dealt by (conversation, sentence) and each sentence is folded
-by itself; only the merging of short blocks looks at a conversation's blocks in order.
+Whether a word still fits depends on the block that is open, so a conversation's words are walked in order, once: folded, merged and numbered.
 """
 
 from __future__ import annotations
@@ -9,12 +8,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import batched, groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueframe.functions.text import CLAUSE_MARKS, SENTENCE_END, SENTENCE_MARKS, TIGHT_FIRST, TIGHT_LAST, Rule, glue, plain_token, wrapped
+from cueframe.functions.text import CLAUSE_MARKS, SENTENCE_MARKS, TIGHT_FIRST, TIGHT_LAST, Rule, glue, plain_token, wrapped
 from cueframe.functions.timecode import block_cps, srt_time
 
 
@@ -82,89 +83,90 @@ def _tight(text: str, word: str) -> bool:
     return (word[:1] in TIGHT_FIRST) or (text[-1:] in TIGHT_LAST)
 
 
-def _fold_batches(p: Profile):
-    def fold(at: list[int], start: list[int], end: list[int], words: list[str], spans: list[dict | None]) -> Iterator[tuple]:
-        text, first, begun, span = words[0], at[0], start[0], spans[0]
-        done = end[0]
-        for k in range(1, len(at)):
-            word, now = words[k], end[k]
-            longer = text + word if _tight(text, word) else f"{text} {word}"
-            if not (span is not None and span == spans[k]) and (
-                (done - begun >= p.min_ms and (start[k] - done >= p.pause_ms or (p.clause and text[-1:] in CLAUSE_MARKS)))
-                or (p.sentence and text[-1:] in SENTENCE_MARKS)
-                or now - begun > p.max_ms
-                or len(longer) > p.most_chars
-            ):
-                yield first, at[k - 1], begun, done, text
-                text, first, begun = word, at[k], start[k]
-            else:
-                text = longer
-            done, span = now, spans[k]
-        yield first, at[-1], begun, done, text
-
-    return _list_batches(fold)
-
-
-def _merge_batches(p: Profile):
+def _folded(p: Profile, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """``conv, first, last, start, end, text`` of each block, before any merging; the state is one block."""
+    conv = first = last = begun = done = span = None
+    text = ""
+    for batch in batches:
+        for now, at, start, end, word, gap, held in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if first is not None and now == conv:
+                longer = text + word if _tight(text, word) else f"{text} {word}"
+                if (span is not None and span == held) or not (
+                    (done - begun >= p.min_ms and (gap >= p.pause_ms or (p.clause and text[-1:] in CLAUSE_MARKS)))
+                    or (p.sentence and text[-1:] in SENTENCE_MARKS)
+                    or end - begun > p.max_ms
+                    or len(longer) > p.most_chars
+                ):
+                    last, done, text, span = at, end, longer, held
+                    continue
+            if first is not None:
+                yield conv, first, last, begun, done, text
+            conv, first, last, begun, done, text, span = now, at, at, start, end, word, held
+    if first is not None:
+        yield conv, first, last, begun, done, text
+
+
+def _merged(p: Profile, found: Iterator[tuple]) -> Iterator[tuple]:
+    """A conversation's blocks, each short one joined to the next or else to the one before, where both fit; the state is three blocks."""
+
     def join(a: tuple, b: tuple) -> tuple:
-        return a[0], b[1], a[2], b[3], a[4] + ("" if _tight(a[4], b[4]) else " ") + b[4]
+        return a[0], a[1], b[2], a[3], b[4], a[5] + ("" if _tight(a[5], b[5]) else " ") + b[5]
 
     def fits(a: tuple) -> bool:
-        return a[3] - a[2] <= p.max_ms and len(a[4]) <= p.most_chars
-
-    def merge(*columns: list) -> list[tuple]:
-        blocks, out, k = list(zip(*columns, strict=True)), [], 0
-        while k < len(blocks):
-            b = blocks[k]
-            short = len(blocks) > 1 and b[3] - b[2] < p.min_ms
-            if short and k + 1 < len(blocks) and fits(both := join(b, blocks[k + 1])):
-                out.append(both)
-                k += 1
-            elif short and out and fits(both := join(out[-1], b)):
-                out[-1] = both
-            else:
-                out.append(b)
-            k += 1
-        return out
-
-    return _list_batches(merge)
-
-
-BLOCK_COLUMNS = "conv_id long, first_i long, last_i long, start_ms long, end_ms long, text string"
-
-
-def _list_batches(each):
-    """``conv_id`` and the parallel lists of a group's fields -> blocks."""
-    kinds = [pa.int64()] * 5 + [pa.string()]
+        return a[4] - a[3] <= p.max_ms and len(a[5]) <= p.most_chars
+
+    held, now, after = None, next(found), next(found, None)
+    several = after is not None
+    while now is not None:
+        short = several and now[4] - now[3] < p.min_ms
+        if short and after is not None and fits(both := join(now, after)):
+            after = next(found, None)
+            ready, held = held, both
+        elif short and held is not None and fits(both := join(held, now)):
+            ready, held = None, both
+        else:
+            ready, held = held, now
+        if ready is not None:
+            yield ready
+        now, after = after, next(found, None)
+    yield held
+
+
+BLOCK_COLUMNS = "conv_id long, first_i long, last_i long, start_ms long, end_ms long, text string, block long"
+BATCH_BLOCKS = 10_000
+
+
+def _block_batches(p: Profile):
+    """Sorted ``conv_id, i, start_ms, end_ms, word, c_gap, c_span`` -> numbered blocks, in one walk."""
     names = [c.split()[0] for c in BLOCK_COLUMNS.split(", ")]
+    schema = pa.schema([(n, pa.string() if n == "text" else pa.int64()) for n in names])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for _, found in groupby(_folded(p, batches), itemgetter(0)):
+            for k, block in enumerate(_merged(p, found) if p.merge and p.min_ms else found, 1):
+                yield *block, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(conv, *b) for conv, *lists in zip(*[c.to_pylist() for c in batch.columns], strict=True) for b in each(*lists)]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names)
+        for rows in batched(numbered(batches), BATCH_BLOCKS):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def _listed(rows: DataFrame, keys: list[str], *fields: str) -> DataFrame:
-    """``conv_id`` and a list of each field, all in order of the first."""
-    units = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("c_units"))
-    return units.select("conv_id", *[F.col("c_units").getField(f).alias(f) for f in fields])
-
-
 def blocks(words: DataFrame, profile: Profile = PROFILES["default"], rules: Sequence[Rule] = ()) -> DataFrame:
-    """``conv_id, block, first_i, last_i, start_ms, end_ms, text``: words ``conv_id, i, start_ms, end_ms, word`` in blocks, numbered from 1 in order."""
+    """``conv_id, block, first_i, last_i, start_ms, end_ms, text``: words ``conv_id, i, start_ms, end_ms, word`` in blocks, numbered from 1 in order.
+
+    The window that measures the pauses deals the words by conversation and sorts them; the walk over its rows needs no further shuffle, and holds a few blocks,
+    not a conversation.  A conversation's words are walked in one task.
+    """
     order = Window.partitionBy("conv_id").orderBy("i")
     terms = protected_terms(rules)
-    words = protected_spans(words, terms) if terms else words.withColumn("span", F.lit(None).cast("struct<term:int,first:bigint>"))
-    held = F.coalesce(F.lag("span").over(order) == F.col("span"), F.lit(False))
-    ended = F.coalesce(F.lag("word").over(order).rlike(SENTENCE_END), F.lit(False)) if profile.sentence else F.lit(False)
-    words = words.withColumn("c_cut", (ended & ~held).cast("int")).withColumn("sentence", F.sum("c_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = _listed(words, ["conv_id", "sentence"], "i", "start_ms", "end_ms", "word", "span").mapInArrow(_fold_batches(profile), BLOCK_COLUMNS)
-    if profile.merge and profile.min_ms:
-        out = _listed(out, ["conv_id"], "first_i", "last_i", "start_ms", "end_ms", "text").mapInArrow(_merge_batches(profile), BLOCK_COLUMNS)
-    return out.withColumn("block", F.row_number().over(Window.partitionBy("conv_id").orderBy("first_i")).cast("long"))
+    span = F.lit(None).cast("long")
+    if terms:
+        words, span = protected_spans(words, terms), F.col("span.first") * len(terms) + F.col("span.term")
+    gap = F.col("start_ms") - F.lag("end_ms").over(order)
+    rows = words.select("conv_id", F.col("i").cast("long").alias("i"), "start_ms", "end_ms", "word", gap.alias("c_gap"), span.alias("c_span"))
+    return rows.sortWithinPartitions("conv_id", "i").mapInArrow(_block_batches(profile), BLOCK_COLUMNS)
 
 
 def materialized(found: DataFrame, profile: Profile = PROFILES["default"]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -199,3 +201,33 @@ def test_chained_steps_know_their_references(spark):
     for steps in ([Step("one", upper, {"df": "later"})], [Step("src", upper, {"df": "src"})]):
         with pytest.raises(ValueError):
             chained(steps, {"src": rows})
+
+
+def greedy_lines(said, width, lines):
+    out, line = [], ""
+    for word in said.split():
+        if not line or len(line) + 1 + len(word) <= width or len(out) + 1 >= lines:
+            line = f"{line} {word}".strip()
+        else:
+            out.append(line)
+            line = word
+    return "\n".join([*out, line])
+
+
+def test_wrapping_is_greedy_and_the_last_line_takes_the_rest(spark):
+    pick = random.Random(5)
+    said = [" ".join("x" * pick.choice([1, 2, 5, 9, 13, 30]) for _ in range(pick.randint(0, 14))) for _ in range(500)] + ["  a  b\n c ", "\U0001f600" * 12 + " a b c d e f g"]
+    rows = spark.createDataFrame([(t,) for t in said], "t string")
+    for width, lines in ((10, 1), (10, 2), (12, 3)):
+        got = [r.x for r in rows.select(text.wrapped(F.col("t"), width, lines).alias("x")).collect()]
+        whole = [" ".join(t.split()) for t in said]
+        assert got == [w if len(w) <= width else greedy_lines(w, width, lines) for w in whole]
+
+
+def test_conversations_of_one_partition_are_numbered_apart_and_lone_short_blocks_stay(spark):
+    rows = [(c, i, 100 * i, 100 * i + 90, w) for c, said in ((1, "ab"), (2, "cd"), (3, "e")) for i, w in enumerate(said)]
+    words = spark.createDataFrame(rows, "conv_id long, i long, start_ms long, end_ms long, word string").coalesce(1)
+    for name in ("default", "readable"):
+        got = segmentation.blocks(words, segmentation.PROFILES[name]).orderBy("conv_id").collect()
+        assert [(r.conv_id, r.block, r.first_i, r.last_i, r.text) for r in got] == [(1, 1, 0, 1, "a b"), (2, 1, 0, 1, "c d"), (3, 1, 0, 0, "e")]
+    assert segmentation.blocks(words.limit(0)).count() == 0

@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from cueframe.llm import chat, decontamination, html_extract, langid, line_dedup, matroska, minhash, packing, suffix_dedup, toxicity
+from cueframe.llm import bpe, chat, decontamination, html_extract, langid, line_dedup, matroska, minhash, packing, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_packing": packing.op10_packing,
+    "op12_bpe": bpe.op12_bpe,
 }
 
 ORACLE_SQL = {

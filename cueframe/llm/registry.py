@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from cueframe.llm import bpe, chat, decontamination, html_extract, langid, line_dedup, matroska, minhash, packing, prefix_trie, suffix_dedup, toxicity
+from cueframe.llm import bpe, chat, decontamination, hard_negatives, html_extract, langid, line_dedup, matroska, minhash, packing, prefix_trie, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_bpe": bpe.op12_bpe,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLE_SQL = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op8_chat_format": chat.OP8_SQL,
     "op11_prefix_trie": prefix_trie.OP11_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }

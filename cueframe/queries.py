@@ -74,6 +74,10 @@ def _versions(spark: SparkSession, d: str) -> DataFrame:
     return artifact_versions(table(spark, d, "lineitem"))
 
 
+def _files_of(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("content"))
+
+
 # Timed text
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from cueframe.functions import text, timecode
 from cueframe.functions.text import Rule
+from cueframe.io_oracle import ORACLE_SQL as IO_SQL
+from cueframe.io_queries import QUERIES as IO_QUERIES
 from cueframe.model_oracle import ORACLE_SQL as MODEL_SQL
 from cueframe.model_queries import QUERIES as MODEL_QUERIES
 from cueframe.operators import artifacts, catalog, content, events, models, quality, segmentation, translation, units
@@ -18,7 +20,7 @@ from cueframe.plans.steps import Step, chained
 from cueframe.queries import QUERIES as BASE_QUERIES
 from cueframe.streaming import tail
 
-QUERIES, ORACLE_SQL = BASE_QUERIES | MODEL_QUERIES, BASE_SQL | MODEL_SQL
+QUERIES, ORACLE_SQL = BASE_QUERIES | MODEL_QUERIES | IO_QUERIES, BASE_SQL | MODEL_SQL | IO_SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages conversations".split()
 

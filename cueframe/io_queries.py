@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cueframe.operators import content, segmentation, sinks
+from cueframe.operators import content, review, segmentation, sinks
 from cueframe.queries import Query, _files_of, _log, _words
 from cueframe.sources.files import read_files, write_files
+from cueframe.sources.media import byte_range, read_wav, wav_bytes
 from cueframe.sources.store import shared_folder
 from cueframe.sources.tables import table
 
@@ -60,3 +65,49 @@ def cache_written(spark, d):
     stored, entries = sinks.cached(read_files(spark, path))
     hits = content.cache_hits(files.select(F.col("key").cast("string").alias("key")), stored, entries)
     return hits.join(entries, "key").select(F.col("key").cast("long").alias("key"), "hit", "content_size", "content_hash")
+
+
+# Media files
+
+RATE, FRAMES_PER_WORD = 1000, 20
+
+
+def _recorded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A recording of each conversation: FRAMES_PER_WORD frames a word, each seventh silent; some files are no WAVE, some have other samples than 16 bits."""
+    for batch in batches:
+        names, contents = [], []
+        for conv, words in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            w = np.arange(words)
+            loud = np.where(w % 7 == 0, 0, (conv * 37 + w * 101) % 199 * 150)
+            samples = np.repeat(loud, FRAMES_PER_WORD) * np.tile([1, -1], words * FRAMES_PER_WORD // 2)
+            raw = wav_bytes(samples, RATE)
+            names.append(f"{conv}.wav")
+            contents.append(raw.replace(b"WAVE", b"WAVX", 1) if conv % 10 == 3 else raw[:34] + b"\x08" + raw[35:] if conv % 10 == 4 else raw)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(contents, pa.binary())], ["name", "content"])
+
+
+def _recordings(spark, d):
+    path = shared_folder(spark, "recordings")
+    words = _words(spark, d).groupBy("conv_id").agg(F.count(F.lit(1)).alias("words"))
+    write_files(words.mapInArrow(_recorded, "name string, content binary"), path)
+    # Small shares, so that recordings of the tests' size are read by several tasks each.
+    return read_wav(spark, path, 8192)
+
+
+@query
+def waveform_by_file(spark, d):
+    return review.file_levels(_recordings(spark, d)).select(F.substring_index("path", ".", 1).cast("long").alias("conv_id"), "bar", "level")
+
+
+@query
+def recordings_read(spark, d):
+    rows = _recordings(spark, d)
+    read = F.sum(F.size("samples"))
+    return rows.groupBy(F.substring_index("path", ".", 1).cast("long").alias("conv_id")).agg(F.max("rate").alias("rate"), F.max("channels").alias("channels"), F.max("frames").alias("frames"), F.max("reason").alias("reason"), F.when(F.max("frames").isNotNull(), read).alias("samples"))
+
+
+@query
+def byte_ranges(spark, d):
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    ranges = {"head": "bytes=0-9", "middle": "bytes=100-119", "rest": "bytes=2000-", "tail": "bytes=-7"}
+    return table(spark, d, "documents").select("doc_id", *[F.hex(byte_range(raw, spec)).alias(name) for name, spec in ranges.items()])

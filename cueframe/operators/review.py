@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cueframe.functions.timecode import bar_count
+
 # Levels of a bar, and the noise floor of -45 dB.
 LEAST_LEVEL, MOST_LEVEL, FLOOR = 4, 96, 10 ** (-45 / 20)
 
@@ -66,10 +72,53 @@ def bar_levels(samples: DataFrame, bars: int) -> DataFrame:
     sums = framed.groupBy("bar").agg(F.avg(F.col("value") * F.col("value")).alias("c_square"))
     rms = sums.select("bar", F.sqrt("c_square").alias("rms"))
     # One row per bar, so the window over all of them is of a set size.
-    peak = F.max("rms").over(Window.partitionBy(F.lit(1)))
+    return rms.withColumn("c_peak", F.max("rms").over(Window.partitionBy(F.lit(1)))).select("bar", _level().alias("level"))
+
+
+def _level() -> Column:
+    """The level of a bar of ``rms`` among bars of which ``c_peak`` is the loudest."""
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("rms") - FLOOR) / F.greatest(F.col("c_peak") - FLOOR, F.lit(2.220446049250313e-16))))
     level = F.floor(LEAST_LEVEL + F.sqrt(share) * (MOST_LEVEL - LEAST_LEVEL) + 0.5).cast("long")
-    return rms.withColumn("c_peak", peak).select("bar", F.when((F.col("c_peak") <= FLOOR) | (F.col("rms") <= FLOOR), F.lit(0)).otherwise(level).alias("level"))
+    return F.when((F.col("c_peak") <= FLOOR) | (F.col("rms") <= FLOOR), F.lit(0)).otherwise(level)
+
+
+SUMS = "path string, bar long, squares long, n long"
+_SUMS = pa.schema([("path", pa.string()), ("bar", pa.int64()), ("squares", pa.int64()), ("n", pa.int64())])
+
+
+def bar_sums(squares: np.ndarray, first: int, frames: int, bars: int, channels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``bar, squares, n`` of the bars that the frames from ``first`` on, of ``frames``, have a part in: differences of prefix sums at the bars' edges, and samples counted."""
+    past = first + len(squares)
+    total = np.concatenate([[0], np.cumsum(squares)])
+    low = max(0, first * bars // frames - 1)
+    bar = np.arange(low, min(bars, past * bars // frames + 1))
+    begin = bar * frames // bars
+    end = np.maximum(begin + 1, (bar + 1) * frames // bars)
+    a, b = np.clip(begin, first, past) - first, np.clip(end, first, past) - first
+    held = b > a
+    return bar[held], (total[b] - total[a])[held], ((b - a) * channels)[held]
+
+
+def _row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        meta = zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True)
+        for (path, channels, frames, first, bars), samples in zip(meta, batch.column(5), strict=True):
+            values = np.asarray(samples.values).astype(np.int64)
+            bar, squares, n = bar_sums((values * values).reshape(-1, channels).sum(1), first, frames, bars, channels)
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(bar), pa.string()), pa.array(bar), pa.array(squares), pa.array(n)], schema=_SUMS)
+
+
+def file_levels(samples: DataFrame, bars: int | None = None) -> DataFrame:
+    """``path, bar, level`` of rows of samples (as ``media.read_wav`` gives them), each file by its own loudest bar; without ``bars`` as many as its duration calls for.
+
+    Rows of samples are summed where they are read, in whole numbers, and one small row for each bar that a row has a part in is shuffled; no sample becomes a row.  Files that
+    could not be read have no bars.
+    """
+    count = F.lit(bars).cast("long") if bars else bar_count(F.col("frames") * 1000 / F.nullif(F.col("rate"), F.lit(0)))
+    rows = samples.where(F.col("reason").isNull()).select("path", "channels", "frames", "first_frame", count.alias("bars"), "samples")
+    sums = rows.mapInArrow(_row_sums, SUMS).groupBy("path", "bar").agg(F.sum("squares").alias("squares"), F.sum("n").alias("n"))
+    rms = sums.select("path", "bar", (F.sqrt(F.col("squares").cast("double") / F.col("n")) / 32768).alias("rms"))
+    return rms.withColumn("c_peak", F.max("rms").over(Window.partitionBy("path"))).select("path", "bar", _level().alias("level"))
 
 
 def pooled(bars: DataFrame, width: int) -> DataFrame:

@@ -1,52 +1,157 @@
-"""Media files: PCM WAV samples from ``binaryFile`` rows, and byte ranges."""
+"""WAV files as the Data Source ``cueframe_wav``, and byte ranges.
+
+Reading: a partition is a share of the frames of one file, or several small files; a task reads the chunk headers and its own bytes, so files of any size are read and no task holds one whole.
+A row holds up to FRAMES_PER_ROW frames: ``path, rate, channels, frames, first_frame, samples, reason``.  A file that is not 16-bit PCM, or is cut or malformed, is one row with a ``reason``
+and no samples.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
+
+from cueframe.sources.store import listed, opened
 
-WAV_COLUMNS = "path string, rate int, channels int, first_frame long, samples array<short>"
+WAV_FORMAT = "cueframe_wav"
+WAV_COLUMNS = "path string, rate int, channels int, frames long, first_frame long, samples array<short>, reason string"
+_SCHEMA = pa.schema([("path", pa.string()), ("rate", pa.int32()), ("channels", pa.int32()), ("frames", pa.int64()), ("first_frame", pa.int64()), ("samples", pa.list_(pa.int16())), ("reason", pa.string())])
 FRAMES_PER_ROW = 65_536
+#: Bytes of a file that one task reads; option ``taskBytes``.
+TASK_BYTES = 64 << 20
+#: Chunks of a file; more are no recording.
+MOST_CHUNKS = 10_000
+
+
+@dataclass
+class Form:
+    """Where a file's frames are: ``width`` bytes each, of which the first ``2 * channels`` hold the samples."""
 
+    rate: int
+    channels: int
+    width: int
+    at: int
+    frames: int
 
-def wav_chunks(data: bytes) -> dict[bytes, bytes]:
-    """The chunks of a RIFF/WAVE file by name, the first of each."""
-    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+
+def wav_form(file: pa.NativeFile, size: int) -> Form:
+    """The form of a 16-bit PCM file, from its chunk headers; ValueError with the reason if it is none."""
+    if size < 44:
+        raise ValueError("shorter than a header")
+    head = file.read_at(12, 0)
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         raise ValueError("no WAVE file")
-    out: dict[bytes, bytes] = {}
-    at = 12
-    while at + 8 <= len(data):
-        size = int.from_bytes(data[at + 4 : at + 8], "little")
-        out.setdefault(data[at : at + 4], data[at + 8 : at + 8 + size])
-        at += 8 + size + size % 2
-    return out
-
-
-def _wav_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            chunks = wav_chunks(content)
-            form = chunks[b"fmt "]
-            kind, channels, rate, bits = int.from_bytes(form[0:2], "little"), int.from_bytes(form[2:4], "little"), int.from_bytes(form[4:8], "little"), int.from_bytes(form[14:16], "little")
-            if kind != 1 or bits != 16:
-                raise ValueError(f"{path}: only 16-bit PCM")
-            body = chunks[b"data"]
-            samples = np.frombuffer(body[: len(body) // (2 * channels) * 2 * channels], "<i2")
-            for first in range(0, len(samples), FRAMES_PER_ROW * channels):
-                part = samples[first : first + FRAMES_PER_ROW * channels]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path]), pa.array([rate], pa.int32()), pa.array([channels], pa.int32()), pa.array([first // channels], pa.int64()), pa.array([part], pa.list_(pa.int16()))],
-                    ["path", "rate", "channels", "first_frame", "samples"],
-                )
-
-
-def read_wav(spark: SparkSession, path: str) -> DataFrame:
-    """16-bit PCM files as rows of samples, FRAMES_PER_ROW frames a row."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_wav_batches, WAV_COLUMNS)
+    number = lambda raw: int.from_bytes(raw, "little")
+    at, form, data, chunks = 12, None, None, 0
+    while at + 8 <= size:
+        chunk = file.read_at(8, at)
+        length, start = number(chunk[4:]), at + 8
+        if start + length > size:
+            raise ValueError("a chunk goes beyond the end")
+        if chunk[:4] == b"fmt ":
+            if length < 16:
+                raise ValueError("short format")
+            form = file.read_at(16, start)
+        elif chunk[:4] == b"data":
+            data = start, length
+        at, chunks = start + length + length % 2, chunks + 1
+        if chunks > MOST_CHUNKS:
+            raise ValueError("too many chunks")
+    if form is None or data is None or not data[1]:
+        raise ValueError("no format or no samples")
+    kind, channels, rate, width, bits = number(form[:2]), number(form[2:4]), number(form[4:8]), number(form[12:14]), number(form[14:16])
+    if kind != 1 or bits != 16 or not channels:
+        raise ValueError("not 16-bit PCM")
+    if width < 2 * channels:
+        raise ValueError("frames overlap")
+    if data[1] < width:
+        raise ValueError("no format or no samples")
+    return Form(min(rate, 2**31 - 1), channels, width, data[0], data[1] // width)
+
+
+def frames_of(file: pa.NativeFile, form: Form, first: int, past: int) -> np.ndarray:
+    """The samples of frames ``first`` to ``past``, channels side by side."""
+    raw = np.frombuffer(file.read_at((past - first) * form.width, form.at + first * form.width), np.uint8)
+    return np.ascontiguousarray(raw.reshape(-1, form.width)[:, : 2 * form.channels]).view("<i2").ravel()
+
+
+def wav_bytes(samples: np.ndarray, rate: int, channels: int = 1) -> bytes:
+    """A 16-bit PCM file of interleaved samples."""
+    body = np.asarray(samples, "<i2").tobytes()
+    number = lambda x, n: int(x).to_bytes(n, "little")
+    form = number(1, 2) + number(channels, 2) + number(rate, 4) + number(2 * channels * rate, 4) + number(2 * channels, 2) + number(16, 2)
+    return b"RIFF" + number(36 + len(body), 4) + b"WAVEfmt " + number(16, 4) + form + b"data" + number(len(body), 4) + body
+
+
+@dataclass
+class Shares(InputPartition):
+    """Of each file (name, place, size) the ``part``-th of ``parts`` equal shares of its frames."""
+
+    files: list[tuple[str, str, int, int, int]]
+
+
+class WavReader(DataSourceReader):
+    def __init__(self, path: str, task_bytes: int) -> None:
+        self.path, self.task_bytes = path, task_bytes
+
+    def partitions(self) -> list[Shares]:
+        root, out, held = opened(self.path)[1], [], self.task_bytes
+        for f in listed(self.path):
+            parts = max(1, -(-f.size // self.task_bytes))
+            for k in range(parts):
+                if held >= self.task_bytes:
+                    out.append(Shares([]))
+                    held = 0
+                out[-1].files.append((f.path[len(root) :].strip("/"), f.path, f.size, k, parts))
+                held += max(f.size // parts, self.task_bytes // 2000)
+        return out or [Shares([])]
+
+    def read(self, partition: Shares) -> Iterator[pa.RecordBatch]:
+        files, _ = opened(self.path)
+        for name, path, size, part, parts in partition.files:
+            yield from _share(files, name, path, size, part, parts)
+
+
+def _share(files: fs.FileSystem, name: str, path: str, size: int, part: int, parts: int) -> Iterator[pa.RecordBatch]:
+    with files.open_input_file(path) as file:
+        try:
+            form = wav_form(file, size)
+        except ValueError as wrong:
+            if not part:
+                yield _row(name, None, None, None, None, None, str(wrong))
+            return
+        first, past = form.frames * part // parts, form.frames * (part + 1) // parts
+        for a in range(first, past, FRAMES_PER_ROW):
+            yield _row(name, form.rate, form.channels, form.frames, a, frames_of(file, form, a, min(past, a + FRAMES_PER_ROW)), None)
+
+
+def _row(*values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _SCHEMA, strict=True)], schema=_SCHEMA)
+
+
+class WavSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return WAV_FORMAT
+
+    def schema(self) -> str:
+        return WAV_COLUMNS
+
+    def reader(self, schema: StructType) -> WavReader:
+        return WavReader(self.options["path"], int(self.options.get("taskBytes", TASK_BYTES)))
+
+
+def read_wav(spark: SparkSession, path: str, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The 16-bit PCM files below ``path`` as rows of samples."""
+    spark.dataSource.register(WavSource)
+    return spark.read.format(WAV_FORMAT).option("taskBytes", task_bytes).load(path)
 
 
 def byte_range(content: Column, header: str) -> Column:

@@ -6,7 +6,7 @@ from cueframe.oracle import _FLOOR, LOG, TURNS
 from cueframe.oracle import ORACLE_SQL as BASE
 
 #: Recordings: F frames of a conversation, a frame's square, and its level among the bars.
-RECORDED = f"""{TURNS}, rec AS (SELECT conv_id, sum(n) AS words, CAST(sum(n) * 20 AS BIGINT) AS frames FROM segments GROUP BY conv_id),
+RECORDED = f"""{TURNS}, rec AS (SELECT conv_id, sum(len(words)) AS words, CAST(sum(len(words)) * 20 AS BIGINT) AS frames FROM segments GROUP BY conv_id),
 good AS (SELECT *, least(24000, greatest(240, CAST(ceil(frames / 20.0) AS BIGINT))) AS count FROM rec WHERE conv_id % 10 NOT IN (3, 4)),
 edges AS (SELECT conv_id, bar, bar * frames // count AS lo, greatest(bar * frames // count + 1, (bar + 1) * frames // count) AS hi FROM (SELECT *, unnest(range(count)) AS bar FROM good) q),
 heard AS (SELECT conv_id, bar, unnest(range(lo, hi)) // 20 AS w FROM edges),
@@ -28,4 +28,7 @@ SELECT version_id, CASE WHEN k < 3 THEN 'versions/' || version_id || ['.txt', '.
   CASE conv_id % 10 WHEN 3 THEN 'no WAVE file' WHEN 4 THEN 'not 16-bit PCM' END AS reason FROM (SELECT *, conv_id % 10 NOT IN (3, 4) AS ok FROM rec) q""",
     "byte_ranges": """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents)
 SELECT doc_id, CASE WHEN n > 0 THEN substr(h, 1, 20) END AS head, CASE WHEN n > 100 THEN substr(h, 201, 40) END AS middle, CASE WHEN n > 2000 THEN substr(h, 4001) END AS rest, CASE WHEN n > 0 THEN right(h, 14) END AS tail FROM h""",
+    "events_tailed": BASE["events_sse"],
+    "monitor_streamed": BASE["monitor_step_status"],
+    "progress_streamed": BASE["progress_throttled"],
 }

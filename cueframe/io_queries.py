@@ -8,12 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cueframe.operators import content, review, segmentation, sinks
-from cueframe.queries import Query, _files_of, _log, _words
+from cueframe.operators import content, events, review, segmentation, sinks
+from cueframe.queries import Query, _files_of, _log, _words, _workflows
 from cueframe.sources.files import read_files, write_files
 from cueframe.sources.media import byte_range, read_wav, wav_bytes
 from cueframe.sources.store import shared_folder
 from cueframe.sources.tables import table
+from cueframe.streaming import event_log, monitor
 
 QUERIES: dict[str, Query] = {}
 
@@ -111,3 +112,46 @@ def byte_ranges(spark, d):
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     ranges = {"head": "bytes=0-9", "middle": "bytes=100-119", "rest": "bytes=2000-", "tail": "bytes=-7"}
     return table(spark, d, "documents").select("doc_id", *[F.hex(byte_range(raw, spec)).alias(name) for name, spec in ranges.items()])
+
+
+# Live logs: written in two appends; the stream is stopped after the first and goes on from its offsets
+
+
+def _tailed(spark, d, name, start):
+    path, log = shared_folder(spark, name), _log(spark, d)
+    for part in (log.where("sequence <= 40"), log.where("sequence > 40")):
+        event_log.append_log(part, f"{path}/log", 25)
+        start(event_log.tail(spark, f"{path}/log"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return f"{path}/out"
+
+
+@query
+def events_tailed(spark, d):
+    out = _tailed(spark, d, "tail", event_log.write_sse)
+    event = F.explode(F.filter(F.split(F.col("content").cast("string"), "\n\n"), lambda e: e != ""))
+    rows = read_files(spark, out).select(F.regexp_extract("name", r"(\d+)\.sse$", 1).cast("long").alias("workflow_id"), event.alias("text"))
+    return rows.select("workflow_id", F.regexp_extract("text", r"^id: (\d+)", 1).cast("long").alias("sequence"), F.concat("text", F.lit("\n\n")).alias("text"))
+
+
+def _monitored(spark, d, name):
+    def start(stream, out, checkpoint):
+        rows = monitor.monitored(stream, completed="purchase", failed="error", started="view", progress="click", delta=10.0)
+        return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    before = spark.conf.get(monitor.STATE_STORE)
+    spark.conf.set(monitor.STATE_STORE, monitor.ROCKS_DB)
+    try:
+        out = _tailed(spark, d, name, start)
+    finally:
+        spark.conf.set(monitor.STATE_STORE, before)
+    return monitor.final(spark.read.schema(monitor.OUTPUT).parquet(out))
+
+
+@query
+def monitor_streamed(spark, d):
+    return events.statuses(_monitored(spark, d, "monitor")[0], _workflows(spark, d), 6)
+
+
+@query
+def progress_streamed(spark, d):
+    return _monitored(spark, d, "progress")[2]

@@ -33,19 +33,23 @@ def latest_sequence(log: DataFrame, workflows: DataFrame | None = None) -> DataF
     return workflows.select("workflow_id").distinct().join(out, "workflow_id", "left").select("workflow_id", F.coalesce("latest", F.lit(0)).alias("latest"))
 
 
-def step_status(log: DataFrame, runs: DataFrame, steps: int, completed: str, failed: str, started: str) -> DataFrame:
-    """``workflow_id, step, status`` of steps 0 to ``steps`` - 1.
-
-    A completed run's steps are done; else the step that failed last has failed, completed ones are done, the one that started last runs while the run does, and a
-    queued run's first step runs; the others are blocked.
-    """
+def seen(log: DataFrame, completed: str, failed: str, started: str) -> DataFrame:
+    """``workflow_id, done, failed, started``: the steps that were completed, and the one that failed, and started, last."""
     last = lambda kind: F.max_by("step", F.when(F.col("type") == kind, F.col("sequence")))
-    seen = log.groupBy("workflow_id").agg(
+    return log.groupBy("workflow_id").agg(
         F.collect_set(F.when(F.col("type") == completed, F.col("step"))).alias("done"),
         F.when(F.count_if(F.col("type") == failed) > 0, last(failed)).alias("failed"),
         F.when(F.count_if(F.col("type") == started) > 0, last(started)).alias("started"),
     )
-    rows = runs.select("workflow_id", "run_status").join(seen, "workflow_id", "left").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+
+
+def statuses(found: DataFrame, runs: DataFrame, steps: int) -> DataFrame:
+    """``workflow_id, step, status`` of steps 0 to ``steps`` - 1, from ``seen``.
+
+    A completed run's steps are done; else the step that failed last has failed, completed ones are done, the one that started last runs while the run does, and a
+    queued run's first step runs; the others are blocked.
+    """
+    rows = runs.select("workflow_id", "run_status").join(found, "workflow_id", "left").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
     is_ = lambda c: F.coalesce(c, F.lit(False))
     status = (
         F.when(F.col("run_status") == "completed", "done").when(is_(F.col("failed") == F.col("step")), "failed").when(is_(F.array_contains("done", F.col("step"))), "done")
@@ -54,6 +58,11 @@ def step_status(log: DataFrame, runs: DataFrame, steps: int, completed: str, fai
     return rows.select("workflow_id", F.col("step").cast("int").alias("step"), status.alias("status"))
 
 
+def step_status(log: DataFrame, runs: DataFrame, steps: int, completed: str, failed: str, started: str) -> DataFrame:
+    """``statuses`` of what a log has ``seen``."""
+    return statuses(seen(log, completed, failed, started), runs, steps)
+
+
 def status_counts(status: DataFrame) -> DataFrame:
     """``workflow_id, done, failed, running, percent``: halves go up."""
     count = lambda s: F.count_if(F.col("status") == s)

@@ -14,6 +14,9 @@ loud AS (SELECT conv_id, bar, CASE WHEN w % 7 = 0 THEN 0 ELSE (conv_id * 37 + w
 rms AS (SELECT conv_id, bar, sqrt(CAST(sum(s * s) AS DOUBLE) / count(*)) / 32768 AS rms FROM loud GROUP BY conv_id, bar),
 peaked AS (SELECT *, max(rms) OVER (PARTITION BY conv_id) AS peak FROM rms)"""
 
+#: Segments in chunks of three, of which the first and third of each come back with a tag.
+CHUNKED = "said AS (SELECT conv_id AS key, turn AS idx, coalesce(text, '') AS source_text, CASE WHEN (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) % 3 % 2 = 0 THEN '[zh] ' ELSE '' END || coalesce(text, '') AS text FROM conversations)"
+
 ORACLE_SQL: dict[str, str] = {
     "srt_written": f"SELECT conv_id, srt, strlen(srt) AS size FROM ({BASE['srt_export']}) q",
     "versions_exported": """WITH v AS (SELECT c_custkey AS version_id, c_custkey % 4 AS k, CASE WHEN c_custkey % 4 = 1
@@ -31,4 +34,6 @@ SELECT doc_id, CASE WHEN n > 0 THEN substr(h, 1, 20) END AS head, CASE WHEN n >
     "events_tailed": BASE["events_sse"],
     "monitor_streamed": BASE["monitor_step_status"],
     "progress_streamed": BASE["progress_throttled"],
+    "translation_resumed": f"WITH {CHUNKED} SELECT key, idx, source_text, text FROM said",
+    "correction_resumed": f"WITH {CHUNKED} SELECT key, idx, text, CASE WHEN text = source_text THEN 'unchanged' ELSE 'corrected' END AS status, CAST(NULL AS VARCHAR) AS reason FROM said",
 }

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cueframe.operators import content, events, review, segmentation, sinks
-from cueframe.queries import Query, _files_of, _log, _words, _workflows
+from cueframe.operators import content, events, model_map, review, segmentation, sinks
+from cueframe.queries import Query, _files_of, _keyed, _log, _words, _workflows
 from cueframe.sources.files import read_files, write_files
 from cueframe.sources.media import byte_range, read_wav, wav_bytes
 from cueframe.sources.store import shared_folder
@@ -155,3 +156,33 @@ def monitor_streamed(spark, d):
 @query
 def progress_streamed(spark, d):
     return _monitored(spark, d, "progress")[2]
+
+
+# Maps through a model: the first client fails in some chunks, so the second run finds the rest in the checkpoint
+
+
+class _Failing(model_map.Answering):
+    """Fails for chunks in which a text has a word of three letters that begins with "o"."""
+
+    def __call__(self, asked):
+        if any(w[:1] == "o" and len(w) == 3 for s in json.loads(asked)["segments"] for w in s["text"].split()):
+            raise RuntimeError("no answer")
+        return super().__call__(asked)
+
+
+def _resumed(spark, d, request, name):
+    path, rows = shared_folder(spark, name), _keyed(spark, d)
+    try:
+        return model_map.mapped(rows, request, _Failing("zh"), path, 3, rounds=0)
+    except ValueError:
+        return model_map.mapped(rows, request, model_map.Answering("zh"), path, 3)
+
+
+@query
+def translation_resumed(spark, d):
+    return _resumed(spark, d, model_map.Translation("en", "zh"), "translation").select("key", "idx", "source_text", "text")
+
+
+@query
+def correction_resumed(spark, d):
+    return _resumed(spark, d, model_map.Correction("en", threshold=0.5), "correction").select("key", "idx", "text", "status", "reason")

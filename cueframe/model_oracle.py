@@ -84,7 +84,7 @@ SELECT provider, place, id, label, context FROM m QUALIFY row_number() OVER (PAR
     "terminal_runs": f"WITH {RUNS} SELECT run_id, status FROM runs WHERE status IN ('aborted', 'completed', 'failed')",
     "runs_recovered": f"WITH {RUNS} SELECT run_id, CASE status WHEN 'running' THEN 'failed' ELSE status END AS status FROM runs",
     "run_sync": f"""WITH {RUNS}, {LOG}, l AS (SELECT workflow_id, max(sequence) AS latest FROM log GROUP BY 1)
-SELECT r.run_id, r.workflow_id, ['completed', 'running', 'queued', 'failed'][1 + r.workflow_id % 4] AS status, CASE WHEN r.workflow_id % 4 IN (0, 3) THEN {NOW} END AS completed_at, latest AS latest_event_sequence FROM runs r JOIN l ON l.workflow_id = r.workflow_id""",
+SELECT r.run_id, r.workflow_id, CASE WHEN latest IS NULL THEN 'pending' ELSE ['completed', 'running', 'queued', 'failed'][1 + r.workflow_id % 4] END AS status, CASE WHEN latest IS NOT NULL AND r.workflow_id % 4 IN (0, 3) THEN {NOW} END AS completed_at, coalesce(latest, 0) AS latest_event_sequence FROM runs r LEFT JOIN l ON l.workflow_id = r.workflow_id""",
     "run_failures": f"""WITH {RUNS}, {LOG}, l AS (SELECT workflow_id, max(sequence) AS latest FROM log GROUP BY 1)
 SELECT run_id, 'failed' AS status, {NOW} AS completed_at, coalesce(latest, 0) AS latest_event_sequence, 'lost' AS error_code, 'run ' || run_id AS error_message FROM runs r LEFT JOIN l ON l.workflow_id = r.workflow_id WHERE status = 'running'""",
     "task_records": f"""WITH {RUNS}, {TASKS} SELECT r.run_id, CASE WHEN r.run_id % 3 = 0 THEN 't' ELSE 'task_' END || r.run_id AS task_id, 'u' || r.workflow_id AS source_uri, CASE WHEN r.run_id % 5 > 0 THEN r.status ELSE 'queued' END AS status,

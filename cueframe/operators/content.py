@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from cueframe.functions import variants
+
 # Types that may be imported as files, and the form of a step's output reference.
 FILE_TYPES = ("audio", "image", "video")
 SELECTOR = r"^([a-z0-9_-]+)\.([a-z0-9_-]+)$"
@@ -100,25 +102,41 @@ def plugin_inputs(found: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def parsed_replies(rows: DataFrame) -> DataFrame:
-    """Corrections ``key, reply, expected`` -> ``key, items, problem``: an indexed JSON array with texts, known states and reasons, or what is wrong with it."""
-    kind = "array<struct<index:int,text:string,status:string,uncertain_reason:string>>"
-    items = F.from_json("reply", kind)
-    indexes = F.transform(items, lambda x: x["index"])
+    """Corrections ``key, reply, expected`` -> ``key, items, problem``: an indexed JSON array with texts, known states and reasons, or what is wrong with it.
+
+    Types count: a number is no text, and a reply with something after its array is no array.  Of several problems the first of: not an array, count, index, text, status, reason.
+    """
+    found = variants.items(variants.parsed(F.col("reply")))
+    any_ = lambda test: F.exists(found, lambda x: F.coalesce(test(x), F.lit(True)))
+    odd_status = lambda x: F.coalesce(variants.other_at(x, "$.status", "STRING") | ~variants.text_at(x, "$.status").isin("unchanged", "corrected", "uncertain"), variants.other_at(x, "$.status", "STRING"))
+    indexes = F.transform(found, lambda x: F.when(variants.is_object(x), variants.whole_at(x, "$.index")))
+    wanted = F.when(F.col("expected") > 0, F.sequence(F.lit(0).cast("long"), F.col("expected").cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
     problem = (
-        F.when(items.isNull() | ~F.ltrim("reply").startswith("["), "not an array").when(F.size(items) != F.col("expected"), "count")
-        .when(indexes != F.sequence(F.lit(0), F.col("expected") - 1), "index").when(F.exists(items, lambda x: x["text"].isNull()), "text")
-        .when(F.exists(items, lambda x: F.coalesce(~x["status"].isin("unchanged", "corrected", "uncertain"), F.lit(False))), "status")
+        F.when(found.isNull(), "not an array").when(F.size(found) != F.col("expected"), "count").when(~indexes.eqNullSafe(wanted), "index")
+        .when(any_(lambda x: variants.text_at(x, "$.text").isNull()), "text").when(any_(odd_status), "status").when(any_(lambda x: variants.other_at(x, "$.uncertain_reason", "STRING")), "reason")
     )
-    return rows.select("key", F.when(problem.isNull(), items).alias("items"), problem.alias("problem"))
+    item = lambda x: F.struct(variants.whole_at(x, "$.index").cast("int").alias("index"), *[variants.text_at(x, f"$.{f}").alias(f) for f in ("text", "status", "uncertain_reason")])
+    return rows.select("key", F.when(problem.isNull(), F.transform(found, item)).alias("items"), problem.alias("problem"))
 
 
 def provider_models(rows: DataFrame) -> DataFrame:
-    """Model lists ``provider, payload`` -> ``provider, place, id, label, context``: the first of each id, in order; the context length may stand nested."""
-    kind = "array<struct<id:string,name:string,context_length:bigint,top_provider:struct<context_length:bigint>>>"
-    listed = F.from_json(F.get_json_object("payload", "$.data"), kind)
-    found = rows.select("provider", F.posexplode(listed).alias("place", "m")).where("m.id <> ''")
-    first = found.groupBy("provider", "m.id").agg(F.min(F.struct("place", F.struct("m.name", F.coalesce("m.context_length", "m.top_provider.context_length").alias("context")).alias("m"))).alias("x"))
-    return first.select("provider", F.col("x.place").cast("long").alias("place"), "id", F.col("x.m.name").alias("label"), F.col("x.m.context").alias("context"))
+    """Model lists ``provider, payload`` -> ``provider, place, id, label, context``: the first of each id, in order; the context length may stand nested.
+
+    Elements that are no objects, or whose id is no text or empty, are passed over.  A payload without an array ``data`` gives no row; ``provider_problems`` names it.
+    """
+    found = rows.select("provider", F.posexplode(variants.items(variants.parsed(F.col("payload")), "$.data")).alias("place", "m")).where(variants.is_object(F.col("m")))
+    m = F.col("m")
+    context = F.coalesce(variants.whole_at(m, "$.context_length"), variants.whole_at(m, "$.top_provider.context_length"))
+    found = found.select("provider", "place", variants.text_at(m, "$.id").alias("id"), variants.text_at(m, "$.name").alias("label"), context.alias("context")).where("id <> ''")
+    first = found.groupBy("provider", "id").agg(F.min(F.struct("place", "label", "context")).alias("x"))
+    return first.select("provider", F.col("x.place").cast("long").alias("place"), "id", "x.label", "x.context")
+
+
+def provider_problems(rows: DataFrame) -> DataFrame:
+    """``provider, problem`` of the payloads that are no object with an array ``data``."""
+    value = variants.parsed(F.col("payload"))
+    problem = F.when(~variants.is_object(value), "not an object").when(variants.items(value, "$.data").isNull(), "no data array")
+    return rows.select("provider", problem.alias("problem")).where("problem IS NOT NULL")
 
 
 def typed(rows: DataFrame, column: str, schema: str, required: tuple[str, ...]) -> DataFrame:

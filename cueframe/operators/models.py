@@ -22,8 +22,9 @@ def newest_first(tasks: DataFrame) -> DataFrame:
 
 
 def run_sync(runs: DataFrame, states: DataFrame, log: DataFrame, now: Column) -> DataFrame:
-    """Runs with their workflow's ``state``, its last event's sequence, and, where the state is final, the time of completion."""
-    rows = runs.join(states.select("workflow_id", F.col("status").alias("c_state")), "workflow_id").join(latest_sequence(log), "workflow_id", "left")
+    """Runs with their workflow's ``state`` (pending where none is stored), its last event's sequence, and, where the state is final, the time of completion."""
+    stored = states.select("workflow_id", F.col("status").alias("c_stored"))
+    rows = runs.join(stored, "workflow_id", "left").withColumn("c_state", F.coalesce("c_stored", F.lit("pending"))).join(latest_sequence(log), "workflow_id", "left")
     return rows.select("run_id", "workflow_id", F.col("c_state").alias("status"), F.when(F.col("c_state").isin(*TERMINAL), now).alias("completed_at"), F.coalesce("latest", F.lit(0)).alias("latest_event_sequence"))
 
 
@@ -95,7 +96,8 @@ def remote_title(tasks: DataFrame, videos: DataFrame) -> DataFrame:
 def bound_tools(tools: DataFrame, outputs: DataFrame) -> DataFrame:
     """Tools' inputs ``tool, input, kinds, required`` bound to the last step output (``step_place, place, step_id, name, kind``) of a fitting kind: of several
     outputs of a step the first.  A tool with a required input that nothing fits has no binding at all."""
-    fits = tools.join(outputs, F.array_contains("kinds", F.col("kind")), "left")
+    kinds = tools.withColumn("kind", F.explode_outer(F.array_distinct("kinds")))
+    fits = kinds.join(outputs, "kind", "left")
     last = fits.groupBy("tool", "input", "required").agg(F.max_by(F.concat("step_id", F.lit("."), "name"), F.when(F.col("step_place").isNotNull(), F.struct("step_place", -F.col("place")))).alias("binding"))
     broken = last.where("required AND binding IS NULL").select("tool").distinct()
     return last.where("binding IS NOT NULL").join(broken, "tool", "left_anti").select("tool", "input", "binding")
@@ -123,7 +125,7 @@ def tool_catalog(tools: DataFrame) -> DataFrame:
 
 def reordered(steps: DataFrame, order: DataFrame) -> DataFrame:
     """Steps ``workflow_id, step_id, place``: those listed in ``order`` (``step_id, wanted``) first, the rest as they were; ``at`` from 0."""
-    rows = steps.join(F.broadcast(order), "step_id", "left")
+    rows = steps.join(order, "step_id", "left")
     by = Window.partitionBy("workflow_id").orderBy(F.col("wanted").asc_nulls_last(), "place")
     return rows.select("workflow_id", "step_id", (F.row_number().over(by) - 1).cast("long").alias("at"))
 
@@ -136,7 +138,7 @@ def default_first(models: DataFrame, default: Column) -> DataFrame:
 
 def extra_steps(steps: DataFrame, base: DataFrame) -> DataFrame:
     """Steps that are enabled and not among the kind's base steps (``kind, step_id``)."""
-    return steps.where("enabled").join(F.broadcast(base), ["kind", "step_id"], "left_anti")
+    return steps.where("enabled").join(base, ["kind", "step_id"], "left_anti")
 
 
 def normalized_progress(steps: DataFrame) -> DataFrame:

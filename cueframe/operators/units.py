@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cueframe.functions import variants
 from cueframe.functions.text import tokens
 
-SEGMENT = (
-    "struct<start:double,end:double,text:string,source_text:string,confidence:double,"
-    "words:array<struct<text:string,start:double,end:double,confidence:double>>>"
-)
-
-
 def raw_segments(content: Column) -> Column:
-    """The objects of a JSON array, or of an object's ``segments``; empty for anything else."""
-    listed = F.coalesce(F.get_json_object(content, "$.segments"), F.when(F.ltrim(content).startswith("["), content))
-    return F.coalesce(F.filter(F.from_json(listed, f"array<{SEGMENT}>"), lambda s: s.isNotNull()), F.from_json(F.lit("[]"), f"array<{SEGMENT}>"))
+    """The objects of a JSON array, or of an object's ``segments``; empty for anything else.  Elements that are no objects, and fields of other types, are lost alone."""
+    value = variants.parsed(content)
+    listed = F.filter(F.coalesce(variants.items(value, "$.segments"), variants.items(value)), variants.is_object)
+    number, text = variants.number_at, variants.text_at
+    word = lambda w: F.struct(text(w, "$.text").alias("text"), number(w, "$.start").alias("start"), number(w, "$.end").alias("end"), number(w, "$.confidence").alias("confidence"))
+    segment = lambda s: F.struct(
+        number(s, "$.start").alias("start"), number(s, "$.end").alias("end"), text(s, "$.text").alias("text"), text(s, "$.source_text").alias("source_text"), number(s, "$.confidence").alias("confidence"),
+        F.transform(variants.objects(s, "$.words"), word).alias("words"),
+    )
+    return F.transform(F.coalesce(listed, F.filter(F.array(value), lambda v: F.lit(False))), segment)
 
 
 def decoded(rows: DataFrame) -> DataFrame:

@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import contextlib
 import json
+import threading
 import uuid
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import batched
 from typing import Any, Protocol, TypeVar
 
 import pyarrow as pa
@@ -34,6 +36,8 @@ A, B = TypeVar("A"), TypeVar("B")
 
 STATUSES = ("unchanged", "corrected", "uncertain")
 DONE = "key long, fingerprint string, total long, idx long, text string, status string, reason string"
+#: Results of chunks that a task tells of at once.
+RESULTS = 1000
 _COLUMNS = [c.split()[0] for c in DONE.split(", ")]
 
 
@@ -177,36 +181,51 @@ def completed(segments: DataFrame, path: str, known: DataFrame) -> DataFrame:
     return rows.groupBy("key", "idx").agg(F.min(F.struct(*[c for c in _COLUMNS if c not in ("key", "idx")])).alias("x")).select("key", "x.fingerprint", "x.total", "idx", "x.text", "x.status", "x.reason")
 
 
+class _Log:
+    """The results of one task attempt, a line for each row.  A chunk's lines are written and flushed together as soon as it is done; a line that is cut is passed over by readers."""
+
+    def __init__(self, place: str) -> None:
+        self.place, self.stream, self.lock = place, None, threading.Lock()
+
+    def write(self, lines: list[str]) -> None:
+        with self.lock, contextlib.suppress(OSError):  # what is not written is asked for again
+            if self.stream is None:
+                files, root = opened(self.place)
+                files.create_dir(root, recursive=True)
+                self.stream = files.open_output_stream(f"{root}/{uuid.uuid4().hex}.jsonl", buffer_size=0)
+            self.stream.write(("\n".join(lines) + "\n").encode())
+            self.stream.flush()
+
+    def close(self) -> None:
+        with contextlib.suppress(OSError):
+            if self.stream is not None:
+                self.stream.close()
+
+
 def _chunk_writer(client: Client, request: Request, path: str, window: int):
     """Chunks ``key, fingerprint, total, rows`` -> each one's error or null, once its results are written."""
 
-    def one(chunk: tuple) -> tuple[int, str | None]:
-        key, fingerprint, total, rows = chunk
-        try:
-            got = asked(client, request, rows)
-        except Exception as wrong:  # a chunk that fails leaves the others alone
-            return key, f"{type(wrong).__name__}: {wrong}"
-        lines = [json.dumps(dict(zip(_COLUMNS, (key, fingerprint, total, r["idx"], *x), strict=True)), ensure_ascii=False) for r, x in zip(rows, got, strict=True)]
-        with contextlib.suppress(OSError):  # its rows are asked for again
-            _put(f"{path}/chunks", fingerprint, "\n".join(lines).encode())
-        return key, None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        todo = (x for batch in batches for x in zip(*[c.to_pylist() for c in batch.columns], strict=True))
-        for key, error in in_order(todo, one, window):
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([error], pa.string())], ["key", "error"])
+        log = _Log(f"{path}/chunks")
 
-    return run
+        def one(chunk: tuple) -> tuple[int, str | None]:
+            key, fingerprint, total, rows = chunk
+            try:
+                got = asked(client, request, rows)
+            except Exception as wrong:  # a chunk that fails leaves the others alone
+                return key, f"{type(wrong).__name__}: {wrong}"
+            log.write([json.dumps(dict(zip(_COLUMNS, (key, fingerprint, total, r["idx"], *x), strict=True)), ensure_ascii=False) for r, x in zip(rows, got, strict=True)])
+            return key, None
 
+        todo = (x for batch in batches for x in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        try:
+            for results in batched(in_order(todo, one, window), RESULTS):
+                keys, errors = zip(*results, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(errors, pa.string())], ["key", "error"])
+        finally:
+            log.close()
 
-def _put(place: str, fingerprint: str, content: bytes) -> None:
-    """A file that is there whole or not at all."""
-    files, root = opened(place)
-    name = uuid.uuid4().hex
-    files.create_dir(f"{root}/{fingerprint[:2]}", recursive=True)
-    with files.open_output_stream(f"{root}/{fingerprint[:2]}/_{name}") as stream:
-        stream.write(content)
-    files.move(f"{root}/{fingerprint[:2]}/_{name}", f"{root}/{fingerprint[:2]}/{name}.json")
+    return run
 
 
 def mapped(segments: DataFrame, request: Request, client: Client, path: str, size: int = 20, window: int = 4, tasks: int | None = None, rounds: int = 2) -> DataFrame:

@@ -43,6 +43,7 @@ def tables(spark, tmp_path_factory):
         "pages": spark.createDataFrame([(1, "http://a.org/x", "<p>a<nav>m</nav><p>b &amp; c"), (2, None, None), (3, "", ""), (1, "http://a.org/x", "<p>a<nav>m</nav><p>b &amp; c"), (None, "http://a.org", "<b>d")], "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS low", "3 AS key"),
         "benchmark": spark.createDataFrame([(1, item), (2, None), (3, ""), (4, item)], "item_id long, text string").selectExpr("*", "1 AS doc_id"),
         "conversations": spark.createDataFrame([(1, 1, "assistant", "b\\<[\n"), (1, 0, "user", None), (2, 0, None, ""), (2, 0, None, ""), (3, 1, "system", "x")], "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS key", "2 AS head"),
+        "embeddings": spark.createDataFrame([(None, [1.0, 0.5], 1), (1, None, 1), (2, [1.0, None], 1), (3, [float("nan"), 1.0], 1), (4, [1.0, 0.5], None)] + [(k, [0.1 * (k % 9), 0.7 - 0.1 * (k % 5)], k % 2) for k in range(50, 120)], "vec_id long, embedding array<float>, label int").selectExpr("*", "1 AS key", "2 AS block", "3 AS rank"),
     }
     for name, frame in frames.items():
         frame.coalesce(2).write.parquet(f"{place}/{name}.parquet")
@@ -78,7 +79,7 @@ def components(rows, k):
 
 def test_queries_with_sql(found, tables):
     con = duckdb.connect()
-    for name in ("documents", "conversations"):
+    for name in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tables}/{name}.parquet/*.parquet'")
     for name, sql in registry.ORACLE_SQL.items():
         # Two rows have no id; the SQL's groups would be one.

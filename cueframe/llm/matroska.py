@@ -273,7 +273,9 @@ PACKET_COLUMNS = "track long, cluster int, timestamp_ns long, key boolean, byte_
 
 
 def packet_table(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
-    """``id`` and one row for each packet of the file in ``content_col``, in file order."""
+    """``id`` and one row for each packet of the file in ``content_col``, in file order; a null or unreadable file gives no rows."""
+
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,12 +283,13 @@ def packet_table(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
                 content = batch.column(1)[row].as_py()
                 try:
                     media = demux(content or b"")
-                except (Malformed, IndexError, OverflowError):
+                    cued = {(track, at) for _, track, at in media.cues}
+                    rows = [(t, c, ns, key, at, n, (t, media.clusters[c] if media.clusters else -1) in cued, stripped(media, t) or None) for t, c, ns, key, at, n in media.packets]
+                    cols = [pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else []
+                except (Malformed, IndexError, OverflowError, ValueError):
+                    # Numbers that are no times (NaN, infinite) or fit no column (too long) are malformed too.
                     continue
-                cued = {(track, at) for _, track, at in media.cues}
-                rows = [(t, c, ns, key, at, n, (t, media.clusters[c] if media.clusters else -1) in cued, stripped(media, t) or None) for t, c, ns, key, at, n in media.packets]
                 if rows:
-                    cols = [pa.array(list(x), kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)]
                     ids = batch.column(0).take(pa.array([row] * len(rows), pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids, *cols], ["id", "track", "cluster", "timestamp_ns", "key", "byte_offset", "byte_length", "cued", "stripped"])
 

@@ -188,6 +188,26 @@ def test_packet_table_of_bad_files(spark):
     assert {r.id for r in got} <= {1, 4} and sum(r.byte_length for r in got if r.id == 1) == 1000
 
 
+def test_packet_table_passes_over_odd_numbers_and_flipped_bytes(spark):
+    m = matroska
+
+    def media(rate, ticks=b"\x05"):
+        audio = m.element(m.AUDIO, m.element(m.RATE, np.array([rate], ">f4").tobytes()) + m.uint(m.DEPTH, 8) + m.uint(m.CHANNELS, 1))
+        track = m.element(m.TRACKS, m.element(m.TRACK, m.uint(m.TRACK_NUMBER, 1) + m.element(m.CODEC, b"A_PCM/INT/LIT") + audio))
+        block = m.element(m.BLOCK_GROUP, m.element(m.BLOCK, b"\x81\x00\x02\x04\x01" + b"ab" * 2))
+        return m.element(m.SEGMENT, track + m.element(m.CLUSTER, m.element(m.TIMESTAMP, ticks) + block))
+
+    good, rng = matroska.mux(bytes(range(256)) * 3), np.random.default_rng(0)
+    files = [media(1000.0), media(float("nan")), media(float("inf")), media(1e-45), media(1000.0, b"\xff" * 7), media(1000.0, b"\xff" * 8)]
+    for _ in range(400):
+        raw = np.frombuffer(good, np.uint8).copy()
+        raw[rng.integers(0, min(len(raw), 400), 3)] = rng.integers(0, 256, 3)
+        files.append(raw.tobytes())
+    rows = spark.createDataFrame([(k, bytearray(f)) for k, f in enumerate(files)], "id long, content binary")
+    got = {r.id for r in matroska.packet_table(rows, "id", "content").collect()}
+    assert 0 in got and not got & {1, 4, 5}
+
+
 # HTML
 
 

@@ -10,8 +10,10 @@ Exact copies (equal sets) are one node.  Candidates are checked in steps that lo
 2. Where a pivot's group of at most ``BLOCK`` members still holds several components, its members meet each other in one task, by matrix products of their
    shingles, and only links that join components come out.
 3. The members of larger such groups are dealt anew, by their rarest shingles: of two similar documents, each has one of the other's shingles among its
-   ``n - ceil(similarity * n) + 1`` rarest ones.  So documents of one template that share only what is frequent do not meet at all.  Members of one rare shingle meet as in step 2,
-   in blocks bounded by members and shingles.
+   ``n - ceil(similarity * n) + 1`` rarest ones.  So documents of one template that share only what is frequent do not meet at all.  Where the first shingle
+   that two documents share leaves ``r`` of the ``n`` shingles of each, they share at most the lesser ``r``, so they are similar only if ``n / r`` of both together is at most
+   ``1 + 1 / similarity``.  So of a shingle's members, those over half of that bound (the late ones) never meet each other, and meet nobody where no early member is
+   left.  Groups of the same members meet once.  Members meet as in step 2, in blocks bounded by members and shingles.
 
 Defined cases: null texts and texts without a word have an empty set, are linked with nothing and kept; rows that share a ``doc_id`` are versions of
 one document; rows without a ``doc_id`` are linked with nothing and have a null component; ties go to the smaller id; an empty
@@ -300,14 +302,17 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, similar: tuple[int, int])
 
 
 def _meeting(groups: DataFrame, texts: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
-    """Links that join different components ``comp`` within each group of ``pivot, doc, comp, blocks``, whose members meet in that many blocks."""
-    rows = groups.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    rows = materialize(rows, "rest")
-    rows = rows.join(_texts_of(texts, rows.select("doc"), "rest-texts"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """Links that join different components ``comp`` within each group of ``pivot, doc, comp, block, meets``: a member meets the blocks below its ``meets``, and its own."""
+    rows = materialize(groups, "rest")
+    rows = rows.join(_texts_of(texts, rows.select("doc"), "rest-texts"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)))
     rows = rows.select("pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "comp", "text")
     return rows.groupBy("pivot", "i", "j").applyInArrow(_block_links(k, similar), "a long, b long")
 
 
+def _dealt(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("doc"), blocks).cast("int")
+
+
 def _several(groups: DataFrame) -> DataFrame:
     """``pivot, m, size`` of the groups of ``pivot, doc, comp, n_shingles`` that hold more than one component."""
     return groups.groupBy("pivot").agg(
@@ -319,6 +324,30 @@ def _blocks(m: Column, size: Column) -> Column:
     return F.greatest(F.ceil(m / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
 
 
+def _admissible(rare: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Of ``pivot, doc, comp, n_shingles, weight`` (``n / r``), the members that can be similar to another of their group, as ``pivot, doc, comp, block, meets``.
+
+    Early members come first in the numbering of blocks and meet all; late ones meet the early ones alone.  Weights are compared with a little slack, which costs
+    a meeting and loses no link.
+    """
+    most = 1 + similar[1] / similar[0] + 1e-9
+    low = rare.groupBy("pivot").agg(F.min("weight").alias("w"), F.count(F.lit(1)).alias("c_n")).where(f"w <= {most / 2!r} AND c_n > 1").select("pivot", "w")
+    left = bounded(rare, low, "pivot", "rare-low").where(F.col("weight") + F.col("w") <= most).withColumn("early", F.col("weight") <= most / 2)
+    left = materialize(left.select("pivot", "doc", "comp", "n_shingles", "early"), "rare-left")
+    number = F.xxhash64("doc", "early")
+    sums = left.groupBy("pivot").agg(
+        F.count_if("early").alias("m"), F.sum(F.when(F.col("early"), F.col("n_shingles")).otherwise(0)).alias("size"),
+        F.count_if(~F.col("early")).alias("m_late"), F.sum(F.when(F.col("early"), 0).otherwise(F.col("n_shingles"))).alias("size_late"),
+        F.min("comp").alias("least"), F.max("comp").alias("most"),
+        F.sum(number.cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(number)).alias("xor"),
+    ).where("m + m_late > 1 AND least <> most")
+    once = sums.groupBy("m", "size", "m_late", "size_late", "sum", "xor").agg(F.min("pivot").alias("pivot"))
+    once = once.select("pivot", _blocks(F.col("m"), F.col("size")).alias("blocks"), _blocks(F.col("m_late"), F.col("size_late")).alias("late"))
+    met = bounded(left, once, "pivot", "rare-several")
+    block = F.when(F.col("early"), _dealt(F.col("blocks"))).otherwise(F.col("blocks") + _dealt(F.greatest(F.col("late"), F.lit(1))))
+    return met.select("pivot", "doc", "comp", block.alias("block"), F.when(F.col("early"), F.col("blocks") + F.col("late")).otherwise(F.col("blocks")).alias("meets"))
+
+
 def _set_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,15 +362,17 @@ def _set_batches(k: int):
 
 
 def _by_rare_shingle(docs: DataFrame, texts: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
-    """``pivot, doc, comp, n_shingles``: the documents ``doc, comp`` grouped by each of their rarest shingles."""
+    """``pivot, doc, comp, n_shingles, weight``: the documents ``doc, comp`` grouped by each of their rarest shingles; ``weight`` is all their shingles over those from it on."""
     sets = _texts_of(texts, docs.select("doc"), "large-texts").mapInArrow(_set_batches(k), "doc long, version long, shingles array<long>")
     said = materialize(sets, "large-sets").select("doc", "version", F.size("shingles").alias("n_shingles"), F.explode("shingles").alias("shingle"))
     often = said.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
     ranked = said.join(often, "shingle").groupBy("doc", "version", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("s"))
     n = F.col("n_shingles")
     ranked = ranked.select("doc", "n_shingles", F.slice("s", F.lit(1), (n - F.ceil(n * similar[0] / similar[1]) + 1).cast("int")).alias("s"))
-    rare = ranked.select("doc", "n_shingles", F.explode(F.filter("s", lambda x: x["often"] > 1)).alias("s"))
-    return rare.select(F.col("s.shingle").alias("pivot"), "doc", "n_shingles").join(docs, "doc").distinct()
+    rare = ranked.select("doc", "n_shingles", F.posexplode("s").alias("pos", "s")).where("s.often > 1")
+    rare = rare.select(F.col("s.shingle").alias("pivot"), "doc", "n_shingles", (n / (n - F.col("pos"))).alias("weight")).join(docs, "doc")
+    # Versions of a document are one member.
+    return rare.groupBy("pivot", "doc", "comp").agg(F.max("n_shingles").alias("n_shingles"), F.min("weight").alias("weight"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -370,12 +401,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: tuple[int,
     placed = materialize(placed, "placed")
     rest = materialize(bounded(placed, _several(placed), "pivot", "several"), "unsettled").where("doc <> pivot")
     large = F.col("m").cast("long") > BLOCK
-    more = _meeting(rest.where(~large).withColumn("blocks", _blocks(F.col("m"), F.col("size"))).select("pivot", "doc", "comp", "blocks"), texts, shingle, similar)
+    blocks = _blocks(F.col("m"), F.col("size"))
+    more = _meeting(rest.where(~large).select("pivot", "doc", "comp", _dealt(blocks).alias("block"), blocks.alias("meets")), texts, shingle, similar)
     far = materialize(rest.where(large).select("doc", "comp").distinct(), "large")
     if far.limit(1).count():
         rare = materialize(_by_rare_shingle(far, texts, shingle, similar), "rare")
-        rare = bounded(rare, _several(rare), "pivot", "rare-several").withColumn("blocks", _blocks(F.col("m"), F.col("size"))).select("pivot", "doc", "comp", "blocks")
-        more = more.unionByName(_meeting(rare, texts, shingle, similar))
+        more = more.unionByName(_meeting(_admissible(rare, similar), texts, shingle, similar))
     more = materialize(more, "more")
     if more.limit(1).count():
         comp = components(links.unionByName(more))

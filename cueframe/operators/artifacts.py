@@ -68,3 +68,14 @@ def _whole_characters(raw: Column, most: int) -> Column:
         # The byte after the cut is a continuation byte (128 to 191) as long as the cut splits a character.
         past = F.when((byte(most + 1 - back) < 128) | (byte(most + 1 - back) > 191), F.lit(most - back)).otherwise(past)
     return F.decode(F.substring(raw, F.lit(1), past), "UTF-8")
+
+
+def run_bindings(step_runs: DataFrame) -> DataFrame:
+    """``workflow_id, selector, artifact_id, version`` from ``workflow_id, position, status, step_id, outputs`` (name, artifact_id, version).
+
+    Completed step runs count, in the order of their positions whatever the times of their artifacts; a later run overwrites, within one the last entry of a name.
+    """
+    rows = step_runs.where((F.col("status") == "completed") & F.col("step_id").isNotNull())
+    rows = rows.select("workflow_id", "position", "step_id", F.posexplode("outputs").alias("c_at", "c_out"))
+    last = rows.groupBy("workflow_id", F.concat("step_id", F.lit("."), "c_out.name").alias("selector")).agg(F.max(F.struct("position", "c_at", "c_out.artifact_id", "c_out.version")).alias("c_x"))
+    return last.select("workflow_id", "selector", "c_x.artifact_id", "c_x.version")

@@ -13,7 +13,7 @@ from cueframe.functions import variants
 
 # Types that may be imported as files, and the form of a step's output reference.
 FILE_TYPES = ("audio", "image", "video")
-SELECTOR = r"^([a-z0-9_-]+)\.([a-z0-9_-]+)$"
+SELECTOR = r"^([a-z0-9_-]+)\.([a-z0-9_-]+)\z"
 
 
 def read_as(encoding: Column, raw: Column) -> tuple[Column, Column, Column]:

@@ -18,9 +18,11 @@ from cueframe.operators import artifacts, catalog, content, events, models, qual
 from cueframe.oracle import ORACLE_SQL as BASE_SQL
 from cueframe.plans.steps import Step, chained
 from cueframe.queries import QUERIES as BASE_QUERIES
+from cueframe.state_oracle import ORACLE_SQL as STATE_SQL
+from cueframe.state_queries import QUERIES as STATE_QUERIES
 from cueframe.streaming import tail
 
-QUERIES, ORACLE_SQL = BASE_QUERIES | MODEL_QUERIES | IO_QUERIES, BASE_SQL | MODEL_SQL | IO_SQL
+QUERIES, ORACLE_SQL = BASE_QUERIES | MODEL_QUERIES | IO_QUERIES | STATE_QUERIES, BASE_SQL | MODEL_SQL | IO_SQL | STATE_SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages conversations".split()
 

@@ -15,6 +15,10 @@ GRAPH = f"""{PLACED}, steps AS (SELECT l_orderkey AS workflow_id, place, 's' ||
 lasts AS (SELECT workflow_id, step_id AS ref, place AS meant, srt AS at_srt FROM steps QUALIFY row_number() OVER (PARTITION BY workflow_id, step_id ORDER BY place DESC) = 1),
 refs AS (SELECT s.*, meant, at_srt FROM steps s LEFT JOIN lasts USING (workflow_id, ref))"""
 
+#: Rules from the words of users: what is searched and what comes instead, in order.
+RULES = """words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{6,}')) AS w FROM conversations WHERE role = 'user'),
+rules AS (SELECT w, unnest(CASE WHEN length(w) > 8 THEN [w, substr(w, 2, 6)] ELSE [w] END) AS p, unnest(CASE WHEN length(w) > 8 THEN [1, 2] ELSE [1] END) AS k FROM words)"""
+
 ORACLE_SQL: dict[str, str] = {
     "upsert_conversations": """WITH t AS (SELECT conv_id, coalesce(turn, -1) AS last_turn, role, text FROM conversations)
 SELECT conv_id, last_turn, role, text, min(last_turn) OVER (PARTITION BY conv_id) AS first_turn FROM t
@@ -29,4 +33,7 @@ UNION ALL SELECT workflow_id, CAST(place AS INT), 'source', p FROM (SELECT *, CA
     "workflow_stale": f"""WITH RECURSIVE {GRAPH}, edges AS (SELECT workflow_id, meant AS source, place FROM refs WHERE meant < place AND ref <> step_id AND (at_srt OR NOT wants_srt)),
 reach AS (SELECT workflow_id, place, 0 AS distance FROM steps WHERE changed UNION SELECT e.workflow_id, e.place, distance + 1 FROM reach r JOIN edges e ON e.workflow_id = r.workflow_id AND e.source = r.place)
 SELECT workflow_id, CAST(place AS INT) AS place, CAST(min(distance) AS INT) AS distance FROM reach GROUP BY 1, 2""",
+    "glossary_rewritten": f"""WITH {RULES}, listed AS (SELECT list(CASE WHEN length(w) % 2 = 0 THEN '=' ELSE '~' END || p || '|' || reverse(w) ORDER BY w, k) AS rules FROM rules)
+SELECT conv_id, turn, list_reduce(list_prepend(text, coalesce(rules, [])), lambda x, y: CASE WHEN y[1] = '=' THEN replace(x, split_part(y[2:], '|', 1), split_part(y, '|', 2)) ELSE regexp_replace(x, split_part(y[2:], '|', 1), split_part(y, '|', 2), 'gi') END) AS text FROM conversations, listed""",
+    "glossary_matched": f"""WITH {RULES} SELECT DISTINCT doc_id, w AS source FROM documents JOIN rules ON CASE WHEN length(w) % 2 = 0 THEN contains(text, p) ELSE contains(lower(text), p) END""",
 }

@@ -1,32 +1,35 @@
-"""Files as rows, written and read: the Data Source ``cueframe_files`` with ``name, content``.
+"""Files as rows, written and read: ``name, content``.
 
-Writing: consecutive rows of one name are one file, in their order, so a file of any size is written as it comes.  Each task attempt writes into its own staging folder
-below the target; the commit on the driver, which handles names and no content, moves the files of the attempts that counted to their places.  A task or job that fails leaves no file.
-``mode("overwrite")`` removes the folder's earlier files at the commit; ``append`` replaces files of the same name.  A name that is no relative path, or stands twice, ends the job.
+Writing: consecutive rows of one name are one file, in their order, so a file of any size is written as it comes.  The Data Source ``cueframe_files`` lets each task attempt write into its own
+staging folder below the target; its commit on the driver notes which attempts counted, one line each.  Tasks then check the names of all attempts against each other and move each attempt's
+files to their places, so no name passes the driver.  A task or job that fails before the moves leaves no file; a move that is tried again goes on with what is left.
+``mode("overwrite")`` removes the folder's earlier files after the moves; ``append`` replaces files of the same name.  A name that is no relative path, or stands twice, ends the job.
 
-Reading: ``name, size, content`` of the visible files, dealt to tasks by size.
+Reading: ``name, size, content`` of the visible files, listed by tasks (``store.listing``) and dealt to tasks by size.
 """
 
 from __future__ import annotations
 
 import contextlib
+import json
 import uuid
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from cueframe.sources.store import checked, listed, opened
+from cueframe.sources.store import batches, checked, dealt, listing, opened
 
 FORMAT = "cueframe_files"
-#: Bytes and files of one reading task, and moves at a time of a commit.
-TASK_BYTES, TASK_FILES, MOVES = 64 << 20, 2000, 16
+#: Bytes of the contents of one batch that is read.
+BATCH_BYTES = 4 << 20
+COUNTED = "counted.json"
 
 
 @dataclass
@@ -38,11 +41,9 @@ class Staged(WriterCommitMessage):
 
 
 class FilesWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool) -> None:
-        self.path, self.overwrite = path, overwrite
-        files, root = opened(path)
-        self.staging = f"{root}/_staging-{uuid.uuid4().hex}"
-        files.create_dir(self.staging, recursive=True)
+    def __init__(self, path: str, staging: str) -> None:
+        self.path, self.staging = path, staging
+        opened(path)[0].create_dir(staging, recursive=True)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         files, _ = opened(self.path)
@@ -78,33 +79,11 @@ class FilesWriter(DataSourceArrowWriter):
         return Staged(folder, len(done))
 
     def commit(self, messages: list[Staged | None]) -> None:
-        files, root = opened(self.path)
-        moves: dict[str, str] = {}
-        for message in messages:
-            if message is None or not message.files:
-                continue
-            found = [f.path for f in files.get_file_info(fs.FileSelector(message.folder, recursive=True)) if f.is_file]
-            if len(found) != message.files:
-                raise RuntimeError(f"{message.folder} holds {len(found)} files of {message.files}")
-            for source in found:
-                name = source[len(message.folder) + 1 :]
-                if name in moves:
-                    raise ValueError(f"two tasks wrote {name!r}")
-                moves[name] = source
-        files.create_dir(root, recursive=True)
-        if self.overwrite:
-            for old in listed(self.path):
-                files.delete_file(old.path)
-        for folder in sorted({f"{root}/{name}".rsplit("/", 1)[0] for name in moves}):
-            files.create_dir(folder, recursive=True)
-        with ThreadPoolExecutor(MOVES) as pool:
-            list(pool.map(lambda move: files.move(move[1], f"{root}/{move[0]}"), moves.items()))
-        self._clear()
+        counted = [(m.folder, m.files) for m in messages if m is not None and m.files]
+        with opened(self.path)[0].open_output_stream(f"{self.staging}/{COUNTED}") as out:
+            out.write(json.dumps(counted).encode())
 
     def abort(self, messages: list[Staged | None]) -> None:
-        self._clear()
-
-    def _clear(self) -> None:
         _delete(opened(self.path)[0], self.staging)
 
 
@@ -117,56 +96,116 @@ def _delete(files: fs.FileSystem, folder: str) -> None:
             files.delete_dir(folder)
 
 
-@dataclass
-class Listed(InputPartition):
-    files: list[tuple[str, str, int]]
-
-
-class FilesReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def partitions(self) -> list[Listed]:
-        root, out, size = opened(self.path)[1], [], TASK_BYTES
-        for f in listed(self.path):
-            if size >= TASK_BYTES or len(out[-1].files) >= TASK_FILES:
-                out.append(Listed([]))
-                size = 0
-            out[-1].files.append((f.path[len(root) :].strip("/"), f.path, f.size))
-            size += f.size
-        return out or [Listed([])]
-
-    def read(self, partition: Listed) -> Iterator[tuple]:
-        files, _ = opened(self.path)
-        for name, path, size in partition.files:
-            with files.open_input_stream(path) as stream:
-                yield name, size, stream.read()
-
-
 class FilesSource(DataSource):
     @classmethod
     def name(cls) -> str:
         return FORMAT
 
     def schema(self) -> str:
-        return "name string, size long, content binary"
+        return "name string, content binary"
 
     def writer(self, schema: StructType, overwrite: bool) -> FilesWriter:
         if [(f.name, f.dataType.simpleString()) for f in schema] != [("name", "string"), ("content", "binary")]:
             raise ValueError("name string, content binary are written")
-        return FilesWriter(self.options["path"], overwrite)
+        return FilesWriter(self.options["path"], self.options["staging"])
+
+
+_NAMES = pa.schema([("name", pa.string())])
+_PLACED = pa.schema([("files", pa.int64())])
 
-    def reader(self, schema: StructType) -> FilesReader:
-        return FilesReader(self.options["path"])
+
+def _staged(files: fs.FileSystem, folder: str) -> list[str]:
+    """The names of an attempt's files that still wait."""
+    return [f.path[len(folder) + 1 :] for f in files.get_file_info(fs.FileSelector(folder, allow_not_found=True, recursive=True)) if f.is_file]
+
+
+def _placed(spark: SparkSession, path: str, staging: str, overwrite: bool) -> None:
+    """Checks the names of the attempts that counted, and moves their files to their places."""
+    files, root = opened(path)
+    with files.open_input_stream(f"{staging}/{COUNTED}") as stream:
+        counted = json.loads(stream.read())
+    old = listing(spark, path) if overwrite else None
+    attempts = spark.createDataFrame(counted, "folder string, files long").repartition(max(1, len(counted)))
+
+    def names(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = opened(path)
+        for batch in found:
+            for folder, count in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                staged = _staged(files, folder)
+                if len(staged) != count:
+                    raise RuntimeError(f"{folder} holds {len(staged)} files of {count}")
+                yield from batches(((name,) for name in staged), _NAMES)
+
+    def moves(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = opened(path)
+        for batch in found:
+            for folder in batch.column(0).to_pylist():
+                staged = _staged(files, folder)
+                for above in {name.rsplit("/", 1)[0] for name in staged if "/" in name}:
+                    files.create_dir(f"{root}/{above}", recursive=True)
+                for name in staged:
+                    try:
+                        files.move(f"{folder}/{name}", f"{root}/{name}")
+                    except FileNotFoundError:  # another attempt of this task has moved it
+                        if not files.get_file_info(f"{root}/{name}").is_file:
+                            raise
+                _delete(files, folder)
+                yield pa.RecordBatch.from_arrays([pa.array([len(staged)], pa.int64())], schema=_PLACED)
+
+    def removed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = opened(path)
+        for batch in found:
+            for place in batch.column(0).to_pylist():
+                if files.get_file_info(place).is_file:
+                    files.delete_file(place)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], schema=_PLACED)
+
+    written = attempts.mapInArrow(names, "name string")
+    twice = written.groupBy("name").count().where("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"two tasks wrote {twice.name!r}")
+    if old is not None:
+        # What goes is settled before the moves, as the staging folders are empty after them.
+        gone = old.join(written, "name", "left_anti").select("path", "size")
+        kept = f"{staging}/_gone"
+        gone.write.parquet(kept)
+    attempts.mapInArrow(moves, "files long").agg(F.sum("files")).first()
+    if old is not None:
+        dealt(spark.read.schema("path string, size long").parquet(kept)).mapInArrow(removed, "files long").agg(F.sum("files")).first()
 
 
 def write_files(rows: DataFrame, path: str, mode: str = "append") -> None:
     """``name, content`` (text or bytes) as files below ``path``."""
-    rows.sparkSession.dataSource.register(FilesSource)
-    rows.selectExpr("CAST(name AS STRING) AS name", "CAST(content AS BINARY) AS content").write.format(FORMAT).mode(mode).save(path)
+    if mode not in ("append", "overwrite"):
+        raise ValueError(f"no mode: {mode}")
+    spark = rows.sparkSession
+    spark.dataSource.register(FilesSource)
+    files, root = opened(path)
+    staging = f"{root}/_staging-{uuid.uuid4().hex}"
+    try:
+        rows.selectExpr("CAST(name AS STRING) AS name", "CAST(content AS BINARY) AS content").write.format(FORMAT).option("staging", staging).mode("append").save(path)
+        _placed(spark, path, staging, mode == "overwrite")
+    finally:
+        _delete(files, staging)
+
+
+_READ = pa.schema([("name", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """``name, size, content`` of the files below ``path``."""
-    spark.dataSource.register(FilesSource)
-    return spark.read.format(FORMAT).load(path)
+
+    def contents(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = opened(path)
+        for batch in found:
+            rows, held = [], 0
+            for name, place, size in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                with files.open_input_stream(place) as stream:
+                    rows.append((name, size, stream.read()))
+                held += size
+                if held >= BATCH_BYTES:
+                    yield from batches(iter(rows), _READ)
+                    rows, held = [], 0
+            yield from batches(iter(rows), _READ)
+
+    return dealt(listing(spark, path)).mapInArrow(contents, "name string, size long, content binary")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cueframe.operators import content, sinks
+from cueframe.sources import files as sources
 from cueframe.sources.files import read_files, write_files
 from cueframe.sources.store import checked, shared_folder
 
@@ -64,6 +65,24 @@ def test_a_failed_job_leaves_nothing(spark, tmp_path):
     assert os.listdir(path) == ["kept.txt"]
 
 
+def test_the_driver_handles_attempts_and_no_names(spark, tmp_path, monkeypatch):
+    """The commit's note has a line for each attempt, and files in folders of several levels are listed by tasks."""
+    path, notes, placed = str(tmp_path / "out"), [], sources._placed
+
+    def spied(spark, path, staging, overwrite):
+        with open(f"{staging}/{sources.COUNTED}") as note:
+            notes.append(note.read())
+        placed(spark, path, staging, overwrite)
+
+    monkeypatch.setattr(sources, "_placed", spied)
+    rows = spark.range(0, 500, 1, 2).select(F.expr("concat(id % 5, '/', id % 100, '/f', id)").alias("name"), F.col("id").cast("string").alias("content"))
+    write_files(rows, path)
+    assert notes[0].count("_staging-") == 2 and "f17" not in notes[0]
+    assert back(spark, path) == {f"{k % 5}/{k % 100}/f{k}": str(k) for k in range(500)} and len(tree(path)) == 500
+    write_files(rows.where("id < 3"), path, "overwrite")
+    assert tree(path) == ["0/0/f0", "1/1/f1", "2/2/f2"]
+
+
 def test_subtitle_file(spark, tmp_path):
     rows = [(1, 1, 0, 1250, "Hello"), (1, 2, 1250, 3_600_000, "two\nlines"), (2, 1, 5, 10, None)]
     frame = spark.createDataFrame(rows, "conv_id long, block long, start_ms long, end_ms long, text string").coalesce(1)

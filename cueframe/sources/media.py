@@ -1,6 +1,7 @@
-"""WAV files as the Data Source ``cueframe_wav``, and byte ranges.
+"""WAV files as rows of samples, and byte ranges.
 
-Reading: a partition is a share of the frames of one file, or several small files; a task reads the chunk headers and its own bytes, so files of any size are read and no task holds one whole.
+Reading: a share of the frames of one file is read by one task, from the chunk headers and its own bytes, so files of any size are read and no task holds one whole.  Files are listed by tasks,
+and shares are dealt to as many tasks as their bytes call for, but small ones to no more than keep all cores busy.
 A row holds up to FRAMES_PER_ROW frames: ``path, rate, channels, frames, first_frame, samples, reason``.  A file that is not 16-bit PCM, or is cut or malformed, is one row with a ``reason``
 and no samples.
 """
@@ -15,16 +16,14 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
-from cueframe.sources.store import listed, opened
+from cueframe.sources.files import BATCH_BYTES
+from cueframe.sources.store import dealt, listing, opened
 
-WAV_FORMAT = "cueframe_wav"
 WAV_COLUMNS = "path string, rate int, channels int, frames long, first_frame long, samples array<short>, reason string"
 _SCHEMA = pa.schema([("path", pa.string()), ("rate", pa.int32()), ("channels", pa.int32()), ("frames", pa.int64()), ("first_frame", pa.int64()), ("samples", pa.list_(pa.int16())), ("reason", pa.string())])
 FRAMES_PER_ROW = 65_536
-#: Bytes of a file that one task reads; option ``taskBytes``.
+#: Bytes of a share of a file.
 TASK_BYTES = 64 << 20
 #: Chunks of a file; more are no recording.
 MOST_CHUNKS = 10_000
@@ -90,35 +89,6 @@ def wav_bytes(samples: np.ndarray, rate: int, channels: int = 1) -> bytes:
     return b"RIFF" + number(36 + len(body), 4) + b"WAVEfmt " + number(16, 4) + form + b"data" + number(len(body), 4) + body
 
 
-@dataclass
-class Shares(InputPartition):
-    """Of each file (name, place, size) the ``part``-th of ``parts`` equal shares of its frames."""
-
-    files: list[tuple[str, str, int, int, int]]
-
-
-class WavReader(DataSourceReader):
-    def __init__(self, path: str, task_bytes: int) -> None:
-        self.path, self.task_bytes = path, task_bytes
-
-    def partitions(self) -> list[Shares]:
-        root, out, held = opened(self.path)[1], [], self.task_bytes
-        for f in listed(self.path):
-            parts = max(1, -(-f.size // self.task_bytes))
-            for k in range(parts):
-                if held >= self.task_bytes:
-                    out.append(Shares([]))
-                    held = 0
-                out[-1].files.append((f.path[len(root) :].strip("/"), f.path, f.size, k, parts))
-                held += max(f.size // parts, self.task_bytes // 2000)
-        return out or [Shares([])]
-
-    def read(self, partition: Shares) -> Iterator[pa.RecordBatch]:
-        files, _ = opened(self.path)
-        for name, path, size, part, parts in partition.files:
-            yield from _share(files, name, path, size, part, parts)
-
-
 def _share(files: fs.FileSystem, name: str, path: str, size: int, part: int, parts: int) -> Iterator[pa.RecordBatch]:
     with files.open_input_file(path) as file:
         try:
@@ -136,22 +106,27 @@ def _row(*values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-class WavSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return WAV_FORMAT
-
-    def schema(self) -> str:
-        return WAV_COLUMNS
-
-    def reader(self, schema: StructType) -> WavReader:
-        return WavReader(self.options["path"], int(self.options.get("taskBytes", TASK_BYTES)))
-
-
 def read_wav(spark: SparkSession, path: str, task_bytes: int = TASK_BYTES) -> DataFrame:
-    """The 16-bit PCM files below ``path`` as rows of samples."""
-    spark.dataSource.register(WavSource)
-    return spark.read.format(WAV_FORMAT).option("taskBytes", task_bytes).load(path)
+    """The 16-bit PCM files below ``path`` as rows of samples; a share of a file has at most ``task_bytes``."""
+
+    def shares(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = opened(path)
+        for batch in found:
+            rows, held = [], 0
+            for name, place, whole, part, parts, size in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for row in _share(files, name, place, whole, part, parts):
+                    rows.append(row)
+                    held += row.nbytes
+                    if held >= BATCH_BYTES:
+                        yield pa.concat_batches(rows)
+                        rows, held = [], 0
+            if rows:
+                yield pa.concat_batches(rows)
+
+    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / task_bytes)).cast("int")
+    rows = listing(spark, path).select("name", "path", F.col("size").alias("whole"), parts.alias("parts"))
+    rows = rows.select("name", "path", "whole", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts")
+    return dealt(rows.withColumn("size", F.floor(F.col("whole") / F.col("parts"))), task_bytes).mapInArrow(shares, WAV_COLUMNS)
 
 
 def byte_range(content: Column, header: str) -> Column:

@@ -124,3 +124,11 @@ def test_flipped_bytes_never_fail():
 def test_bars_follow_the_duration(spark, tmp_path):
     path = put(tmp_path / "w", {"s.wav": media.wav_bytes([1] * 800, 8000), "l.wav": media.wav_bytes([1] * 10_000, 1000), "r.wav": media.wav_bytes([1] * 10, 0)})
     assert {p: len(x) for p, x in levels(review.file_levels(media.read_wav(spark, path))).items()} == {"s.wav": 240, "l.wav": 500, "r.wav": 240}
+
+
+def test_many_small_shares_are_few_tasks(spark, tmp_path):
+    """A task for each small share made tasks with the files: 300 files of three shares were 600 tasks and more."""
+    made = {f"{k}.wav": media.wav_bytes(range(k, k + 1400), 8000) for k in range(300)}
+    rows = media.read_wav(spark, put(tmp_path / "w", made), 1000)
+    assert rows.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert rows.agg(F.countDistinct("path"), F.sum(F.size("samples")), F.max(F.size("samples"))).first() == (300, 300 * 1400, 467)

@@ -87,10 +87,19 @@ def first_preview(artifacts: DataFrame, previews: DataFrame, wanted: str) -> Dat
 
 def remote_title(tasks: DataFrame, videos: DataFrame) -> DataFrame:
     """For each task ``run_id, workflow_id, source_uri`` the stripped title of its workflow's first video (``workflow_id, place, url, title``) with that url, or
-    with none, and a title that is not blank."""
-    title = F.trim("title")
-    rows = tasks.join(videos.where(title != ""), "workflow_id").where(F.col("url").isNull() | (F.col("source_uri") == "") | (F.col("url") == F.col("source_uri")))
-    return rows.groupBy("run_id").agg(F.min_by(title, "place").alias("title"))
+    with none, and a title that is not blank; a task whose ``source_uri`` is empty takes videos of any url.
+
+    The first of each url, of those without, and of all are found before tasks come to them, so no task meets more than two rows.
+    """
+    title, at = F.trim("title"), F.col("place").isNotNull()
+    first = videos.where(title != "").groupBy("workflow_id", "url").agg(F.min(F.when(at, F.struct("place", title.alias("title")))).alias("x"))
+    kind = F.when(F.col("url").isNull(), "none").otherwise("url")
+    found = first.select("workflow_id", kind.alias("kind"), F.coalesce("url", F.lit("")).alias("url"), "x")
+    found = found.unionByName(first.groupBy("workflow_id").agg(F.min("x").alias("x")).select("workflow_id", F.lit("any").alias("kind"), F.lit("").alias("url"), "x"))
+    key = lambda k, url: F.struct(F.lit(k).alias("kind"), url.alias("url"))
+    keys = F.when(F.col("source_uri") == "", F.array(key("any", F.lit("")))).otherwise(F.array(key("url", F.col("source_uri")), key("none", F.lit(""))))
+    rows = tasks.select("run_id", "workflow_id", F.explode(keys).alias("k")).select("run_id", "workflow_id", "k.*").join(found, ["workflow_id", "kind", "url"])
+    return rows.groupBy("run_id").agg(F.min("x").alias("x")).select("run_id", F.col("x.title").alias("title"))
 
 
 def bound_tools(tools: DataFrame, outputs: DataFrame) -> DataFrame:

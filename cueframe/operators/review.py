@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,28 +39,50 @@ def duration(segments: DataFrame) -> DataFrame:
 def at_time(segments: DataFrame, times: DataFrame) -> DataFrame:
     """``key, t, idx``: of ``segments`` (``key, idx, start_ms, end_ms``) the first by start that holds t, else the last that starts by then, else the first.
 
-    Segments and times are merged in one sort by (key, time); running values carry the candidates, so no pair is formed.  A segment that holds t started by then,
-    so ``first holding`` is looked up among the segments whose end is the running maximum's.
+    Segments and times are sorted once by (key, time) and walked batch by batch, so no pair is formed and no key is gathered.  Only segments that end later than all before them can be
+    the first that holds a time; they wait in a queue until times pass their ends.
     """
-    seg = segments.select("key", F.col("start_ms").alias("at"), F.lit(0).alias("kind"), "idx", F.col("end_ms").alias("c_end"))
-    ask = times.select("key", F.col("t").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("idx"), F.lit(None).cast("long").alias("c_end")).distinct()
-    order = Window.partitionBy("key").orderBy("at", "kind", "idx")
-    past = order.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("key").orderBy("at", "kind", "idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = seg.unionByName(ask).withColumn("c_last", F.last("idx", ignorenulls=True).over(past)).withColumn("c_first", F.first("idx", ignorenulls=True).over(whole))
-    # Segments in order of start: the first that holds t is the one of least start among those that end at or after t.
-    rows = rows.withColumn("c_most", F.max("c_end").over(past))
-    record = rows.where("kind = 0 AND c_end = c_most").withColumn("c_prev", F.lag("c_most").over(order)).where("c_prev IS NULL OR c_most > c_prev")
-    record = record.select("key", F.col("c_end").alias("at"), F.lit(0).alias("kind"), F.col("idx").alias("c_holds"), F.col("at").alias("c_from"))
-    asked = rows.where("kind = 1").select("key", "at", F.lit(1).alias("kind"), "c_last", "c_first")
-    both = asked.select("key", F.col("at"), F.lit(0).alias("side"), "c_last", "c_first", F.lit(None).cast("long").alias("c_holds"), F.lit(None).cast("long").alias("c_from"))
-    both = both.unionByName(record.select("key", "at", F.lit(1).alias("side"), F.lit(None).cast("long").alias("c_last"), F.lit(None).cast("long").alias("c_first"), "c_holds", "c_from"))
-    # Records have rising starts and rising ends: the next record at or after t in order of end is the one of least start that reaches t.
-    ahead = Window.partitionBy("key").orderBy("at", "side").rowsBetween(0, Window.unboundedFollowing)
-    found = F.first(F.when(F.col("c_holds").isNotNull(), F.struct("c_holds", "c_from")), ignorenulls=True).over(ahead)
-    both = both.withColumn("c_found", found).where("side = 0")
-    holds = F.when(F.col("c_found.c_from") <= F.col("at"), F.col("c_found.c_holds"))
-    return both.select("key", F.col("at").alias("t"), F.coalesce(holds, "c_last", "c_first").alias("idx"))
+    column = lambda name: F.col(name).cast("long")
+    none = F.lit(None).cast("long")
+    kind_of = segments.schema["idx"].dataType
+    seg = segments.select("key", column("start_ms").alias("at"), F.lit(1).alias("kind"), column("idx").alias("idx"), column("end_ms").alias("c_end"))
+    ask = times.select("key", column("t").alias("at"), F.lit(2).alias("kind"), none.alias("idx"), none.alias("c_end"))
+    # The first segment of a key comes before its times.
+    first = seg.where("idx IS NOT NULL").groupBy("key").agg(F.min(F.struct("at", "idx")).alias("x")).select("key", none.alias("at"), F.lit(0).alias("kind"), F.col("x.idx").alias("idx"), none.alias("c_end"))
+    rows = first.unionByName(seg).unionByName(ask).repartition("key").sortWithinPartitions("key", "at", "kind", "idx")
+    found = rows.mapInArrow(_held_at, rows.select("key", F.col("at").alias("t"), "idx").schema)
+    return found.select("key", F.col("t").cast(times.schema["t"].dataType).alias("t"), F.col("idx").cast(kind_of).alias("idx"))
+
+
+def _held_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walks the sorted rows of ``at_time``; kinds are 0 a key's first segment, 1 a segment, 2 a time."""
+    now, begun, first, last, most, asked = None, False, None, None, None, ()
+    records: deque[tuple] = deque()
+    for batch in batches:
+        at_rows, found = [], []
+        for row, (key, at, kind, idx, end) in enumerate(zip(*[c.to_pylist() for c in batch.columns], strict=True)):
+            if not begun or key != now:
+                now, begun, first, last, most, asked = key, True, None, None, None, ()
+                records.clear()
+            if kind == 0:
+                first = idx
+            elif kind == 1:
+                last = last if idx is None else idx
+                if end is not None and (most is None or end > most):
+                    most = end
+                    if idx is not None:
+                        records.append((end, idx, at))
+            elif asked != (at,):
+                asked, held = (at,), None
+                if at is not None:
+                    while records and records[0][0] < at:
+                        records.popleft()
+                    if records and records[0][2] is not None:
+                        held = records[0][1]
+                at_rows.append(row)
+                found.append(held if held is not None else last if last is not None else first)
+        taken = pa.array(at_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(found, pa.int64())], ["key", "t", "idx"])
 
 
 def bar_levels(samples: DataFrame, bars: int) -> DataFrame:

@@ -52,20 +52,23 @@ def edges(steps: DataFrame, inputs: DataFrame) -> DataFrame:
 def stale(graph: DataFrame, changed: DataFrame) -> DataFrame:
     """``workflow_id, place, distance``: the changed steps (0) and all that take from them, over however many steps between.
 
-    Each round asks only for what takes from the steps that the round before found, and writes it, so a lost executor costs one round.
+    Each round asks only for what takes from the steps that the round before found, and writes it, so a lost executor costs one round.  An edge goes once its source or its place is
+    found, as it can find nothing new then; a round reads the edges that are left, and no earlier round's steps.
     """
     spark = graph.sparkSession
     path = shared_folder(spark, "stale")
-    schema = changed.select("workflow_id", "place", F.lit(0).alias("distance")).schema
-    graph.write.parquet(f"{path}/graph")
-    graph = spark.read.schema(graph.schema).parquet(f"{path}/graph")
-    new, distance = changed.select("workflow_id", "place").distinct(), 0
+    edge, step = ["workflow_id", "source", "place"], ["workflow_id", "place"]
+    schema, kept = changed.select(*step, F.lit(0).alias("distance")).schema, graph.select(*edge, F.lit(True).alias("c_head")).schema
+    new, left, distance = changed.select(*step).distinct(), graph.select(*edge), 0
     while True:
         new.withColumn("distance", F.lit(distance)).write.parquet(f"{path}/found/{distance:06}")
-        found = spark.read.schema(schema).parquet(*[f"{path}/found/{k:06}" for k in range(distance + 1)])
-        now = spark.read.schema(schema).parquet(f"{path}/found/{distance:06}")
+        now = spark.read.schema(schema).parquet(f"{path}/found/{distance:06}").select(*step)
         if now.isEmpty():
-            return found
-        heads = now.select("workflow_id", F.col("place").alias("source"))
-        new = graph.join(heads, ["workflow_id", "source"], "left_semi").select("workflow_id", "place").distinct().join(found, ["workflow_id", "place"], "left_anti")
+            return spark.read.schema(schema).parquet(*[f"{path}/found/{k:06}" for k in range(distance + 1)])
+        # Edges to what is not found yet, and whether their source was found in the last round; none has an older one.
+        heads = now.select("workflow_id", F.col("place").alias("source"), F.lit(True).alias("c_head"))
+        rows = left.join(now, step, "left_anti").join(heads, ["workflow_id", "source"], "left").select(*edge, F.col("c_head").isNotNull().alias("c_head"))
+        rows.write.parquet(f"{path}/left/{distance:06}")
+        rows = spark.read.schema(kept).parquet(f"{path}/left/{distance:06}")
+        new, left = rows.where("c_head").select(*step).distinct(), rows.where("NOT c_head").select(*edge)
         distance += 1

@@ -108,3 +108,15 @@ def test_stale_steps_over_long_chains(spark):
     changed = [(1, 3), (1, 3), (2, 1), (9, 0)]
     got = graphs.stale(spark.createDataFrame(graph, "workflow_id long, source int, place int"), spark.createDataFrame(changed, "workflow_id long, place int"))
     assert rows_of(got) == sorted([(1, k, k - 3) for k in range(3, 13)] + [(2, 1, 0), (2, 2, 1), (9, 0, 0)], key=repr)
+
+
+def test_edges_that_can_find_nothing_new_go(spark):
+    """Each round read the whole graph and all steps found before."""
+    import glob
+    import os
+
+    graph = [(1, k, k + 1) for k in range(6)] + [(2, k, k + 1) for k in range(500)] + [(3, 1, 0), (3, 0, 1)]
+    changed = [(1, 0), (3, 0)] + [(2, k) for k in range(501)]
+    graphs.stale(spark.createDataFrame(graph, "workflow_id long, source int, place int"), spark.createDataFrame(changed, "workflow_id long, place int"))
+    newest = max(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/stale-*"), key=os.path.getmtime)
+    assert [spark.read.parquet(p).count() for p in sorted(glob.glob(f"{newest}/left/*"))] == [7, 5, 4, 3, 2, 1, 0]

@@ -51,6 +51,7 @@ class Segments(InputPartition):
 class TailReader(DataSourceStreamReader):
     def __init__(self, path: str, workflow: int | None, after: int) -> None:
         self.path, self.workflow, self.after = path, workflow, after
+        self.found: dict[int, list[tuple[int, int, str]]] | None = None
 
     def segments(self) -> dict[int, list[tuple[int, int, str]]]:
         """The segments of each workflow in order: first and last sequence, and place."""
@@ -65,7 +66,8 @@ class TailReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         out = {}
-        for workflow, found in self.segments().items():
+        self.found = self.segments()
+        for workflow, found in self.found.items():
             at = self.after
             for first, last, _ in found:
                 if first > at + 1:
@@ -76,8 +78,9 @@ class TailReader(DataSourceStreamReader):
         return out
 
     def partitions(self, start: dict, end: dict) -> list[Segments]:
-        files = []
-        for workflow, found in self.segments().items():
+        # The listing that gave the latest offset serves the batch up to it; a batch planned again after a restart lists anew.
+        known, self.found, files = self.found if self.found is not None else self.segments(), None, []
+        for workflow, found in known.items():
             after, through = start.get(str(workflow), self.after), end.get(str(workflow), self.after)
             files += [(path, after, through) for first, last, path in found if last > after and first <= through]
         return [Segments(files[k : k + TASK_FILES]) for k in range(0, len(files), TASK_FILES)] or [Segments([])]

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,9 +39,14 @@ LEXICON = (
 )
 
 MINE_ROWS, TRAIN_ROWS = 16_000, 16_000
-#: A mined stem occurs in so many toxic training texts at least, and this share of the sampled texts that have it is toxic: at least the
+#: A mined stem occurs in so many toxic training texts at least, and this share of the labelled texts that have it is toxic: at least the
 #: second; stems under the first are taken only where no purer one begins the word.
 MIN_SUPPORT, PURE, MIN_PRECISION = 8, 0.9, 0.6
+#: So many stems at most are expected to pass by chance, of all that are tested: a large table has so many rare words that thousands of them fall into
+#: toxic texts alone.
+MAX_CHANCE = 0.05
+#: A stem says nothing new in a text that has a pure one so many times as frequent.
+LEAD = 4
 STEM_SIZES = (4, 5, 6, 7)
 SINGLE_VOTERS, GROUP_VOTERS = 44, 8
 EM_ROUNDS = 8
@@ -93,29 +98,74 @@ def counts(voters: Voters, machine, text: str | None) -> np.ndarray:
     return out
 
 
+def chance(hits: int, n: int, toxic: int, total: int) -> float:
+    """At most how likely it is that of ``n`` texts, drawn blindly from ``total`` with ``toxic`` toxic ones, ``hits`` or more are toxic (1 where that is expected)."""
+    if hits * total <= n * toxic:
+        return 1.0
+    ways = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    first = math.exp(min(0.0, ways(toxic, hits) + ways(total - toxic, n - hits) - ways(total, n)))
+    # Beyond the mean each further term of the hypergeometric tail shrinks by this factor or more.
+    factor = (toxic - hits) * (n - hits) / ((hits + 1) * (total - toxic - n + hits + 1))
+    return min(1.0, first / (1 - factor)) if factor < 1 else 1.0
+
+
+def _beginnings(words, size: int):
+    """The first ``size`` letters of the words that have as many.  The size must not be a second parameter of the lambdas: Spark would pass a word's place."""
+    return F.transform(F.filter(words, lambda w: F.length(w) >= size), lambda w: F.substring(w, 1, size))
+
+
+def _unexplained(rows: DataFrame, best: list) -> list:
+    """Those of ``best`` that MIN_SUPPORT toxic texts have without a pure stem that is LEAD times as frequent.  ``rows``: each text's stems.
+
+    All words of near copies of one toxic text fall into toxic texts alone; what makes that text toxic does so in many others too.
+    """
+    if not best:
+        return best
+    spark = rows.sparkSession
+    side = spark.createDataFrame([(r.stem, int(r.hits), r.precision >= PURE) for r in best], "stem string, hits long, pure boolean")
+    held = rows.where("toxic = 1").join(F.broadcast(side), "stem").groupBy("doc_id")
+    held = held.agg(F.max(F.when(F.col("pure"), F.col("hits"))).alias("most"), F.collect_set(F.struct("stem", "hits")).alias("held"))
+    alone = held.select("most", F.inline("held")).where(F.coalesce(F.col("most"), F.lit(0)) < LEAD * F.col("hits")).groupBy("stem").count()
+    # As many rows as ``best`` at most.
+    alone = {r.stem for r in alone.where(F.col("count") >= MIN_SUPPORT).select("stem").collect()}
+    return [r for r in best if r.stem in alone]
+
+
 def mine(docs: DataFrame, labels: DataFrame, mine_rows: int = MINE_ROWS) -> list[tuple[str, int, bool]]:
     """(stem or word, toxic texts that have it, whether it is pure) of the stems that single toxic texts out."""
+    return _mined(docs, labels, mine_rows)[0]
+
+
+def _mined(docs: DataFrame, labels: DataFrame, mine_rows: int) -> tuple[list[tuple[str, int, bool]], set[str]]:
+    """What ``mine`` returns, and the words of the list that MIN_SUPPORT texts have, most of them clean: they are plain words in some language."""
     size = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    part = {toxic: min(1.0, mine_rows / 2 / n) for toxic, n in size.items()}
     share = F.lit(0.0)
-    for toxic, n in size.items():
-        share = F.when(F.col("toxic") == toxic, min(1.0, mine_rows / 2 / n)).otherwise(share)
+    for toxic, p in part.items():
+        share = F.when(F.col("toxic") == toxic, p).otherwise(share)
     chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(mine_rows)
     # At most mine_rows ids and labels, so the texts need no shuffle.
     sample = docs.join(F.broadcast(chosen), "doc_id")
+    toxic_rows, all_rows = sample.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
-    stems = F.transform(words, lambda w: F.concat(w, F.lit(" ")))
-    for k in STEM_SIZES:
-        stems = F.concat(stems, F.transform(F.filter(words, lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.substring(w, 1, k)))
-    rows = sample.select("toxic", F.explode(F.array_distinct(stems)).alias("stem")).where(F.length("stem") > 3)
-    found = rows.groupBy("stem").agg(F.sum("toxic").alias("hits"), F.count(F.lit(1)).alias("n"))
-    found = found.where((F.col("hits") >= MIN_SUPPORT) & (F.col("hits") >= MIN_PRECISION * F.col("n")))
+    stems = F.concat(F.transform(words, lambda w: F.concat(w, F.lit(" "))), *[_beginnings(words, k) for k in STEM_SIZES])
+    rows = sample.select("doc_id", "toxic", F.explode(F.array_distinct(stems)).alias("stem")).where(F.length("stem") > 3)
+    found = rows.groupBy("stem").agg(F.sum("toxic").alias("hits"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SUPPORT)
+    # A label is sampled by its own share; precision is that among all labelled texts.
+    toxic_mass, clean_mass = F.col("hits") / part.get(1, 1.0), (F.col("n") - F.col("hits")) / part.get(0, 1.0)
+    found = materialize(found.withColumn("precision", toxic_mass / (toxic_mass + clean_mass)), "stems")
+    tested = found.count()
+    listed = found.where(F.col("stem").isin([f"{w} " for w in LEXICON]) & (F.col("precision") < MIN_PRECISION))
+    refuted = {r.stem.rstrip() for r in listed.select("stem").collect()}
     # Every stem over the thresholds; mine_rows bounds them.
-    best = found.collect()
+    best = found.where((F.col("hits") >= MIN_SUPPORT) & (F.col("precision") >= MIN_PRECISION)).collect()
+    best = [r for r in best if tested * chance(r.hits, r.n, toxic_rows, all_rows) <= MAX_CHANCE]
+    best = _unexplained(rows, best)
     out: list[tuple[str, int, bool]] = []
     # The shortest stems first: what begins with a chosen stem adds nothing to it.
     chosen: set[str] = set()
     taken: set[str] = set()
-    pure = {r.stem: r.hits >= PURE * r.n for r in best}
+    pure = {r.stem: r.precision >= PURE for r in best}
     for r in sorted(best, key=lambda r: (not pure[r.stem], len(r.stem.rstrip()), r.stem)):
         word = r.stem.rstrip()
         if word not in taken and not any(word[:k] in chosen for k in range(3, len(word) + 1)):
@@ -123,13 +173,13 @@ def mine(docs: DataFrame, labels: DataFrame, mine_rows: int = MINE_ROWS) -> list
             taken.add(word)
             if word == r.stem:
                 chosen.add(word)
-    return sorted(out, key=lambda x: (-x[1], x[0]))
+    return sorted(out, key=lambda x: (-x[1], x[0])), refuted
 
 
-def voters_from(mined: list[tuple[str, int, bool]]) -> Voters:
-    """The most frequent mined stems each have a voter; the rest, and the list's other words, share group voters, pure ones and others apart."""
+def voters_from(mined: list[tuple[str, int, bool]], refuted: Iterable[str] = ()) -> Voters:
+    """The most frequent mined stems each have a voter; the rest, and the list's other words but the refuted ones, share group voters, pure ones and others apart."""
     known = [s.rstrip() for s, _, _ in mined]
-    rest = [(f"{w} ", 0, True) for w in LEXICON if not any(w.startswith(s) for s in known)]
+    rest = [(f"{w} ", 0, True) for w in LEXICON if w not in refuted and not any(w.startswith(s) for s in known)]
     stems = mined + rest
     single = min(SINGLE_VOTERS, len(mined))
     groups = GROUP_VOTERS // 2
@@ -193,8 +243,11 @@ def fit_label_model(patterns: DataFrame, v: int, start: LabelModel, rounds: int
     """Expectation-maximisation over ``fired, n, known``: vote patterns, how many texts show them, and those texts' label (-1: none), which stands where
     there is one.  Each round sums on the executors."""
     model = start
+    labelled = {r.known: r.n for r in patterns.where("known >= 0").groupBy("known").agg(F.sum("n").alias("n")).collect()}
+    first = patterns.where("known >= 0") if min(labelled.get(0, 0), labelled.get(1, 0)) >= MIN_SUPPORT else patterns
     for k in range(rounds + 1):
-        sums = sum((np.frombuffer(r.s) for r in patterns.mapInArrow(_em_sums(model, v), "s binary").collect()), np.zeros(2 * (v + 1) + 2 * v * v))
+        # The guess ``start`` may call all unlabelled texts of a rare language clean, and later rounds keep to that: where there are labels, they begin.
+        sums = sum((np.frombuffer(r.s) for r in (patterns if k else first).mapInArrow(_em_sums(model, v), "s binary").collect()), np.zeros(2 * (v + 1) + 2 * v * v))
         total, pair = sums[: 2 * (v + 1)].reshape(2, v + 1), sums[2 * (v + 1) :].reshape(2, v, v)
         n = total.sum(axis=0)[0]
         rate = (total[:, 1:] + 0.1) / (total[:, :1] + 1.0)
@@ -254,7 +307,7 @@ def vote(docs: DataFrame, voters: Voters) -> DataFrame:
 
 def find_voters(docs: DataFrame, labels: DataFrame, mine_rows: int = MINE_ROWS) -> Voters:
     """Voters for ``docs``, from ``labels``: ``doc_id, toxic`` of rows that may be learned from."""
-    return voters_from(mine(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _labels(labels), mine_rows))
+    return voters_from(*_mined(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _labels(labels), mine_rows))
 
 
 def _labels(labels: DataFrame) -> DataFrame:
@@ -279,11 +332,12 @@ def fit_votes(voters: Voters, votes: DataFrame, labels: DataFrame, train_rows: i
     rare[v - len(PATTERNS) :] = 0.1
     model = fit_label_model(patterns, v, LabelModel(flat, rare, 0.1, np.ones(v)))
     total = votes.count()
-    chosen = _sample(votes, total, train_rows).select("x").collect()
+    chosen = _sample(votes, total, train_rows).join(known, "doc_id", "left").select("doc_id", "x", "known").orderBy(F.xxhash64("doc_id"), "x", "known").collect()
     if not chosen:
         return Classifier(voters, np.zeros(v + SHAPE), -3.0)
     x = np.frombuffer(b"".join(bytes(r.x) for r in chosen), "<f4").reshape(-1, v + SHAPE).astype(float)
-    coef, bias = _logistic(_features(x), model.posterior((x[:, :v] > 0).astype(float)))
+    label = np.array([-1 if r.known is None else r.known for r in chosen])
+    coef, bias = _logistic(_features(x), np.where(label < 0, model.posterior((x[:, :v] > 0).astype(float)), label))
     return _scaled(Classifier(voters, coef, bias), _sample(votes.join(_sample(known, known.count(), train_rows), "doc_id"), 1, train_rows))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -106,3 +107,57 @@ def test_correlated_voters_count_as_one(spark):
     patterns = spark.createDataFrame(rows, "fired binary, n long, known int")
     model = toxicity.fit_label_model(patterns, v, toxicity.LabelModel(np.full(v, 0.2), np.full(v, 0.01), 0.1, np.ones(v)))
     assert model.weight[0] < 0.6 and model.weight[1] < 0.6 and model.weight[2] > 0.9
+
+
+def many_tongues(n=1500):
+    """Toxic words are one stem a language with a suffix that rarely comes twice; one language calls a listed insult a plain word."""
+    rng = random.Random(9)
+    rows, labels = [], []
+    for k in range(n):
+        lang = rng.choice(list(ALPHABETS))
+        words = speech(rng, lang, rng.randint(20, 60)).split()
+        toxic = int(rng.random() < 0.15)
+        if toxic:
+            stem = {"aa": "zwick", "bb": "pflop", "cc": "gnarz"}[lang]
+            words.insert(rng.randint(0, len(words)), stem + "".join(rng.choices("aeioubdfgklmnprst", k=5)))
+        if lang == "bb" and rng.random() < 0.3:
+            words += ["vile"] * rng.randint(1, 30)
+        rows.append((k, " ".join(words), toxic))
+        labels.append((k, toxic if k % 5 < 2 else None))
+    return rows, labels
+
+
+def test_stems_are_found_whatever_follows_them(spark):
+    rows, labels = many_tongues()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, truth int")
+    model = toxicity.fit(docs.where(~toxicity.held_out()), spark.createDataFrame(labels, "doc_id long, toxic int").where(~toxicity.held_out()))
+    assert {"zwic", "pflo", "gnar"} <= set(model.voters.stems)
+    assert "vile " not in model.voters.stems
+    got = [(r.truth, r.c_score >= 0.5) for r in toxicity.score_texts(docs.where(toxicity.held_out()), model).collect()]
+    assert np.mean([p for t, p in got if t]) > 0.95
+    assert np.mean([p for t, p in got if not t]) < 0.01
+
+
+def test_words_that_fall_into_toxic_texts_by_chance_or_with_a_commoner_stem_are_not_mined(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(3000)]
+    rows, labels = [], []
+    for k in range(800):
+        text = rng.sample(words, 30)
+        toxic = k % 2
+        if toxic:
+            text.append("qualk" + rng.choice("aeiou"))
+        # Copies of one toxic text: their own words are in toxic texts alone.
+        rows.append((k, "qualka " + " ".join(f"zz{w}" for w in words[:20]) if toxic and k < 60 else " ".join(text)))
+        labels.append((k, toxic))
+    stems = toxicity.mine(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert [s for s, _, _ in stems] == ["qual"]
+
+
+def test_chance_bounds_the_share_of_blind_draws():
+    for hits, n, toxic, total in [(8, 8, 8, 20), (5, 9, 20, 100), (3, 4, 10, 50), (2, 30, 3, 90)]:
+        ways = sum(math.comb(toxic, x) * math.comb(total - toxic, n - x) for x in range(hits, min(n, toxic) + 1))
+        exact = ways / math.comb(total, n)
+        assert exact <= toxicity.chance(hits, n, toxic, total) * (1 + 1e-9) <= 2 * exact
+    assert toxicity.chance(2, 10, 20, 100) == 1
+    assert toxicity.chance(8, 8, 20, 20) == 1

@@ -119,7 +119,7 @@ def _staged(files: fs.FileSystem, folder: str) -> list[str]:
     return [f.path[len(folder) + 1 :] for f in files.get_file_info(fs.FileSelector(folder, allow_not_found=True, recursive=True)) if f.is_file]
 
 
-def _placed(spark: SparkSession, path: str, staging: str, overwrite: bool) -> None:
+def _placed(spark: SparkSession, path: str, staging: str, overwrite: bool, noted: str | None) -> None:
     """Checks the names of the attempts that counted, and moves their files to their places."""
     files, root = opened(path)
     with files.open_input_stream(f"{staging}/{COUNTED}") as stream:
@@ -161,6 +161,9 @@ def _placed(spark: SparkSession, path: str, staging: str, overwrite: bool) -> No
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], schema=_PLACED)
 
     written = attempts.mapInArrow(names, "name string")
+    if noted is not None:
+        written.write.parquet(noted)
+        written = spark.read.schema("name string").parquet(noted)
     twice = written.groupBy("name").count().where("count > 1").first()
     if twice is not None:
         raise ValueError(f"two tasks wrote {twice.name!r}")
@@ -174,8 +177,8 @@ def _placed(spark: SparkSession, path: str, staging: str, overwrite: bool) -> No
         dealt(spark.read.schema("path string, size long").parquet(kept)).mapInArrow(removed, "files long").agg(F.sum("files")).first()
 
 
-def write_files(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """``name, content`` (text or bytes) as files below ``path``."""
+def write_files(rows: DataFrame, path: str, mode: str = "append", noted: str | None = None) -> None:
+    """``name, content`` (text or bytes) as files below ``path``; their names, as a table ``name``, in the new folder ``noted``."""
     if mode not in ("append", "overwrite"):
         raise ValueError(f"no mode: {mode}")
     spark = rows.sparkSession
@@ -184,7 +187,7 @@ def write_files(rows: DataFrame, path: str, mode: str = "append") -> None:
     staging = f"{root}/_staging-{uuid.uuid4().hex}"
     try:
         rows.selectExpr("CAST(name AS STRING) AS name", "CAST(content AS BINARY) AS content").write.format(FORMAT).option("staging", staging).mode("append").save(path)
-        _placed(spark, path, staging, mode == "overwrite")
+        _placed(spark, path, staging, mode == "overwrite", noted)
     finally:
         _delete(files, staging)
 

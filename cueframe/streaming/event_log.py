@@ -1,8 +1,12 @@
-"""A live event log as files, and its tail as the streaming Data Source ``cueframe_events``.
+"""A live event log as files, and its tail as a stream.
 
-The log is a folder of segments ``workflow=<id>/<first>-<last>.jsonl``, whose names tell their sequences, so the source finds what is new by listing alone.  Its offset is
-the last sequence of each workflow (``{"7": 120}``), one entry a workflow; a query that is started again goes on after it.  A workflow's events are handed on up to the first gap, as
-files of one append may come in any order.  Options: ``path``, ``workflow`` (one id; all without it), ``afterSequence`` (where a new query begins).
+The log is a folder of segments ``workflow=<id>/<first>-<last>.jsonl``, whose names tell their sequences.  Each append ends by adding its segments to the log's index, a table of
+``workflow_id, first, last, name`` in which a workflow's segments of one append stand in one file.  A tail of all workflows is Spark's file stream of that index; tasks read the segments, so neither
+the driver nor an offset holds workflows or segments.  A tail of one workflow is the streaming Data Source ``cueframe_events``, which lists its folder; its offset is the last
+sequence (``{"7": 120}``).  A query that is started again goes on after its offset.
+
+A workflow's events are handed on up to the first gap; what comes after it waits (for all workflows, in a state of segments), unless the reader waits itself (``wait=False``).
+Options of the Data Source: ``path``, ``workflow`` (one id), ``afterSequence`` (where a new query begins).
 """
 
 from __future__ import annotations
@@ -13,20 +17,28 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from cueframe.operators.events import sse
 from cueframe.sources.files import write_files
-from cueframe.sources.store import listed, opened
+from cueframe.sources.store import batches, listed, listing, opened, shared_folder
 
 FORMAT = "cueframe_events"
 COLUMNS = "workflow_id long, sequence long, type string, step int, percent double, event_id long"
 FIELDS = [c.split()[0] for c in COLUMNS.split(", ")]
-_NAME = re.compile(r"workflow=(-?\d+)/(\d+)-(\d+)\.jsonl$")
+_SEGMENT = r"workflow=(-?\d+)/(\d+)-(\d+)\.jsonl$"
+_NAME = re.compile(_SEGMENT)
+_EVENTS = pa.schema([("workflow_id", pa.int64()), ("sequence", pa.int64()), ("type", pa.string()), ("step", pa.int32()), ("percent", pa.float64()), ("event_id", pa.int64())])
+#: The folder of the index in the log; readers of files do not see it.
+INDEX, INDEXED = "_segments", "workflow_id long, first long, last long, name string"
 #: Segment files that one task reads.
 TASK_FILES = 500
 
@@ -38,7 +50,27 @@ def append_log(events: DataFrame, path: str, size: int = 1000) -> None:
     ends = F.concat(F.min("sequence").over(part).cast("string"), F.lit("-"), F.max("sequence").over(part).cast("string"))
     rows = rows.withColumn("name", F.concat(F.lit("workflow="), F.col("workflow_id").cast("string"), F.lit("/"), ends, F.lit(".jsonl")))
     rows = rows.sortWithinPartitions("workflow_id", "c_part", "sequence")
-    write_files(rows.select("name", F.concat(F.to_json(F.struct(*FIELDS)), F.lit("\n")).alias("content")), path)
+    spark, (files, root) = events.sparkSession, opened(path)
+    if files.get_file_info(root).type != fs.FileType.NotFound:
+        _indexed(spark, path)
+    noted = shared_folder(spark, "segments")
+    write_files(rows.select("name", F.concat(F.to_json(F.struct(*FIELDS)), F.lit("\n")).alias("content")), path, noted=noted)
+    _index(spark.read.schema("name string").parquet(noted), path)
+
+
+def _index(names: DataFrame, path: str) -> None:
+    # A workflow's segments in one file, so that a tail sees all of them or none.
+    part = lambda k: F.regexp_extract("name", _SEGMENT, k).cast("long")
+    rows = names.where(F.col("name").rlike(_SEGMENT)).select(part(1).alias("workflow_id"), part(2).alias("first"), part(3).alias("last"), "name")
+    rows.repartition("workflow_id").write.mode("append").parquet(f"{path}/{INDEX}")
+
+
+def _indexed(spark: SparkSession, path: str) -> None:
+    """Makes the index of a log that has none: of one that is not there yet, or was written without."""
+    files, root = opened(path)
+    if not files.get_file_info(f"{root}/{INDEX}/_SUCCESS").is_file:
+        there = files.get_file_info(root).type != fs.FileType.NotFound
+        _index(listing(spark, path).select("name") if there else spark.createDataFrame([], "name string"), path)
 
 
 @dataclass
@@ -48,7 +80,18 @@ class Segments(InputPartition):
     files: list[tuple[str, int, int]]
 
 
+def _read(line: bytes, after: int, through: int | None) -> tuple | None:
+    event = json.loads(line)
+    if event["sequence"] <= after or (through is not None and event["sequence"] > through):
+        return None
+    if isinstance(event.get("percent"), str):  # JSON has no number for NaN and infinities
+        event["percent"] = float(event["percent"])
+    return tuple(event.get(f) for f in FIELDS)
+
+
 class TailReader(DataSourceStreamReader):
+    """The segments are listed, and the offset has an entry for each workflow listed, so it suits one workflow or a few."""
+
     def __init__(self, path: str, workflow: int | None, after: int) -> None:
         self.path, self.workflow, self.after = path, workflow, after
         self.found: dict[int, list[tuple[int, int, str]]] | None = None
@@ -90,11 +133,8 @@ class TailReader(DataSourceStreamReader):
         for path, after, through in partition.files:
             with files.open_input_stream(path) as stream:
                 for line in stream.read().splitlines():
-                    event = json.loads(line)
-                    if after < event["sequence"] <= through:
-                        if isinstance(event.get("percent"), str):  # JSON has no number for NaN and infinities
-                            event["percent"] = float(event["percent"])
-                        yield tuple(event.get(f) for f in FIELDS)
+                    if (event := _read(line, after, through)) is not None:
+                        yield event
 
 
 class EventsSource(DataSource):
@@ -110,11 +150,56 @@ class EventsSource(DataSource):
         return TailReader(self.options["path"], None if workflow is None else int(workflow), int(self.options.get("afterSequence", 0)))
 
 
-def tail(spark: SparkSession, path: str, workflow: int | None = None, after: int = 0) -> DataFrame:
-    """The events of the log as a stream (``COLUMNS``)."""
-    spark.dataSource.register(EventsSource)
-    reader = spark.readStream.format(FORMAT).option("path", path).option("afterSequence", after)
-    return (reader if workflow is None else reader.option("workflow", workflow)).load()
+def tail(spark: SparkSession, path: str, workflow: int | None = None, after: int = 0, wait: bool = True) -> DataFrame:
+    """The events of the log as a stream (``COLUMNS``).  ``wait``: what comes after a gap waits; without it, only for all workflows, events come as they were appended."""
+    if workflow is not None:
+        spark.dataSource.register(EventsSource)
+        return spark.readStream.format(FORMAT).option("path", path).option("afterSequence", after).option("workflow", workflow).load()
+    _indexed(spark, path)
+    found = spark.readStream.schema(INDEXED).parquet(f"{path}/{INDEX}").where(F.col("last") > after)
+    if wait:
+        found = found.groupBy("workflow_id").applyInPandasWithState(_ready(after), "name string, after long, through long", _WAITING, "append", GroupStateTimeout.NoTimeout)
+    else:
+        found = found.repartition("workflow_id").select("name", F.lit(after).cast("long").alias("after"), F.lit(None).cast("long").alias("through"))
+
+    def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = opened(path)
+
+        def events() -> Iterator[tuple]:
+            for batch in rows:
+                for name, start, through in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    with files.open_input_stream(f"{root}/{name}") as stream:
+                        for line in stream.read().splitlines():
+                            if (event := _read(line, start, through)) is not None:
+                                yield event
+
+        return batches(events(), _EVENTS)
+
+    return found.mapInArrow(read, COLUMNS)
+
+
+_WAITING = "at long, firsts array<long>, lasts array<long>, names array<string>"
+
+
+def _ready(after: int):
+    """Of a workflow's segments those up to the first gap, with the sequences that are new in them; the others wait."""
+
+    def ready(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, *waiting = state.get if state.exists else (after, [], [], [])
+        rows = set(zip(*waiting, strict=True))
+        for frame in frames:
+            rows.update(zip(frame["first"].tolist(), frame["last"].tolist(), frame["name"].tolist(), strict=True))
+        through = at
+        for first, last, _ in sorted(rows):
+            if first > through + 1:
+                break
+            through = max(through, last)
+        now = sorted(r for r in rows if r[1] > at and r[0] <= through)
+        yield pd.DataFrame({"name": [name for *_, name in now], "after": at, "through": through})
+        held = sorted(r for r in rows if r[0] > through + 1)
+        state.update((through, [r[0] for r in held], [r[1] for r in held], [r[2] for r in held]))
+
+    return ready
 
 
 def write_sse(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:

@@ -119,12 +119,10 @@ def _staged(files: fs.FileSystem, folder: str) -> list[str]:
     return [f.path[len(folder) + 1 :] for f in files.get_file_info(fs.FileSelector(folder, allow_not_found=True, recursive=True)) if f.is_file]
 
 
-def _placed(spark: SparkSession, path: str, staging: str, overwrite: bool, noted: str | None) -> None:
-    """Checks the names of the attempts that counted, and moves their files to their places."""
-    files, root = opened(path)
-    with files.open_input_stream(f"{staging}/{COUNTED}") as stream:
+def _written(spark: SparkSession, path: str, staging: str) -> tuple[DataFrame, DataFrame]:
+    """The attempts that counted, and the names of their files."""
+    with opened(path)[0].open_input_stream(f"{staging}/{COUNTED}") as stream:
         counted = json.loads(stream.read())
-    old = listing(spark, path) if overwrite else None
     attempts = spark.createDataFrame(counted, "folder string, files long").repartition(max(1, len(counted)))
 
     def names(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,6 +134,14 @@ def _placed(spark: SparkSession, path: str, staging: str, overwrite: bool, noted
                     raise RuntimeError(f"{folder} holds {len(staged)} files of {count}")
                 yield from batches(((name,) for name in staged), _NAMES)
 
+    return attempts, attempts.mapInArrow(names, "name string")
+
+
+def _placed(spark: SparkSession, path: str, staging: str, overwrite: bool) -> None:
+    """Checks the names of the attempts that counted, and moves their files to their places."""
+    old = listing(spark, path) if overwrite else None
+    attempts, written = _written(spark, path, staging)
+
     def moves(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = opened(path)
         for batch in found:
@@ -160,10 +166,6 @@ def _placed(spark: SparkSession, path: str, staging: str, overwrite: bool, noted
                     files.delete_file(place)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], schema=_PLACED)
 
-    written = attempts.mapInArrow(names, "name string")
-    if noted is not None:
-        written.write.parquet(noted)
-        written = spark.read.schema("name string").parquet(noted)
     twice = written.groupBy("name").count().where("count > 1").first()
     if twice is not None:
         raise ValueError(f"two tasks wrote {twice.name!r}")
@@ -187,7 +189,9 @@ def write_files(rows: DataFrame, path: str, mode: str = "append", noted: str | N
     staging = f"{root}/_staging-{uuid.uuid4().hex}"
     try:
         rows.selectExpr("CAST(name AS STRING) AS name", "CAST(content AS BINARY) AS content").write.format(FORMAT).option("staging", staging).mode("append").save(path)
-        _placed(spark, path, staging, mode == "overwrite", noted)
+        if noted is not None:
+            _written(spark, path, staging)[1].write.parquet(noted)
+        _placed(spark, path, staging, mode == "overwrite")
     finally:
         _delete(files, staging)
 
